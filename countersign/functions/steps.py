@@ -76,7 +76,7 @@ def all_steps_complete(steps: Column | str, manual: Column | str) -> Column:
 def step_levels(steps: Column | str) -> Column:
     """Longest dependency chain below each step, as an array parallel to `steps`.
 
-    A step that needs an unknown step, or sits on or behind a cycle, gets -1: no reply ever
+    A complete step waits for nothing any more and gets 0. A step that needs an unknown step, or sits on or behind a cycle, gets -1: no reply ever
     completes it.
     """
     src = _col(steps)
@@ -92,7 +92,7 @@ def step_levels(steps: Column | str) -> Column:
                 ),
             )
             return (
-                F.when(F.size(below) == 0, F.lit(0))
+                F.when(is_complete(s["status"]) | (F.size(below) == 0), F.lit(0))
                 .when(F.array_min(below) < 0, F.lit(-1))
                 .otherwise(F.array_max(below) + 1)
             )
