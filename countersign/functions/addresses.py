@@ -31,15 +31,20 @@ def parse_address(recipient: Column | str) -> Column:
     )
 
 
-def _plain_tag(recipient: Column | str, kind: str) -> Column:
-    addr = parse_address(recipient)
+def _address(recipient: Column | str | None, address: Column | None) -> Column:
+    """Tags take a recipient, or the struct `parse_address` already made of it."""
+    return parse_address(recipient) if address is None else address
+
+
+def _plain_tag(recipient: Column | str | None, kind: str, address: Column | None) -> Column:
+    addr = _address(recipient, address)
     ok = (addr["kind"] == kind) & addr["extension"].rlike(_EVENT_ID)
     return F.when(ok, F.struct(addr["extension"].alias("event_id")))
 
 
-def event_tag(recipient: Column | str) -> Column:
+def event_tag(recipient: Column | str | None = None, address: Column | None = None) -> Column:
     """P5. Everything behind the first dash names the step."""
-    addr = parse_address(recipient)
+    addr = _address(recipient, address)
     ext = addr["extension"]
     event_id = F.substring_index(ext, "-", 1)
     dash = F.instr(ext, "-")
@@ -50,19 +55,19 @@ def event_tag(recipient: Column | str) -> Column:
     )
 
 
-def attest_tag(recipient: Column | str) -> Column:
+def attest_tag(recipient: Column | str | None = None, address: Column | None = None) -> Column:
     """P6."""
-    return _plain_tag(recipient, "attest")
+    return _plain_tag(recipient, "attest", address)
 
 
-def verify_tag(recipient: Column | str) -> Column:
+def verify_tag(recipient: Column | str | None = None, address: Column | None = None) -> Column:
     """P7."""
-    return _plain_tag(recipient, "verify")
+    return _plain_tag(recipient, "verify", address)
 
 
-def reverify_tag(recipient: Column | str) -> Column:
+def reverify_tag(recipient: Column | str | None = None, address: Column | None = None) -> Column:
     """P8. The digits behind the last dash are the entry under review, 1 to 99999."""
-    addr = parse_address(recipient)
+    addr = _address(recipient, address)
     shape = r"^([a-zA-Z0-9]+)-(\d+)$"
     seq = _group(addr["extension"], shape, 2).try_cast("bigint")
     return F.when(
@@ -74,9 +79,9 @@ def reverify_tag(recipient: Column | str) -> Column:
     )
 
 
-def initiator_command(recipient: Column | str) -> Column:
+def initiator_command(recipient: Column | str | None = None, address: Column | None = None) -> Column:
     """P9."""
-    addr = parse_address(recipient)
+    addr = _address(recipient, address)
     ok = addr["kind"].isin(*INITIATOR_COMMANDS) & addr["extension"].rlike(_EVENT_ID)
     return F.when(
         ok, F.struct(addr["kind"].alias("command"), addr["extension"].alias("event_id"))

@@ -45,7 +45,7 @@ def raw_header(block: Column | str, name: str) -> Column:
 def content_type(block: Column | str) -> Column:
     """P3. Content-Type after unfolding the whole block."""
     unfolded = F.regexp_replace(_col(block), _FOLD, " ")
-    return _strip(_group(unfolded, r"(?im)^content-type:[ \t]*([^\r\n]+)$"))
+    return _strip(_group(unfolded, r"(?im)^content-type:[ \t]*([^\r\n]+)"))
 
 
 def is_delivery_status_report(block: Column | str) -> Column:

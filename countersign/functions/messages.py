@@ -64,7 +64,7 @@ def build_raw_message(
 
     auto = None
     if auto_submitted is not False:
-        given = F.lit(None).cast("string") if auto_submitted in (None, True) else auto_submitted
+        given = auto_submitted if isinstance(auto_submitted, Column) else F.lit(None).cast("string")
         auto = F.coalesce(given, F.lit("auto-replied"))
     signed = with_signature(body, footer) if footer is not None else body
     wire_body = F.regexp_replace(F.regexp_replace(signed, "\r\n", "\n"), "\n", CRLF)

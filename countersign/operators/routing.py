@@ -52,10 +52,12 @@ def prefilter(block: Column | str, sender: Column | str) -> Column:
 
 def screen(mail: DataFrame) -> DataFrame:
     """Everything later stages want from `raw`, computed where the bytes are read."""
-    df = mail.withColumn("_block", headers.header_block("raw")).withColumn(
-        "envelope", normalise_envelope("envelope")
+    df = mail.withColumns(
+        {"_block": headers.header_block("raw"), "envelope": normalise_envelope("envelope")}
+    )
+    df = df.withColumns(
+        {"from_address": from_address("_block"), "_addr": addresses.parse_address(F.col("envelope.recipient"))}
     )
-    df = df.withColumn("from_address", from_address("_block"))
     return df.withColumns(
         {
             "is_bounce": headers.is_delivery_status_report("_block"),
@@ -74,17 +76,16 @@ def route(mail: DataFrame, keep_raw: bool = False) -> DataFrame:
     Order: bounce, machine mail, initiator command, verify, reverify, event, attest, no tag.
     """
     df = screen(mail)
-    rcpt = F.col("envelope.recipient")
+    addr = F.col("_addr")
     df = df.withColumns(
         {
-            "_cmd": addresses.initiator_command(rcpt),
-            "_verify": addresses.verify_tag(rcpt),
-            "_reverify": addresses.reverify_tag(rcpt),
-            "_event": addresses.event_tag(rcpt),
-            "_attest": addresses.attest_tag(rcpt),
+            "_cmd": addresses.initiator_command(address=addr),
+            "_verify": addresses.verify_tag(address=addr),
+            "_reverify": addresses.reverify_tag(address=addr),
+            "_event": addresses.event_tag(address=addr),
+            "_attest": addresses.attest_tag(address=addr),
         }
     )
-    is_reply_tag = F.col("_event").isNotNull() | F.col("_attest").isNotNull()
     df = df.withColumn(
         "route",
         F.when(F.col("is_bounce"), "bounce")
@@ -108,12 +109,32 @@ def route(mail: DataFrame, keep_raw: bool = False) -> DataFrame:
             "commit_sequence": F.when(r == "reverify", F.col("_reverify.commit_sequence")),
             "mode": F.when(r == "event", "workflow").when(r == "attest", "crypto"),
             "reason": F.when(r == "rejected", F.col("screening.reason"))
-            .when((r == "no_event_tag") | ((r == "bounce") & ~is_reply_tag), F.lit("no_event_tag")),
+            .when((r == "no_event_tag") | ((r == "bounce") & reply_event.isNull()), F.lit("no_event_tag")),
         }
-    ).drop("_cmd", "_verify", "_reverify", "_event", "_attest", "is_bounce", "screening")
+    ).drop("_addr", "_cmd", "_verify", "_reverify", "_event", "_attest", "is_bounce", "screening")
     return out if keep_raw else out.drop("raw")
 
 
+def route_bounces(mail: DataFrame) -> DataFrame:
+    """R2. Delivery reports alone, by the event or attest tag they came back to; keeps `raw`.
+
+    The cheap test comes first, so no other header of other mail is looked at.
+    """
+    df = mail.filter(headers.is_delivery_status_report(headers.header_block("raw")))
+    df = df.withColumn("envelope", normalise_envelope("envelope"))
+    df = df.withColumn("_addr", addresses.parse_address(F.col("envelope.recipient")))
+    addr = F.col("_addr")
+    df = df.withColumns({"_event": addresses.event_tag(address=addr), "_attest": addresses.attest_tag(address=addr)})
+    event_id = F.coalesce(F.col("_event.event_id"), F.col("_attest.event_id"))
+    return df.withColumns(
+        {
+            "event_id": event_id,
+            "step_id": F.nullif(F.col("_event.step_id"), F.lit("")),
+            "reason": F.when(event_id.isNull(), F.lit("no_event_tag")),
+        }
+    ).drop("_addr", "_event", "_attest")
+
+
 def known_events(routed: DataFrame, events: DataFrame) -> DataFrame:
     """J1/R2. Mail that names an event nobody has gets `reason = unknown_event`."""
     ids = events.select(F.col("id").alias("event_id"), F.lit(True).alias("known"))

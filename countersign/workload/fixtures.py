@@ -6,12 +6,15 @@ Each text names earlier ones as CTEs. `{sha}` stands for the engine's SHA-256 fu
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countersign import schemas
-from countersign.functions.hashing import hash_document
+from countersign.functions.addresses import sender_domain
+from countersign.functions.hashing import hash_document, pad_seq, salted_message_id_hash, salted_sender_hash
+from countersign.operators.numbering import assign_sequence
 
 DOMAIN = "app.example"
 
@@ -66,17 +69,42 @@ select event_id as mail_id, cast(ts as timestamp) as received_at, user_id % 60 a
    'Final-Recipient: rfc822;u', user_id, '@d1.example', chr(13), chr(10), 'Action: ', case when event_id % 2 = 0 then 'Failed' else 'delayed' end, chr(13), chr(10), 'Status: ', case when event_id % 2 = 0 then '5.1.1' else '4.2.2' end, chr(13), chr(10),
    'Diagnostic-Code: smtp; 550', chr(13), chr(10), ' user unknown', chr(13), chr(10), chr(13), chr(10), '--B', event_id, '--', chr(13), chr(10)) else concat('reply ', event_id, chr(13), chr(10)) end) as raw from {events}"""
 
-_NEEDS = {"fs": ("fb",), "fd": ("fb", "fs")}
+# A ledger of the replies in `fa`: one entry each, at most one attachment, a few hot documents.
+SQL["lg"] = """
+select coord_id as event_id, mail_id, received_at, k, sender, step_id, row_number() over (partition by coord_id order by received_at, mail_id) as sequence,
+ case when sender = '' then null else concat('sha256:', {sha}(concat('salt-', coord_id, '|', lower(sender)))) end as sender_hash,
+ case when sender = '' then null else concat('d', substr(sender, instr(sender, '@') + 2)) end as sender_domain,
+ trust as trust_level, mail_id % 3 = 0 as counted, case when mail_id % 3 = 0 then null else 'already_complete' end as count_reason,
+ concat('sha256:', {sha}(concat('salt-', coord_id, '|m', mail_id, '@mail.example'))) as message_id_hash,
+ concat('sha256:', {sha}(concat('raw ', mail_id))) as raw_sha256,
+ case when doc_ok then concat('doc', mail_id % 50, '.pdf') end as att_name,
+ case when doc_ok then concat('sha256:', {sha}(concat('doc ', mail_id % 50))) end as att_sha256,
+ case when mail_id % 4 = 0 then 'fail' else 'pass' end as sig_result, mail_id % 9 <> 0 as has_key from fa"""
 
+# Messages someone forwards for verification: unchanged, re-encoded, a document, or unrelated.
+SQL["cd"] = """
+select mail_id as cand_id, coord_id as event_id, received_at,
+ concat('sha256:', {sha}(case when mail_id % 5 in (0, 4) then concat('raw ', mail_id) when mail_id % 5 = 2 then concat('doc ', mail_id % 50) else concat('altered ', mail_id) end)) as raw_sha256,
+ case when mail_id % 5 in (0, 1) then concat('<M', mail_id, '@Mail.Example>') else concat('<x', mail_id, '@else.example>') end as message_id from fa"""
 
-def with_clause(*names: str, sha: str = "sha256", events: str = "events") -> str:
+# Proof results and the records beside them, one per ledger entry.
+SQL["pf"] = """
+select event_id, concat('commit-', case when sequence < 1000 then lpad(cast(sequence as {text}), 3, '0') else cast(sequence as {text}) end) as base, sequence,
+ sequence % 4 in (0, 1) as anchored, sequence % 4 = 0 as changed, sequence % 4 = 2 and k % 3 <> 0 as pending, case when sequence % 4 = 3 then 'calendar down' end as error,
+ case when sequence % 4 in (0, 1) and sequence % 5 <> 0 then 800000 + sequence end as block_height,
+ sequence % 8 = 1 as rec_anchored, sequence % 8 = 1 as rec_has_time, case when sequence % 16 = 1 then 700000 end as rec_block from lg"""
+
+_NEEDS = {"fs": ("fb",), "fd": ("fb", "fs"), "lg": ("fa",), "cd": ("fa",), "pf": ("fa", "lg")}
+
+
+def with_clause(*names: str, sha: str = "sha256", events: str = "events", text: str = "varchar") -> str:
     """`with a as (...), b as (...)` holding the named projections and those they build on."""
     order: list[str] = []
     for name in names:
         for need in (*_NEEDS.get(name, ()), name):
             if need not in order:
                 order.append(need)
-    body = ",\n".join(f"{n} as ({SQL[n].replace('{events}', events).replace('{sha}', sha)})" for n in order)
+    body = ",\n".join(f"{n} as ({SQL[n].replace('{events}', events).replace('{sha}', sha).replace('{text}', text)})" for n in order)
     return f"with {body}\n"
 
 
@@ -86,7 +114,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def projection(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the projections above as a DataFrame."""
-    text = with_clause(name, sha="sha2", events="{events}") + f"select * from {name}"
+    text = with_clause(name, sha="sha2", events="{events}", text="string") + f"select * from {name}"
+    # Spark spells the digest length out.
+    text = re.sub(r"sha2\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"sha2(\1, 256)", text)
     return spark.sql(text, events=table(spark, sf_dir, "events"))
 
 
@@ -159,32 +189,137 @@ def replies(spark: SparkSession, sf_dir: str, mode: str | None = None) -> DataFr
     crypto = F.col("k") % 2 == 0
     rows = fa.select(
         F.col("coord_id").alias("event_id"),
-        F.col("mail_id").cast("string").alias("mail_id"),
-        F.col("mail_id").alias("mail_no"),
+        "mail_id",
         "received_at",
         F.when(crypto, "crypto").otherwise("workflow").alias("mode"),
         F.when(~crypto, F.col("step_id")).alias("step_id"),
         "sender",
         F.col("trust").alias("trust_level"),
+        F.concat(F.lit("<M"), F.col("mail_id").cast("string"), F.lit("@Mail.Example>")).alias("message_id"),
         attachments().alias("attachments"),
     )
     return rows if mode is None else rows.filter(F.col("mode") == mode)
 
 
+def _one(name, size, sha):
+    return F.array(F.struct(name.alias("filename"), size.cast("bigint").alias("size"), sha.alias("sha256")))
+
+
 def attachments():
     """A sign-off reply may carry the contract, a workflow reply any file."""
-    def one(name: str, content: str):
-        return F.array(
-            F.struct(
-                F.lit(name).alias("filename"),
-                F.lit(len(content)).cast("bigint").alias("size"),
-                hash_document(F.lit(content)).alias("sha256"),
-            )
-        )
-
     crypto = F.col("k") % 2 == 0
+    contract = _one(F.lit("contract.pdf"), F.lit(8), hash_document(F.lit("contract")))
+    photo = _one(F.lit("photo.jpg"), F.lit(5), hash_document(F.lit("photo")))
     return (
-        F.when(crypto & F.col("doc_ok"), one("contract.pdf", "contract"))
-        .when(~crypto & F.col("has_attachment"), one("photo.jpg", "photo"))
+        F.when(crypto & F.col("doc_ok"), contract)
+        .when(~crypto & F.col("has_attachment"), photo)
         .otherwise(F.array().cast(schemas.T.ArrayType(schemas.ATTACHMENT)))
     )
+
+
+def auth_verdict(trust):
+    """A verdict that grades to the given level."""
+    dkim = F.when(trust == "verified", "pass").otherwise("fail")
+    signature = F.struct(
+        F.struct(dkim.alias("result"), F.lit("").alias("comment"),
+                 F.when(trust == "verified", F.lit("d.example")).alias("aligned")).alias("status"),
+        F.lit("d.example").alias("signingDomain"), F.lit("sel").alias("selector"), F.lit("rsa-sha256").alias("algo"),
+        F.lit(None).cast("string").alias("info"),
+    )
+    passed = lambda *levels: F.when(trust.isin(*levels), "pass").otherwise("none")
+    return F.struct(
+        F.struct(F.array(signature).alias("results")).alias("dkim"),
+        F.struct(F.struct(passed("authorized").alias("result")).alias("status")).alias("spf"),
+        F.struct(F.struct(passed("verified", "authorized").alias("result")).alias("status")).alias("dmarc"),
+        F.struct(F.struct(passed("forwarded").alias("result"), F.lit(None).cast("string").alias("comment")).alias("status"),
+                 F.when(trust == "forwarded", 2).alias("i")).alias("arc"),
+    ).cast(schemas.AUTH)
+
+
+def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of projection `fc` as `mail` rows; attachments come from the bytes."""
+    fc = projection(spark, sf_dir, "fc")
+    envelope = F.struct(
+        F.col("sender").alias("sender"), F.col("recipient").alias("recipient"),
+        F.when(F.col("mail_id") % 3 == 0, F.lit("unknown")).otherwise(F.lit("192.0.2.1")).alias("client_ip"),
+        F.lit("").alias("client_helo"),
+    )
+    return fc.select(
+        "mail_id", "received_at", F.col("raw").cast("binary").alias("raw"), envelope.alias("envelope"),
+        auth_verdict(F.col("trust")).alias("auth"),
+    )
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection `lg`, numbered without a per-event sort."""
+    fa = assign_sequence(projection(spark, sf_dir, "fa").withColumnRenamed("coord_id", "event_id"))
+    no = F.col("mail_id").cast("string")
+    doc = (F.col("mail_id") % 50).cast("string")
+    with_doc = lambda c: F.when(F.col("doc_ok"), c)
+    salt = F.concat(F.lit("salt-"), F.col("event_id"))
+    return fa.select(
+        "event_id", "mail_id", "received_at", "k", "sender", "step_id", "sequence",
+        salted_sender_hash("sender", salt).alias("sender_hash"),
+        sender_domain("sender").alias("sender_domain"),
+        F.col("trust").alias("trust_level"),
+        (F.col("mail_id") % 3 == 0).alias("counted"),
+        F.when(F.col("mail_id") % 3 != 0, "already_complete").alias("count_reason"),
+        salted_message_id_hash(F.concat(F.lit("<M"), no, F.lit("@Mail.Example>")), salt).alias("message_id_hash"),
+        hash_document(F.concat(F.lit("raw "), no)).alias("raw_sha256"),
+        with_doc(F.concat(F.lit("doc"), doc, F.lit(".pdf"))).alias("att_name"),
+        with_doc(hash_document(F.concat(F.lit("doc "), doc))).alias("att_sha256"),
+        F.when(F.col("mail_id") % 4 == 0, "fail").otherwise("pass").alias("sig_result"),
+        (F.col("mail_id") % 9 != 0).alias("has_key"),
+    )
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection `lg` with the ledger's column types."""
+    lg = numbered(spark, sf_dir)
+    none = F.array().cast(schemas.T.ArrayType(schemas.ATTACHMENT))
+    signature = F.struct(
+        F.col("sig_result").alias("result"), F.lit(None).cast("string").alias("comment"),
+        F.concat(F.lit("d"), (F.col("k") % 3).cast("string"), F.lit(".example")).alias("domain"),
+        F.when(F.col("mail_id") % 13 != 0, F.lit("sel")).alias("selector"),
+        F.lit(None).cast("string").alias("aligned"), F.lit("rsa-sha256").alias("algorithm"), F.lit(None).cast("string").alias("info"),
+    )
+    values = {
+        "schema_version": F.lit(2),
+        "kind": F.lit("reply"),
+        "attachments": F.when(F.col("att_sha256").isNotNull(), _one(F.col("att_name"), F.lit(6), F.col("att_sha256"))).otherwise(none),
+        "dkim": F.struct(F.lit(None).cast("string").alias("result"), F.array(signature).alias("signatures")),
+        "dkim_key_file": F.when(
+            F.col("has_key"), F.concat(F.lit("dkim_keys/commit-"), pad_seq("sequence"), F.lit(".pem"))
+        ),
+        "raw_size": F.lit(10),
+    }
+    have = set(lg.columns)
+    return lg.select(
+        *[
+            values.get(f.name, F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schemas.LEDGER.fields
+        ],
+        "mail_id", "k",
+    )
+
+
+def proofs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Projection `pf` as proof results and ledger records."""
+    q = F.col("sequence")
+    lg = numbered(spark, sf_dir).select("event_id", "k", "sequence", F.concat(F.lit("commit-"), pad_seq("sequence")).alias("base"))
+    anchored = (q % 4).isin(0, 1)
+    results = lg.select(
+        "event_id", "base",
+        anchored.alias("anchored"),
+        (q % 4 == 0).alias("changed"),
+        ((q % 4 == 2) & (F.col("k") % 3 != 0)).alias("pending"),
+        F.when(q % 4 == 3, "calendar down").alias("error"),
+        F.when(anchored & (q % 5 != 0), q + 800000).alias("block_height"),
+    )
+    had = q % 8 == 1
+    records = lg.select(
+        "event_id", "base", had.alias("ots_anchored"),
+        F.when(had, F.lit("2024-01-01").cast("timestamp")).alias("ots_anchored_at"),
+        F.when(q % 16 == 1, F.lit(700000)).cast("bigint").alias("ots_block"),
+    )
+    return results, records
