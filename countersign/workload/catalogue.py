@@ -1,5 +1,5 @@
 """All registered queries."""
-from countersign.workload import scalar_queries  # noqa: F401
+from countersign.workload import engine_queries, scalar_queries  # noqa: F401
 from countersign.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
