@@ -282,7 +282,7 @@ def workflow_reason() -> Column:
 
 
 class Decision:
-    """The frames one decision pass yields; all lazy apart from the dependency rounds."""
+    """The frames one decision pass yields."""
 
     def __init__(self, rows: DataFrame, firsts: DataFrame, finished: DataFrame, locks: DataFrame):
         self.rows = rows  # every reply, with `counted`, `count_reason`, `lock_seq`, `nth`
@@ -290,6 +290,10 @@ class Decision:
         self.finished = finished
         self.locks = locks
 
+    def held(self) -> "Decision":
+        """The same with rows and locks written once, for callers that derive several outputs."""
+        return Decision(checkpointed(self.rows), self.firsts, self.finished, checkpointed(self.locks))
+
 
 def decide(
     replies: DataFrame,
@@ -305,8 +309,11 @@ def decide(
     follows the reply's tag, not the event's type. An event's two rules share only its
     completion, so the earlier lock ends both.
     """
-    r = identify(replies, events, activation)
+    # Written once: the rules below read these rows two or three times.
+    r = checkpointed(identify(replies, events, activation))
     steps = event_steps(events)
+    if "workflow" in modes:
+        steps = checkpointed(steps)
     locks: list[DataFrame] = []
     firsts = finished = None
     if "crypto" in modes:

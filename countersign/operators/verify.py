@@ -32,9 +32,9 @@ def find_match(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     the lowest sequence wins.
     """
     def lowest(rows: DataFrame, key: str, out: str) -> DataFrame:
-        return rows.filter(F.col(key).isNotNull()).groupBy("event_id", F.col(key).alias(f"_{out}")).agg(
-            F.min("sequence").alias(out)
-        )
+        return rows.filter(F.col(key).isNotNull()).groupBy(
+            F.col("event_id").alias(f"_e_{out}"), F.col(key).alias(f"_{out}")
+        ).agg(F.min("sequence").alias(out))
 
     c = candidates
     tiers = (
@@ -43,9 +43,8 @@ def find_match(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
         (lowest(attachment_rows(ledger), "sha256", "by_att"), "raw_sha256", "by_att"),
     )
     for side, key, out in tiers:
-        c = c.join(side, (c["event_id"] == side["event_id"]) & (c[key] == side[f"_{out}"]), "left").drop(
-            side["event_id"], f"_{out}"
-        )
+        same = (F.col("event_id") == F.col(f"_e_{out}")) & (F.col(key) == F.col(f"_{out}"))
+        c = c.join(side, same, "left").drop(f"_e_{out}", f"_{out}")
     kind = (
         F.when(F.col("by_raw").isNotNull(), MATCH_KINDS[0])
         .when(F.col("by_mid").isNotNull(), MATCH_KINDS[1])

@@ -32,6 +32,8 @@ def local_session(cores: str | int = "*", app: str = "countersign", memory: str
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Building a plan is much of a short query; do not look up the call site of every column.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

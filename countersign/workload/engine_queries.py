@@ -29,6 +29,10 @@ def _workflow(spark, sf):
     return D.decide(_replies(spark, sf, "workflow"), fx.coord_events(spark, sf), modes=("workflow",))
 
 
+def _both(spark, sf):
+    return D.decide(_replies(spark, sf), fx.coord_events(spark, sf)).held()
+
+
 def _identified(spark, sf, mode):
     return D.identify(_replies(spark, sf, mode), fx.coord_events(spark, sf))
 
@@ -91,7 +95,7 @@ def m4(spark, sf):
 
 @query("m4_signoff_events_after", SO + f"select fb.coord_id as event_id, case when sd.seq is not null then 'complete' else 'open' end as status, {iso('sd.received_at')} as completed_at from fb left join sd on sd.coord_id = fb.coord_id and sd.seq = sd.lock_seq where fb.type = 'crypto'")
 def m4_after(spark, sf):
-    d = _signoff(spark, sf)
+    d = _signoff(spark, sf).held()
     ev = fx.coord_events(spark, sf).filter("type = 'crypto'")
     return LG.apply_decisions(ev, d.rows, d.locks).select(F.col("id").alias("event_id"), "status", fn.iso_millis("completed_at").alias("completed_at"))
 
@@ -142,7 +146,7 @@ _AFTER = """, st as (select fs.coord_id, fs.step_id, fs.i, fs.participant, wd.se
 
 @query("m2_workflow_apply", WF + _AFTER + "select st.coord_id as event_id, st.step_id, case when st.seq is null then 'pending' else 'complete' end as step_status, st.seq as commit_sequence, case when dn.done_seq is null then 'open' else 'complete' end as event_status from st left join dn on dn.coord_id = st.coord_id")
 def m2(spark, sf):
-    d = _workflow(spark, sf)
+    d = _workflow(spark, sf).held()
     after = LG.apply_decisions(fx.coord_events(spark, sf), d.rows, d.locks)
     return after.select("id", "status", F.explode("steps").alias("s")).select(
         F.col("id").alias("event_id"), F.col("s.id").alias("step_id"), F.col("s.status").alias("step_status"),
@@ -152,7 +156,7 @@ def m2(spark, sf):
 
 @query("w5_first_pending_step", WF + _AFTER + "select coord_id as event_id, min_by(step_id, i) as step_id from st where seq is null group by coord_id")
 def w5(spark, sf):
-    d = _workflow(spark, sf)
+    d = _workflow(spark, sf).held()
     after = LG.apply_decisions(fx.coord_events(spark, sf), d.rows, d.locks)
     first = fn.first_pending_step("steps")["id"]
     return after.select(F.col("id").alias("event_id"), first.alias("step_id")).filter("step_id is not null")
@@ -165,7 +169,7 @@ _ELIGIBLE = _AFTER + """, el as (select s.coord_id, s.step_id, s.participant fro
 
 @query("j05_eligible_steps", WF + _ELIGIBLE + "select coord_id as event_id, step_id from el")
 def j05(spark, sf):
-    d = _workflow(spark, sf)
+    d = _workflow(spark, sf).held()
     after = LG.apply_decisions(fx.coord_events(spark, sf), d.rows, d.locks)
     return after.select(F.col("id").alias("event_id"), F.explode(fn.eligible_steps("steps")).alias("s")).select("event_id", F.col("s.id").alias("step_id"))
 
@@ -177,7 +181,7 @@ _NEWLY = _AFTER + """, nw as (select s.coord_id, s.step_id, s.participant, max(x
 
 @query("j06_newly_eligible", WF + _NEWLY + "select nw.coord_id as event_id, nw.seq as sequence, nw.step_id, nw.participant from nw left join dn on dn.coord_id = nw.coord_id where dn.done_seq is null or nw.seq < dn.done_seq")
 def j06(spark, sf):
-    d = _workflow(spark, sf)
+    d = _workflow(spark, sf).held()
     after = LG.apply_decisions(fx.coord_events(spark, sf), d.rows, d.locks)
     edge = d.rows.filter(F.col("counted") & ~F.coalesce(F.col("sequence") == F.col("lock_seq"), F.lit(False)))
     return N.newly_eligible(edge.select("event_id", "sequence"), after).select(
@@ -202,7 +206,7 @@ _COMMITS = BOTH + """, al as (select mail_id, received_at, coord_id, k, sender,
  from al join fa on fa.mail_id = al.mail_id""")
 def p38(spark, sf):
     ev = fx.coord_events(spark, sf)
-    d = D.decide(_replies(spark, sf), ev)
+    d = _both(spark, sf)
     return LG.build_reply_commits(d.rows, ev).select(
         "event_id", "sequence", "schema_version", "kind", "step_id", fn.iso_millis("received_at").alias("received_at"), "sender_hash",
         "sender_domain", "message_id_hash", "trust_level", "participant_match", "counted", "count_reason", F.size("attachments").alias("n_attachments"),
@@ -213,7 +217,7 @@ def p38(spark, sf):
  union all select coord_id, 'workflow', {iso('received_at')}, seq, cast(4 as integer), null, null from wd where seq = done_seq""")
 def m11(spark, sf):
     ev = fx.coord_events(spark, sf)
-    d = D.decide(_replies(spark, sf), ev)
+    d = _both(spark, sf)
     return LG.completion_records(d.rows, d.locks, ev).withColumn("completed_at", fn.iso_millis("completed_at"))
 
 
@@ -225,7 +229,7 @@ def m11(spark, sf):
  select event_id, cast(cause as varchar) as cause, kind, "to", step_id, signature_count, counted_commits from n""")
 def c10(spark, sf):
     ev = fx.coord_events(spark, sf)
-    d = D.decide(_replies(spark, sf), ev)
+    d = _both(spark, sf)
     after = LG.apply_decisions(ev, d.rows, d.locks)
     counts = LG.receipt_counts(LG.build_reply_commits(d.rows, ev))
     notes = N.transition_notices(d.rows, d.locks, after, counts).filter(F.col("to") != "")

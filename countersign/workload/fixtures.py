@@ -120,134 +120,71 @@ def projection(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, events=table(spark, sf_dir, "events"))
 
 
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.sql(text, events=table(spark, sf_dir, "events"))
+
+
+_STEP = """named_struct('id', 's{i}', 'name', 'Step {i}', 'participant', concat('u', (k + {i}) % 11, '@d', k % 3, '.example'),
+ 'deadline', date_format(date_add(date'2024-01-01', cast((k + {i} * 3) % 60 as int)), 'yyyy-MM-dd'), 'requires_attachment', {i} = 4, 'details', cast(null as string),
+ 'status', 'pending', 'commit_sequence', cast(null as bigint), 'dependsOn', case when k % 3 = 0 then {chain} when k % 3 = 2 then {custom} else array() end,
+ 'minTrust', '{trust}', 'completed_at', cast(null as string), 'last_send_error', cast(null as struct<reason:string,code:string,at:string>))"""
+_CUSTOM = {
+    1: "array()",
+    2: "array()",
+    3: "case when k = 17 then array('s2', 's4') else array('s1', 's2') end",
+    4: "case when k = 11 then array('s9') else array('s3') end",
+}
+_MIN_TRUST = {1: "verified", 2: "authorized", 3: "forwarded", 4: "unverified"}
+_STEPS = ", ".join(
+    _STEP.format(i=i, chain="array()" if i == 1 else f"array('s{i - 1}')", custom=_CUSTOM[i], trust=_MIN_TRUST[i])
+    for i in (1, 2, 3, 4)
+)
+_SIGNERS = ", ".join(f"concat('u{i}@d', k % 3, '.example')" for i in range(1, 6))
+_EVENTS = f"""
+select concat('c', k) as id, if(k % 2 = 0, 'crypto', 'workflow') as type, if(k % 5 <> 0, concat('Plan ', k), null) as title, 'u9@d0.example' as initiator,
+ concat('salt-c', k) as salt, 'open' as status, timestamp'2023-12-01 00:00:00' as created_at, if(k % 13 <> 12, timestamp'2023-12-01 00:00:00', null) as activated_at,
+ if(k % 17 = 16, timestamp'2023-12-01 00:00:00', null) as archived_at, case when k % 2 = 0 then null when k % 3 = 0 then 'sequential' when k % 3 = 1 then 'parallel' else 'custom' end as flow,
+ if(k % 2 = 1, array({_STEPS}), null) as steps, if(k % 4 = 0, array({_SIGNERS}), null) as signers, if(k % 2 = 0, k % 4 <> 0, null) as open,
+ if(k % 2 = 0, cast(3 + k % 5 as int), null) as threshold, k % 11 = 5 as manualCompletion, if(k % 2 = 0 and k % 7 = 0, concat('sha256:', sha2('contract', 256)), null) as requiredDocHash
+ from (select distinct user_id % 60 as k from {{events}})"""
+
+
 def coord_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coordination events as full records; steps and dependencies are built row by row."""
-    k = F.col("k")
-    i32 = lambda c: c.cast("int")
-    kinds = table(spark, sf_dir, "events").select((F.col("user_id") % 60).alias("k")).distinct()
-    crypto = k % 2 == 0
-    flow = F.when(k % 3 == 0, "sequential").when(k % 3 == 1, "parallel").otherwise("custom")
-    domain = F.concat(F.lit("@d"), (k % 3).cast("string"), F.lit(".example"))
-    none = F.array().cast("array<string>")
-    names = lambda *xs: F.array(*[F.lit(x) for x in xs])
-    custom_deps = {
-        1: none,
-        2: none,
-        3: F.when(k == 17, names("s2", "s4")).otherwise(names("s1", "s2")),
-        4: F.when(k == 11, names("s9")).otherwise(names("s3")),
-    }
-    min_trust = {1: "verified", 2: "authorized", 3: "forwarded", 4: "unverified"}
-
-    def step(i: int):
-        chain = none if i == 1 else names(f"s{i - 1}")
-        deps = F.when(k % 3 == 0, chain).when(k % 3 == 2, custom_deps[i]).otherwise(none)
-        values = {
-            "id": F.lit(f"s{i}"),
-            "name": F.lit(f"Step {i}"),
-            "participant": F.concat(F.lit("u"), ((k + i) % 11).cast("string"), domain),
-            "deadline": F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), i32((k + i * 3) % 60)), "yyyy-MM-dd"),
-            "requires_attachment": F.lit(i == 4),
-            "status": F.lit("pending"),
-            "dependsOn": deps,
-            "minTrust": F.lit(min_trust[i]),
-        }
-        return F.struct(
-            *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.STEP.fields]
-        )
-
-    signers = F.array(*[F.concat(F.lit(f"u{i}"), domain) for i in range(1, 6)])
-    started = F.lit("2023-12-01").cast("timestamp")
-    values = {
-        "id": F.concat(F.lit("c"), k.cast("string")),
-        "type": F.when(crypto, "crypto").otherwise("workflow"),
-        "title": F.when(k % 5 != 0, F.concat(F.lit("Plan "), k.cast("string"))),
-        "initiator": F.lit("u9@d0.example"),
-        "salt": F.concat(F.lit("salt-c"), k.cast("string")),
-        "status": F.lit("open"),
-        "created_at": started,
-        "activated_at": F.when(k % 13 != 12, started),
-        "archived_at": F.when(k % 17 == 16, started),
-        "flow": F.when(~crypto, flow),
-        "steps": F.when(~crypto, F.array(*[step(i) for i in (1, 2, 3, 4)])),
-        "signers": F.when(crypto & (k % 4 == 0), signers),
-        "open": F.when(crypto, k % 4 != 0),
-        "threshold": F.when(crypto, i32(3 + k % 5)),
-        "manualCompletion": k % 11 == 5,
-        "requiredDocHash": F.when(crypto & (k % 7 == 0), hash_document(F.lit("contract"))),
-    }
-    return kinds.select(
-        *[
-            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schemas.COORD_EVENTS.fields
-        ]
-    )
+    return _sql(spark, sf_dir, _EVENTS).to(schemas.COORD_EVENTS)
 
 
-def replies(spark: SparkSession, sf_dir: str, mode: str | None = None) -> DataFrame:
-    """The replies of projection `fa` in the form `decide` takes."""
-    fa = projection(spark, sf_dir, "fa")
-    crypto = F.col("k") % 2 == 0
-    rows = fa.select(
-        F.col("coord_id").alias("event_id"),
-        "mail_id",
-        "received_at",
-        F.when(crypto, "crypto").otherwise("workflow").alias("mode"),
-        F.when(~crypto, F.col("step_id")).alias("step_id"),
-        "sender",
-        F.col("trust").alias("trust_level"),
-        F.concat(F.lit("<M"), F.col("mail_id").cast("string"), F.lit("@Mail.Example>")).alias("message_id"),
-        attachments().alias("attachments"),
-    )
-    return rows if mode is None else rows.filter(F.col("mode") == mode)
-
+_FA = SQL["fa"]
+_FILE = "array(named_struct('filename', '{name}', 'size', cast({size} as bigint), 'sha256', concat('sha256:', sha2('{text}', 256))))"
+_REPLIES = f"""
+select coord_id as event_id, mail_id, received_at, if(k % 2 = 0, 'crypto', 'workflow') as mode, if(k % 2 = 1, step_id, null) as step_id, sender, trust as trust_level,
+ concat('<M', mail_id, '@Mail.Example>') as message_id,
+ case when k % 2 = 0 and doc_ok then {_FILE.format(name="contract.pdf", size=8, text="contract")} when k % 2 = 1 and has_attachment then {_FILE.format(name="photo.jpg", size=5, text="photo")}
+  else cast(array() as array<struct<filename:string,size:bigint,sha256:string>>) end as attachments from ({_FA})"""
 
-def _one(name, size, sha):
-    return F.array(F.struct(name.alias("filename"), size.cast("bigint").alias("size"), sha.alias("sha256")))
 
+def replies(spark: SparkSession, sf_dir: str, mode: str | None = None) -> DataFrame:
+    """The replies of projection `fa` in the form `decide` takes.
 
-def attachments():
-    """A sign-off reply may carry the contract, a workflow reply any file."""
-    crypto = F.col("k") % 2 == 0
-    contract = _one(F.lit("contract.pdf"), F.lit(8), hash_document(F.lit("contract")))
-    photo = _one(F.lit("photo.jpg"), F.lit(5), hash_document(F.lit("photo")))
-    return (
-        F.when(crypto & F.col("doc_ok"), contract)
-        .when(~crypto & F.col("has_attachment"), photo)
-        .otherwise(F.array().cast(schemas.T.ArrayType(schemas.ATTACHMENT)))
-    )
+    A sign-off reply may carry the contract, a workflow reply any file.
+    """
+    rows = _sql(spark, sf_dir, _REPLIES)
+    return rows if mode is None else rows.filter(F.col("mode") == mode)
 
 
-def auth_verdict(trust):
-    """A verdict that grades to the given level."""
-    dkim = F.when(trust == "verified", "pass").otherwise("fail")
-    signature = F.struct(
-        F.struct(dkim.alias("result"), F.lit("").alias("comment"),
-                 F.when(trust == "verified", F.lit("d.example")).alias("aligned")).alias("status"),
-        F.lit("d.example").alias("signingDomain"), F.lit("sel").alias("selector"), F.lit("rsa-sha256").alias("algo"),
-        F.lit(None).cast("string").alias("info"),
-    )
-    passed = lambda *levels: F.when(trust.isin(*levels), "pass").otherwise("none")
-    return F.struct(
-        F.struct(F.array(signature).alias("results")).alias("dkim"),
-        F.struct(F.struct(passed("authorized").alias("result")).alias("status")).alias("spf"),
-        F.struct(F.struct(passed("verified", "authorized").alias("result")).alias("status")).alias("dmarc"),
-        F.struct(F.struct(passed("forwarded").alias("result"), F.lit(None).cast("string").alias("comment")).alias("status"),
-                 F.when(trust == "forwarded", 2).alias("i")).alias("arc"),
-    ).cast(schemas.AUTH)
+_MAIL = f"""
+select mail_id, received_at, cast(raw as binary) as raw,
+ named_struct('sender', sender, 'recipient', recipient, 'client_ip', if(mail_id % 3 = 0, 'unknown', '192.0.2.1'), 'client_helo', '') as envelope,
+ named_struct('dkim', named_struct('results', array(named_struct('status', named_struct('result', if(trust = 'verified', 'pass', 'fail'), 'comment', '', 'aligned', if(trust = 'verified', 'd.example', null)),
+   'signingDomain', 'd.example', 'selector', 'sel', 'algo', 'rsa-sha256', 'info', cast(null as string)))),
+  'spf', named_struct('status', named_struct('result', if(trust = 'authorized', 'pass', 'none'))), 'dmarc', named_struct('status', named_struct('result', if(trust in ('verified', 'authorized'), 'pass', 'none'))),
+  'arc', named_struct('status', named_struct('result', if(trust = 'forwarded', 'pass', 'none'), 'comment', cast(null as string)), 'i', if(trust = 'forwarded', 2, null))) as auth
+ from ({SQL["fc"]})"""
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages of projection `fc` as `mail` rows; attachments come from the bytes."""
-    fc = projection(spark, sf_dir, "fc")
-    envelope = F.struct(
-        F.col("sender").alias("sender"), F.col("recipient").alias("recipient"),
-        F.when(F.col("mail_id") % 3 == 0, F.lit("unknown")).otherwise(F.lit("192.0.2.1")).alias("client_ip"),
-        F.lit("").alias("client_helo"),
-    )
-    return fc.select(
-        "mail_id", "received_at", F.col("raw").cast("binary").alias("raw"), envelope.alias("envelope"),
-        auth_verdict(F.col("trust")).alias("auth"),
-    )
+    """The messages of projection `fc` as `mail` rows; each verdict grades to the row's trust."""
+    return _sql(spark, sf_dir, _MAIL)
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,34 +210,20 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LEDGER = [
+    "2 as schema_version", "'reply' as kind", "event_id", "step_id", "sequence", "received_at", "sender_hash", "sender_domain", "message_id_hash",
+    "trust_level", "counted", "count_reason",
+    "if(att_sha256 is not null, array(named_struct('filename', att_name, 'size', cast(6 as bigint), 'sha256', att_sha256)), cast(array() as array<struct<filename:string,size:bigint,sha256:string>>)) as attachments",
+    "named_struct('result', cast(null as string), 'signatures', array(named_struct('result', sig_result, 'comment', cast(null as string), 'domain', concat('d', k % 3, '.example'), "
+    "'selector', if(mail_id % 13 <> 0, 'sel', null), 'aligned', cast(null as string), 'algorithm', 'rsa-sha256', 'info', cast(null as string)))) as dkim",
+    "raw_sha256", "cast(10 as bigint) as raw_size", "if(has_key, concat('dkim_keys/commit-', format_string('%03d', sequence), '.pem'), null) as dkim_key_file", "mail_id", "k",
+]
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projection `lg` with the ledger's column types."""
-    lg = numbered(spark, sf_dir)
-    none = F.array().cast(schemas.T.ArrayType(schemas.ATTACHMENT))
-    signature = F.struct(
-        F.col("sig_result").alias("result"), F.lit(None).cast("string").alias("comment"),
-        F.concat(F.lit("d"), (F.col("k") % 3).cast("string"), F.lit(".example")).alias("domain"),
-        F.when(F.col("mail_id") % 13 != 0, F.lit("sel")).alias("selector"),
-        F.lit(None).cast("string").alias("aligned"), F.lit("rsa-sha256").alias("algorithm"), F.lit(None).cast("string").alias("info"),
-    )
-    values = {
-        "schema_version": F.lit(2),
-        "kind": F.lit("reply"),
-        "attachments": F.when(F.col("att_sha256").isNotNull(), _one(F.col("att_name"), F.lit(6), F.col("att_sha256"))).otherwise(none),
-        "dkim": F.struct(F.lit(None).cast("string").alias("result"), F.array(signature).alias("signatures")),
-        "dkim_key_file": F.when(
-            F.col("has_key"), F.concat(F.lit("dkim_keys/commit-"), pad_seq("sequence"), F.lit(".pem"))
-        ),
-        "raw_size": F.lit(10),
-    }
-    have = set(lg.columns)
-    return lg.select(
-        *[
-            values.get(f.name, F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schemas.LEDGER.fields
-        ],
-        "mail_id", "k",
-    )
+    extra = [schemas.T.StructField("mail_id", schemas.L), schemas.T.StructField("k", schemas.L)]
+    return numbered(spark, sf_dir).selectExpr(*_LEDGER).to(schemas.T.StructType([*schemas.LEDGER.fields, *extra]))
 
 
 def proofs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
