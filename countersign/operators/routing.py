@@ -75,46 +75,58 @@ def route(mail: DataFrame, keep_raw: bool = False) -> DataFrame:
 
     Order: bounce, machine mail, initiator command, verify, reverify, event, attest, no tag.
     """
-    df = screen(mail)
-    addr = F.col("_addr")
-    df = df.withColumns(
-        {
-            "_cmd": addresses.initiator_command(address=addr),
-            "_verify": addresses.verify_tag(address=addr),
-            "_reverify": addresses.reverify_tag(address=addr),
-            "_event": addresses.event_tag(address=addr),
-            "_attest": addresses.attest_tag(address=addr),
-        }
-    )
-    df = df.withColumn(
-        "route",
-        F.when(F.col("is_bounce"), "bounce")
-        .when(F.col("screening.rejected"), "rejected")
-        .when(F.col("_cmd").isNotNull(), F.col("_cmd.command"))
-        .when(F.col("_verify").isNotNull(), "verify")
-        .when(F.col("_reverify").isNotNull(), "reverify")
-        .when(F.col("_event").isNotNull(), "event")
-        .when(F.col("_attest").isNotNull(), "attest")
-        .otherwise("no_event_tag"),
-    )
-    r = F.col("route")
-    reply_event = F.coalesce(F.col("_event.event_id"), F.col("_attest.event_id"))
+    df = screen(mail).withColumn("_tag", any_tag(F.col("_addr")))
+    tag, bounce = F.col("_tag"), F.col("is_bounce")
+    kind = F.coalesce(tag["kind"], F.lit("no_event_tag"))
+    is_reply_tag = kind.isin("event", "attest")
+    # Each column mentions the header tests once, so that a filter on it stays small.
+    usable = F.when(bounce, is_reply_tag).otherwise(~F.col("screening.rejected"))
     out = df.withColumns(
         {
-            "event_id": F.when(r.isin("bounce", "event", "attest"), reply_event)
-            .when(r.isin(*addresses.INITIATOR_COMMANDS), F.col("_cmd.event_id"))
-            .when(r == "verify", F.col("_verify.event_id"))
-            .when(r == "reverify", F.col("_reverify.event_id")),
-            "step_id": F.when(r.isin("bounce", "event"), F.nullif(F.col("_event.step_id"), F.lit(""))),
-            "commit_sequence": F.when(r == "reverify", F.col("_reverify.commit_sequence")),
-            "mode": F.when(r == "event", "workflow").when(r == "attest", "crypto"),
-            "reason": F.when(r == "rejected", F.col("screening.reason"))
-            .when((r == "no_event_tag") | ((r == "bounce") & reply_event.isNull()), F.lit("no_event_tag")),
+            "route": F.when(bounce, "bounce").when(F.col("screening.rejected"), "rejected").otherwise(kind),
+            "event_id": F.when(usable, tag["event_id"]),
+            "step_id": F.when(usable, tag["step_id"]),
+            "commit_sequence": F.when(usable, tag["commit_sequence"]),
+            "mode": F.when(
+                is_reply_tag & ~bounce & ~F.col("screening.rejected"),
+                F.when(kind == "event", F.lit("workflow")).otherwise(F.lit("crypto")),
+            ),
+            "reason": F.when(bounce, F.when(~is_reply_tag, F.lit("no_event_tag"))).otherwise(
+                F.coalesce(F.col("screening.reason"), F.when(tag.isNull(), F.lit("no_event_tag")))
+            ),
         }
-    ).drop("_addr", "_cmd", "_verify", "_reverify", "_event", "_attest", "is_bounce", "screening")
+    ).drop("_addr", "_tag", "is_bounce", "screening")
     return out if keep_raw else out.drop("raw")
 
 
+def any_tag(address: Column) -> Column:
+    """The one tag an address can carry: `(kind, event_id, step_id, commit_sequence)` or NULL.
+
+    A tag's kind is the address's kind, so at most one of the tag grammars applies.
+    """
+    none = F.lit(None)
+    empty = {"step_id": none.cast("string"), "commit_sequence": none.cast("int")}
+
+    def tag(kind: Column, parsed: Column, **extra: Column) -> Column:
+        fields = {**empty, **extra}
+        return F.when(
+            parsed.isNotNull(),
+            F.struct(
+                kind.alias("kind"), parsed["event_id"].alias("event_id"),
+                fields["step_id"].alias("step_id"), fields["commit_sequence"].alias("commit_sequence"),
+            ),
+        )
+
+    event, reverify = addresses.event_tag(address=address), addresses.reverify_tag(address=address)
+    return (
+        F.when(address["kind"].isin(*addresses.INITIATOR_COMMANDS), tag(address["kind"], addresses.initiator_command(address=address)))
+        .when(address["kind"] == "verify", tag(F.lit("verify"), addresses.verify_tag(address=address)))
+        .when(address["kind"] == "reverify", tag(F.lit("reverify"), reverify, commit_sequence=reverify["commit_sequence"]))
+        .when(address["kind"] == "event", tag(F.lit("event"), event, step_id=F.nullif(event["step_id"], F.lit(""))))
+        .when(address["kind"] == "attest", tag(F.lit("attest"), addresses.attest_tag(address=address)))
+    )
+
+
 def route_bounces(mail: DataFrame) -> DataFrame:
     """R2. Delivery reports alone, by the event or attest tag they came back to; keeps `raw`.
 

@@ -145,7 +145,7 @@ def verify_candidates(candidates: DataFrame, ledger: DataFrame, events: DataFram
     matched = find_match(candidate_hashes(candidates, events), ledger)
     hit = F.col("match_type") != "none"
     # Unmatched positions sort behind all matched ones, last position first.
-    order = F.when(hit, F.col("cand_pos").cast("bigint")).otherwise((F.lit(1) << 40) - F.col("cand_pos"))
+    order = F.when(hit, F.col("cand_pos").cast("bigint")).otherwise(F.lit(1 << 40) - F.col("cand_pos"))
     pick = F.struct("cand_pos", "raw_sha256", "match_type", "sequence")
     best = matched.groupBy("request_id", "event_id").agg(F.min_by(pick, order).alias("b")).select("request_id", "event_id", "b.*")
     entry = ledger.select(

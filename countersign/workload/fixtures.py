@@ -15,6 +15,7 @@ from countersign import schemas
 from countersign.functions.addresses import sender_domain
 from countersign.functions.hashing import hash_document, pad_seq, salted_message_id_hash, salted_sender_hash
 from countersign.operators.numbering import assign_sequence
+from countersign.session import checkpointed
 
 DOMAIN = "app.example"
 
@@ -183,8 +184,12 @@ select mail_id, received_at, cast(raw as binary) as raw,
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages of projection `fc` as `mail` rows; each verdict grades to the row's trust."""
-    return _sql(spark, sf_dir, _MAIL)
+    """The messages of projection `fc` as `mail` rows; each verdict grades to the row's trust.
+
+    Written once, as mail is at rest: the text is then a column to read, not an expression that
+    every header test repeats.
+    """
+    return checkpointed(_sql(spark, sf_dir, _MAIL))
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
