@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from countersign.functions.headers import _col, _group, _strip
 
-_ADDRESS = r"(?i)^([a-z][a-z0-9]*)\+([^@\s]+)@([^\s@]+)$"
+ADDRESS = r"(?i)^([a-z][a-z0-9]*)\+([^@\s]+)@([^\s@]+)$"
 _EVENT_ID = r"^[a-zA-Z0-9]+$"
 
 # fixed values: the two commands an initiator may mail in
@@ -22,11 +22,11 @@ def parse_address(recipient: Column | str) -> Column:
     """P4. `kind+extension@domain` as a struct, NULL for anything else."""
     text = _strip(_col(recipient))
     return F.when(
-        text.rlike(_ADDRESS),
+        text.rlike(ADDRESS),
         F.struct(
-            F.lower(F.regexp_extract(text, _ADDRESS, 1)).alias("kind"),
-            F.regexp_extract(text, _ADDRESS, 2).alias("extension"),
-            F.lower(F.regexp_extract(text, _ADDRESS, 3)).alias("domain"),
+            F.lower(F.regexp_extract(text, ADDRESS, 1)).alias("kind"),
+            F.regexp_extract(text, ADDRESS, 2).alias("extension"),
+            F.lower(F.regexp_extract(text, ADDRESS, 3)).alias("domain"),
         ),
     )
 

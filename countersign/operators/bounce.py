@@ -5,17 +5,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countersign.functions import headers as H
+from countersign.session import evaluated_once
 
+RECIPIENTS = (
+    "array<struct<original_recipient:string,final_recipient:string,action:string,status:string,diagnostic:string>>"
+)
 
-def delivery_status_part(raw: Column | str) -> Column:
-    """Body of the first message/delivery-status part; NULL without one."""
-    text = H.text_of(raw)
-    top = H.split_headers_body(text)
-    boundary = H.extract_boundary(H.content_type(F.get(top, F.lit(0))))
-    parts = H.split_multipart(F.get(top, F.lit(1)), boundary)
-    split = F.transform(parts, H.split_headers_body)
-    status = F.filter(split, lambda p: F.get(p, F.lit(0)).rlike(r"(?i)content-type\s*:\s*message/delivery-status"))
-    return F.coalesce(F.get(F.get(status, F.lit(0)), F.lit(1)), F.when(F.size(status) > 0, F.lit("")))
+
+def with_dsn_groups(df: DataFrame) -> DataFrame:
+    """Add `groups`: the blank-line groups of the first message/delivery-status part of `raw`.
+
+    NULL without such a part.
+    """
+    df = evaluated_once(df, _top=H.split_headers_body(H.text_of("raw")))
+    df = evaluated_once(df, _boundary=H.extract_boundary(H.content_type(F.get("_top", F.lit(0)))))
+    df = evaluated_once(df, _parts=H.split_multipart(F.get("_top", F.lit(1)), "_boundary"))
+    split = F.transform("_parts", H.split_headers_body)
+    is_status = lambda p: F.get(p, F.lit(0)).rlike(r"(?i)content-type\s*:\s*message/delivery-status")
+    df = evaluated_once(df, _status=F.get(F.filter(split, is_status), F.lit(0)))
+    body = F.when(F.col("_status").isNotNull(), F.coalesce(F.get("_status", F.lit(1)), F.lit("")))
+    return evaluated_once(df, groups=dsn_groups(body)).drop("_top", "_boundary", "_parts", "_status")
 
 
 def dsn_groups(body: Column | str) -> Column:
@@ -27,16 +36,21 @@ def dsn_groups(body: Column | str) -> Column:
 
 def recipient(group: Column) -> Column:
     """One recipient group as a struct."""
-    def text(name: str) -> Column:
-        return F.nullif(H.field_in_group(group, name), F.lit(""))
-
-    return F.struct(
-        H.strip_address_type(text("original-recipient")).alias("original_recipient"),
-        H.strip_address_type(text("final-recipient")).alias("final_recipient"),
-        F.lower(text("action")).alias("action"),
-        text("status").alias("status"),
-        text("diagnostic-code").alias("diagnostic"),
-    )
+    def text(fields: Column, name: str) -> Column:
+        hits = F.filter(fields, lambda f: f["name"] == name)
+        return F.nullif(F.try_element_at(hits, F.lit(-1))["value"], F.lit(""))
+
+    def read(fields: Column) -> Column:
+        return F.struct(
+            H.strip_address_type(text(fields, "original-recipient")).alias("original_recipient"),
+            H.strip_address_type(text(fields, "final-recipient")).alias("final_recipient"),
+            F.lower(text(fields, "action")).alias("action"),
+            text(fields, "status").alias("status"),
+            text(fields, "diagnostic-code").alias("diagnostic"),
+        )
+
+    # Bind the parsed fields once for all five lookups.
+    return F.get(F.transform(F.array(H._field_entries(group)), read), F.lit(0))
 
 
 def is_permanent(r: Column) -> Column:
@@ -46,22 +60,18 @@ def is_permanent(r: Column) -> Column:
     )
 
 
-def permanent_failures(raw: Column | str) -> Column:
-    """C2. Array of the permanently failed recipients of a delivery report."""
-    groups = dsn_groups(delivery_status_part(raw))
-    rest = F.slice(groups, F.lit(2), F.greatest(F.size(groups), F.lit(1)))
-    return F.coalesce(
-        F.filter(F.transform(rest, recipient), is_permanent),
-        F.array().cast(
-            "array<struct<original_recipient:string,final_recipient:string,action:string,status:string,diagnostic:string>>"
-        ),
-    )
+def with_failures(df: DataFrame) -> DataFrame:
+    """C2. Add `failed`: the permanently failed recipients of the delivery report in `raw`."""
+    df = with_dsn_groups(df)
+    rest = F.slice("groups", F.lit(2), F.greatest(F.size("groups"), F.lit(1)))
+    df = evaluated_once(df, recipients=F.transform(rest, recipient))
+    none = F.array().cast(RECIPIENTS)
+    return evaluated_once(df, failed=F.coalesce(F.filter("recipients", is_permanent), none)).drop("groups", "recipients")
 
 
 def dsn_recipients(bounces: DataFrame) -> DataFrame:
     """Every recipient group of delivery reports as rows, permanent or not."""
-    groups = dsn_groups(delivery_status_part("raw"))
-    rows = bounces.select("mail_id", F.posexplode(groups).alias("pos", "grp")).filter("pos > 0")
+    rows = with_dsn_groups(bounces).select("mail_id", F.posexplode("groups").alias("pos", "grp")).filter("pos > 0")
     return rows.select("mail_id", "pos", recipient(F.col("grp")).alias("r")).select("mail_id", "pos", "r.*")
 
 
@@ -74,7 +84,7 @@ def process_bounces(bounces: DataFrame, events: DataFrame) -> DataFrame:
     head = events.select(
         F.col("id").alias("event_id"), F.col("type").alias("event_type"), "title", "initiator"
     )
-    df = bounces.withColumn("failed", permanent_failures("raw")).drop("raw").join(head, "event_id")
+    df = with_failures(bounces).drop("raw").join(head, "event_id")
     addresses = F.filter(
         F.transform("failed", lambda f: F.coalesce(f["final_recipient"], f["original_recipient"])),
         lambda a: a.isNotNull(),

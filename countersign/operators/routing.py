@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from countersign.functions import addresses, headers
 from countersign.functions.hashing import hash_document
 from countersign.functions.trust import classify_trust, pick_signature_to_archive, summarise_auth
+from countersign.session import evaluated_once
+
+ENVELOPE_FIELDS = ("sender", "recipient", "client_ip", "client_helo")
+TAG_COLUMNS = ("tag_kind", "tag_event_id", "tag_step_id", "tag_sequence")
 
 # fixed values: screening lists
 LIST_HEADERS = ("List-Id", "List-Post", "List-Unsubscribe")
@@ -17,8 +21,7 @@ SYSTEM_LOCAL_PARTS = ("noreply", "no-reply", "mailer-daemon", "postmaster", "bou
 def normalise_envelope(envelope: Column | str) -> Column:
     """S2. Empty and `unknown` envelope fields become NULL."""
     e = headers._col(envelope)
-    names = ("sender", "recipient", "client_ip", "client_helo")
-    return F.struct(*[F.nullif(F.nullif(e[n], F.lit("")), F.lit("unknown")).alias(n) for n in names])
+    return F.struct(*[F.nullif(F.nullif(e[n], F.lit("")), F.lit("unknown")).alias(n) for n in ENVELOPE_FIELDS])
 
 
 def from_address(block: Column | str) -> Column:
@@ -31,16 +34,24 @@ def from_address(block: Column | str) -> Column:
 
 def prefilter(block: Column | str, sender: Column | str) -> Column:
     """F2. `(rejected, reason)` for machine mail; the first rule that applies names the reason."""
-    block = headers._col(block)
-    auto = headers.raw_header(block, "Auto-Submitted")
-    precedence = F.lower(headers.raw_header(block, "Precedence"))
-    address = F.lower(F.coalesce(headers._col(sender), F.lit("")))
-    listed = F.lit(False)
-    for name in LIST_HEADERS:
-        listed = listed | (F.coalesce(headers.raw_header(block, name), F.lit("")) != "")
+    return _screening(_screened_headers(headers._col(block)), headers._col(sender))
+
+
+def _screened_headers(block: Column) -> dict[str, Column]:
+    listed = F.coalesce(*[headers.raw_header(block, name) for name in LIST_HEADERS], F.lit(""))
+    return {
+        "auto_submitted": headers.raw_header(block, "Auto-Submitted"),
+        "precedence": F.lower(headers.raw_header(block, "Precedence")),
+        "listed": listed != "",
+    }
+
+
+def _screening(h: dict[str, Column], sender: Column) -> Column:
+    auto, precedence = h["auto_submitted"], h["precedence"]
+    address = F.lower(F.coalesce(sender, F.lit("")))
     reason = (
         F.when((auto != "") & (F.lower(auto) != "no"), F.concat(F.lit("auto-submitted: "), auto))
-        .when(listed, F.lit("mailing list headers present"))
+        .when(h["listed"], F.lit("mailing list headers present"))
         .when(precedence.isin(*BULK_PRECEDENCE), F.concat(F.lit("precedence: "), precedence))
         .when(
             F.substring_index(address, "@", 1).isin(*SYSTEM_LOCAL_PARTS),
@@ -51,23 +62,31 @@ def prefilter(block: Column | str, sender: Column | str) -> Column:
 
 
 def screen(mail: DataFrame) -> DataFrame:
-    """Everything later stages want from `raw`, computed where the bytes are read."""
-    df = mail.withColumns(
-        {"_block": headers.header_block("raw"), "envelope": normalise_envelope("envelope")}
+    """Everything later stages want from `raw` and the envelope, computed where they are read."""
+    e = normalise_envelope("envelope")
+    df = evaluated_once(
+        mail, _block=headers.header_block("raw"), **{f"_env_{n}": e[n] for n in ENVELOPE_FIELDS}
     )
-    df = df.withColumns(
-        {"from_address": from_address("_block"), "_addr": addresses.parse_address(F.col("envelope.recipient"))}
+    block = F.col("_block")
+    df = evaluated_once(
+        df,
+        from_address=from_address(block),
+        is_bounce=headers.is_delivery_status_report(block),
+        message_id=headers.raw_header(block, "Message-ID"),
+        raw_sha256=hash_document("raw"),
+        raw_size=F.octet_length("raw").cast("bigint"),
+        **_screened_headers(block),
     )
-    return df.withColumns(
-        {
-            "is_bounce": headers.is_delivery_status_report("_block"),
-            "screening": prefilter("_block", "from_address"),
-            "message_id": headers.raw_header("_block", "Message-ID"),
-            "sender": addresses.resolve_sender(F.col("envelope.sender"), "from_address"),
-            "raw_sha256": hash_document("raw"),
-            "raw_size": F.octet_length("raw").cast("bigint"),
-        }
-    ).drop("_block")
+    read = {name: F.col(name) for name in ("auto_submitted", "precedence", "listed")}
+    return evaluated_once(
+        df,
+        reject_reason=_screening(read, F.col("from_address"))["reason"],
+        sender=addresses.resolve_sender("_env_sender", "from_address"),
+    ).drop("_block", "envelope", *read)
+
+
+def _rebuilt_envelope() -> Column:
+    return F.struct(*[F.col(f"_env_{n}").alias(n) for n in ENVELOPE_FIELDS])
 
 
 def route(mail: DataFrame, keep_raw: bool = False) -> DataFrame:
@@ -75,56 +94,51 @@ def route(mail: DataFrame, keep_raw: bool = False) -> DataFrame:
 
     Order: bounce, machine mail, initiator command, verify, reverify, event, attest, no tag.
     """
-    df = screen(mail).withColumn("_tag", any_tag(F.col("_addr")))
-    tag, bounce = F.col("_tag"), F.col("is_bounce")
-    kind = F.coalesce(tag["kind"], F.lit("no_event_tag"))
+    df = evaluated_once(screen(mail), **any_tag(F.col("_env_recipient")))
+    bounce, rejected = F.col("is_bounce"), F.col("reject_reason").isNotNull()
+    kind = F.coalesce("tag_kind", F.lit("no_event_tag"))
     is_reply_tag = kind.isin("event", "attest")
-    # Each column mentions the header tests once, so that a filter on it stays small.
-    usable = F.when(bounce, is_reply_tag).otherwise(~F.col("screening.rejected"))
+    usable = F.when(bounce, is_reply_tag).otherwise(~rejected)
     out = df.withColumns(
         {
-            "route": F.when(bounce, "bounce").when(F.col("screening.rejected"), "rejected").otherwise(kind),
-            "event_id": F.when(usable, tag["event_id"]),
-            "step_id": F.when(usable, tag["step_id"]),
-            "commit_sequence": F.when(usable, tag["commit_sequence"]),
+            "route": F.when(bounce, "bounce").when(rejected, "rejected").otherwise(kind),
+            "event_id": F.when(usable, F.col("tag_event_id")),
+            "step_id": F.when(usable, F.col("tag_step_id")),
+            "commit_sequence": F.when(usable, F.col("tag_sequence")),
             "mode": F.when(
-                is_reply_tag & ~bounce & ~F.col("screening.rejected"),
+                is_reply_tag & ~bounce & ~rejected,
                 F.when(kind == "event", F.lit("workflow")).otherwise(F.lit("crypto")),
             ),
             "reason": F.when(bounce, F.when(~is_reply_tag, F.lit("no_event_tag"))).otherwise(
-                F.coalesce(F.col("screening.reason"), F.when(tag.isNull(), F.lit("no_event_tag")))
+                F.coalesce("reject_reason", F.when(F.col("tag_kind").isNull(), F.lit("no_event_tag")))
             ),
+            "envelope": _rebuilt_envelope(),
         }
-    ).drop("_addr", "_tag", "is_bounce", "screening")
+    ).drop(*TAG_COLUMNS, *[f"_env_{n}" for n in ENVELOPE_FIELDS], "is_bounce", "reject_reason")
     return out if keep_raw else out.drop("raw")
 
 
-def any_tag(address: Column) -> Column:
-    """The one tag an address can carry: `(kind, event_id, step_id, commit_sequence)` or NULL.
+def any_tag(recipient: Column) -> dict[str, Column]:
+    """The one tag an address can carry, as four columns that are NULL without a valid tag.
 
-    A tag's kind is the address's kind, so at most one of the tag grammars applies.
+    A tag's kind is the address's kind, so one grammar applies at most.
     """
-    none = F.lit(None)
-    empty = {"step_id": none.cast("string"), "commit_sequence": none.cast("int")}
-
-    def tag(kind: Column, parsed: Column, **extra: Column) -> Column:
-        fields = {**empty, **extra}
-        return F.when(
-            parsed.isNotNull(),
-            F.struct(
-                kind.alias("kind"), parsed["event_id"].alias("event_id"),
-                fields["step_id"].alias("step_id"), fields["commit_sequence"].alias("commit_sequence"),
-            ),
-        )
-
-    event, reverify = addresses.event_tag(address=address), addresses.reverify_tag(address=address)
-    return (
-        F.when(address["kind"].isin(*addresses.INITIATOR_COMMANDS), tag(address["kind"], addresses.initiator_command(address=address)))
-        .when(address["kind"] == "verify", tag(F.lit("verify"), addresses.verify_tag(address=address)))
-        .when(address["kind"] == "reverify", tag(F.lit("reverify"), reverify, commit_sequence=reverify["commit_sequence"]))
-        .when(address["kind"] == "event", tag(F.lit("event"), event, step_id=F.nullif(event["step_id"], F.lit(""))))
-        .when(address["kind"] == "attest", tag(F.lit("attest"), addresses.attest_tag(address=address)))
+    text = headers._strip(recipient)
+    kind = F.lower(headers._group(text, addresses.ADDRESS, 1))
+    ext = headers._group(text, addresses.ADDRESS, 2)
+    plain = kind.isin(*addresses.INITIATOR_COMMANDS, "verify", "attest")
+    event_id = (
+        F.when(plain, headers._group(ext, r"^([a-zA-Z0-9]+)$"))
+        .when(kind == "event", headers._group(ext, r"^([a-zA-Z0-9]+)(?:-.*)?$"))
+        .when(kind == "reverify", headers._group(ext, r"^([a-zA-Z0-9]+)-0*[1-9]\d{0,4}$"))
+    )
+    values = (
+        F.when(event_id.isNotNull(), kind),
+        event_id,
+        F.when(kind == "event", headers._group(ext, r"^[a-zA-Z0-9]+-(.+)$")),
+        F.when(kind == "reverify", headers._group(ext, r"^[a-zA-Z0-9]+-0*([1-9]\d{0,4})$").cast("int")),
     )
+    return dict(zip(TAG_COLUMNS, values))
 
 
 def route_bounces(mail: DataFrame) -> DataFrame:
@@ -133,18 +147,15 @@ def route_bounces(mail: DataFrame) -> DataFrame:
     The cheap test comes first, so no other header of other mail is looked at.
     """
     df = mail.filter(headers.is_delivery_status_report(headers.header_block("raw")))
-    df = df.withColumn("envelope", normalise_envelope("envelope"))
-    df = df.withColumn("_addr", addresses.parse_address(F.col("envelope.recipient")))
-    addr = F.col("_addr")
-    df = df.withColumns({"_event": addresses.event_tag(address=addr), "_attest": addresses.attest_tag(address=addr)})
-    event_id = F.coalesce(F.col("_event.event_id"), F.col("_attest.event_id"))
+    df = evaluated_once(df, **any_tag(normalise_envelope("envelope")["recipient"]))
+    event_id = F.when(F.col("tag_kind").isin("event", "attest"), F.col("tag_event_id"))
     return df.withColumns(
         {
             "event_id": event_id,
-            "step_id": F.nullif(F.col("_event.step_id"), F.lit("")),
+            "step_id": F.col("tag_step_id"),
             "reason": F.when(event_id.isNull(), F.lit("no_event_tag")),
         }
-    ).drop("_addr", "_event", "_attest")
+    ).drop(*TAG_COLUMNS)
 
 
 def known_events(routed: DataFrame, events: DataFrame) -> DataFrame:

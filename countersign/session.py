@@ -3,7 +3,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings only: everything here may be set on a session someone else created.
 SETTINGS = {
@@ -52,3 +53,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add (or replace) columns that later filters and projections read instead of repeating.
+
+    The optimizer copies a projected expression into every filter above it. For long text
+    expressions that repeats the work per row and outgrows code generation; it does not copy
+    through a generator, so the values pass through a one-row `inline`.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))

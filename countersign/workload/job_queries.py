@@ -48,7 +48,7 @@ def w8(spark, sf):
 
 @query("f03_permanent_failures", W("fc") + "select mail_id, case when mail_id % 2 = 0 then 1 else 0 end as n_failed from fc where mail_id % 11 = 5")
 def f03(spark, sf):
-    return R.route_bounces(fx.mail(spark, sf)).select("mail_id", F.size(B.permanent_failures("raw")).alias("n_failed"))
+    return B.with_failures(R.route_bounces(fx.mail(spark, sf))).select("mail_id", F.size("failed").alias("n_failed"))
 
 
 @query("c02_process_bounces", BOUNCES + "select mail_id, event_id, route_step as step_id, case when failed then 1 else 0 end as n_failed, case when failed then 'u' || user_id || '@d1.example' end as failed_recipient, case when failed then '5.1.1' end as code, case when failed then 'smtp; 550 user unknown' end as error_reason from bn")
