@@ -1,10 +1,9 @@
 """C1. One batch of inbound mail against the current state."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countersign import schemas
 from countersign.operators import bounce as B
 from countersign.operators import commands as C
 from countersign.operators import ledger as LG
@@ -87,14 +86,13 @@ def ingest_batch(
         F.col("mail_id").alias("request_id"), "received_at", "event_id", "route", "sender", "message_id",
         F.col("commit_sequence").cast("bigint").alias("target_sequence"), "raw",
     )
-    candidates = hold(extract_candidates(requests))
     past = entries.limit(0) if ledger is None else ledger
     no_verdicts = spark.createDataFrame([], "raw_sha256 string, domain string, selector string, ok boolean, reason string")
     given = verdicts if verdicts is not None else no_verdicts
     # Read-side requests see the ledger as it stood before this batch.
-    verified = V.verify_candidates(candidates.filter("route = 'verify'"), past, events, given)
+    verified = V.verify_candidates(extract_candidates(requests.filter("route = 'verify'")), past, events, given)
     reverified = V.reverify(
-        candidates.filter("route = 'reverify' and cand_pos = 0"), past, events, given, reverify_log
+        extract_candidates(requests.filter("route = 'reverify'")).filter("cand_pos = 0"), past, events, given, reverify_log
     )
     asked = requests.select("request_id", "received_at", "sender").dropDuplicates(["request_id"])
     notices = R.dispatch_results(
@@ -152,9 +150,4 @@ def archived_keys(rows: DataFrame, dns_txt: DataFrame) -> DataFrame:
     return V.archive_keys(sigs, dns_txt, F.col("received_at"))
 
 
-def empty_like(df: DataFrame, *columns: Column) -> DataFrame:
-    """Same columns, no rows."""
-    return df.limit(0).select(*(columns or df.columns))
-
-
-__all__ = ["Batch", "archived_keys", "decide_replies", "ingest_batch", "reply_rows", "results", "routed_mail", "schemas"]
+__all__ = ["Batch", "archived_keys", "decide_replies", "ingest_batch", "reply_rows", "results", "routed_mail"]
