@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +42,8 @@ def local_session(cores: str | int = "*", app: str = "countersign", memory: str
     return configure(spark)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so the result outlives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for cut lineage: `spark.checkpoint.dir`, or a new temporary one on a local master."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,7 +52,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table in the shared folder, so the result outlives lost executors.
+
+    A written table, unlike a checkpointed frame, lets later reads prune columns, carries true
+    sizes for join planning, and drops the constraints of the plan that made it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:

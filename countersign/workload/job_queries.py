@@ -17,7 +17,7 @@ from countersign.operators import routing as R
 from countersign.operators import sweep as S
 from countersign.plans.ingest import ingest_batch
 from countersign.plans.replay import replay
-from countersign.session import checkpointed
+from countersign.session import checkpointed, shared_folder
 from countersign.sources import mail as M
 from countersign.sources import tables
 from countersign.workload import fixtures as fx
@@ -35,8 +35,7 @@ def _bounces(spark, sf):
 
 def scratch(spark) -> str:
     """A folder beside the checkpoints, which all executors share."""
-    checkpointed(spark.range(1))
-    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    base = shared_folder(spark).removeprefix("file:")
     os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix="store-", dir=base)
 
