@@ -3,8 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from countersign.llm.op1_license import license_sql, scan_licenses
 from countersign.llm.op3_records import new_folder, read_records, write_records
+from countersign.llm.op6_repetition import repetition_rules
 from countersign.llm.op7_mix import mix_sources
+from countersign.llm.op9_pii import pseudonymise
 from countersign.llm.text import prepared
 
 
@@ -18,18 +21,36 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark)
     write_records(_table(spark, sf_dir, "documents"), folder, tokenizer_path())
     return read_records(spark, folder)
 
 
+def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Production passes its own secret; this one makes the query repeatable.
+    return pseudonymise(_table(spark, sf_dir, "documents"), b"countersign public demonstration key")
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_token_records": op3_token_records,
+    "op6_repetition_rules": op6_repetition_rules,
     "op7_mix_sources": op7_mix_sources,
+    "op9_pseudonyms": op9_pseudonyms,
+}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": license_sql(),
 }
-ORACLES: dict[str, str] = {}
