@@ -1,7 +1 @@
 """Operators for training-data corpora. Nothing outside this package and `corpus_pipeline` imports it."""
-import sys
-
-from pyspark import cloudpickle
-
-# Functions that run in tasks travel with the job: executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

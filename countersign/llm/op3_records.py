@@ -9,6 +9,7 @@ counted, so a lost executor leaves at most an unused file, and `write_records` r
 """
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from countersign.llm.text import mapped
 from countersign.session import shared_folder
 
 BLOCK = 64
-KEPT_WORDS = 250_000  # encoded words that one task remembers, twice at most
+KEPT_WORDS = 120_000  # encoded words that one task remembers, twice at most
 CASTAGNOLI = 0x82F63B78  # fixed value: the reflected CRC-32C polynomial
 MASK_DELTA = 0xA282EAD8  # fixed value: the record format's mask
 INDEX = "shard int, file string, ord long, doc_id long, offset long, length long, token_start long, n_tokens long"
@@ -80,56 +81,74 @@ class Encoder:
     """The tokenizer, asked once for each word between spaces.
 
     Its pre-tokenizer never joins what stands before a space to what stands behind it, where neither neighbour of the space is
-    white space itself. Texts that have other white space next to a space, or a special token, are encoded whole.
+    white space itself; it keeps a run of letters whole and parts it from the stops behind it. So a word of letters goes straight to
+    the tokenizer's model, and a stop is encoded by itself. Texts that have other white space next to a space, or a special token, are
+    encoded whole.
     """
 
-    def __init__(self, path: str, vocabulary: str = "<u4"):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, kind: str):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = vocabulary
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian bytes; a null counts as empty."""
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            if not text:
-                pieces.append([])
-            elif any(s in text for s in self.special):
-                pieces.append(None)
-            else:
-                first, *rest = text.split(" ")
-                pieces.append([first, *[f" {w}" for w in rest]])
-        if len(self.new) > KEPT_WORDS:
-            self.old, self.new = self.new, {}
-        new, old, missing = self.new, self.old, {}
-        for words in pieces:
-            for w in words or ():
-                if w not in new:
-                    if w in old:
-                        new[w] = old[w]
-                    else:
-                        missing[w] = None
-        if missing:
-            asked = [w for w in missing if _clean(w)]
-            new.update(dict.fromkeys(missing, None))
-            new.update(zip(asked, self.plain(asked)))
-        out: list[bytes] = []
-        for text, words in zip(texts, pieces):
-            parts = None if words is None else [new[w] for w in words]
-            out.append(self.plain([text])[0] if parts is None or None in parts else b"".join(parts))
-        return out
-
-
-def _clean(piece: str) -> bool:
-    word = piece.removeprefix(" ")
-    return bool(word) and not word[0].isspace() and not word[-1].isspace()
+        self.kind = kind
+        # The model reads bytes as characters; the alphabet in byte order is printable bytes as themselves, the rest from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.bytes_as = {b: b if b in printable else next(others) for b in range(256)}
+        self.byte_level = {chr(c) for c in self.bytes_as.values()} == set(pre_tokenizers.ByteLevel.alphabet()) and "ByteLevel" in str(self.tokenizer.pre_tokenizer)
+        self.known: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def word(self, word: str) -> bytes | None:
+        """Ids of a word behind a space; None where it cannot be told apart from its surroundings."""
+        if word in self.before:
+            ids = self.before[word]
+        elif not word or word[0].isspace() or word[-1].isspace():
+            ids = None
+        elif self.byte_level and word.isalpha():
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes_as)
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(chr(self.bytes_as[32]) + shown)], self.kind).tobytes()
+        elif self.byte_level and word[-1] in ".,;:!?" and word[:-1].isalpha():
+            core = self.known[word[:-1]] if word[:-1] in self.known else self.word(word[:-1])
+            ids = core + self.plain_stop(word[-1])
+        else:
+            ids = self.plain(f" {word}")
+        self.known[word] = ids
+        return ids
+
+    @functools.cache
+    def plain_stop(self, stop: str) -> bytes:
+        return self.plain(stop)
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian bytes; a null counts as empty."""
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return self.plain(text)
+        if len(self.known) > KEPT_WORDS:
+            self.before, self.known = self.known, {}
+        first, *words = text.split(" ")
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            for i, w in enumerate(words):
+                if parts[i] is None:
+                    parts[i] = self.word(w)
+                    if parts[i] is None:
+                        return self.plain(text)
+        if words and (not first or first[-1].isspace()):
+            return self.plain(text)
+        return b"".join([self.plain(first), *parts])
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, kind: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path, kind)
 
 
 def _filesystem(uri: str):
@@ -156,7 +175,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
 
         wide = Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         kind = "<u4" if wide else "<u2"
-        encoder, end = Encoder(tokenizer, kind), np.array([end_id], kind).tobytes()
+        tokens_of, end = encoder(tokenizer, kind).encode, np.array([end_id], kind).tobytes()
         shard, at, tokens, ord_ = TaskContext.get().partitionId(), 0, 0, 0
         files, base = _filesystem(folder)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec"
@@ -164,7 +183,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
         index = []
         for batch in batches:
             stream = stream or files.open_output_stream(f"{base}/{name}")
-            payloads = [np.array([i or 0], "<i8").tobytes() + ids + end for i, ids in zip(batch["doc_id"], encoder.encode(batch["text"]))]
+            payloads = [np.array([i or 0], "<i8").tobytes() + ids + end for i, ids in zip(batch["doc_id"], map(tokens_of, batch["text"]))]
             lengths = np.array([len(p) for p in payloads], "<u8")
             heads = masked(crc32c([n.tobytes() for n in lengths])).astype("<u4")
             tails = masked(crc32c(payloads)).astype("<u4")

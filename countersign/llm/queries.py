@@ -2,9 +2,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from countersign.llm.op1_license import license_sql, scan_licenses
 from countersign.llm.op3_records import new_folder, read_records, write_records
+from countersign.llm.op4_toxicity import fold, score_toxicity
+from countersign.llm.op5_quality import score_quality
 from countersign.llm.op6_repetition import repetition_rules
 from countersign.llm.op7_mix import mix_sources
 from countersign.llm.op9_pii import pseudonymise
@@ -31,6 +34,21 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, folder)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    scored = score_toxicity(docs, _table(spark, sf_dir, "labels"), learn_where=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence", "similarity")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Grades: 0 poor, 1 sound but toxic, 2 sound.
+    labels = _table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade")).where(F.col("quality").isNotNull())
+    held_out = fold(F.col("doc_id"), 4) == 2
+    scored = score_quality(_table(spark, sf_dir, "documents"), ratings, grades=3, learn_where=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "expected_grade", "tail_probability", "kept")
+
+
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +65,8 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_token_records": op3_token_records,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_repetition_rules": op6_repetition_rules,
     "op7_mix_sources": op7_mix_sources,
     "op9_pseudonyms": op9_pseudonyms,
