@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countersign.llm.op10_decontaminate import find_contaminated
 from countersign.llm.op1_license import license_sql, scan_licenses
 from countersign.llm.op3_records import new_folder, read_records, write_records
 from countersign.llm.op4_toxicity import fold, score_toxicity
@@ -62,6 +63,10 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"), b"countersign public demonstration key")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_token_records": op3_token_records,
@@ -70,6 +75,7 @@ QUERIES = {
     "op6_repetition_rules": op6_repetition_rules,
     "op7_mix_sources": op7_mix_sources,
     "op9_pseudonyms": op9_pseudonyms,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_sql(),
