@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from countersign.llm.op10_decontaminate import find_contaminated
 from countersign.llm.op1_license import license_sql, scan_licenses
+from countersign.llm.op2_neardup import near_duplicates
 from countersign.llm.op3_records import new_folder, read_records, write_records
 from countersign.llm.op4_toxicity import fold, score_toxicity
 from countersign.llm.op5_quality import score_quality
@@ -29,6 +30,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark)
     write_records(_table(spark, sf_dir, "documents"), folder, tokenizer_path())
@@ -69,6 +74,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_records": op3_token_records,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
