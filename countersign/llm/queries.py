@@ -12,6 +12,7 @@ from countersign.llm.op4_toxicity import fold, score_toxicity
 from countersign.llm.op5_quality import score_quality
 from countersign.llm.op6_repetition import repetition_rules
 from countersign.llm.op7_mix import mix_sources
+from countersign.llm.op8_language_model import ROUNDS, score_texts
 from countersign.llm.op9_pii import pseudonymise
 from countersign.llm.text import prepared
 
@@ -63,6 +64,14 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    held_out = F.coalesce(number % 10 == 0, F.lit(False))
+    part = F.coalesce(F.floor(number / 10) % ROUNDS, F.lit(0))
+    scored = score_texts(_table(spark, sf_dir, "documents"), learn_where=~held_out, part=part)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Production passes its own secret; this one makes the query repeatable.
     return pseudonymise(_table(spark, sf_dir, "documents"), b"countersign public demonstration key")
@@ -80,6 +89,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_repetition_rules": op6_repetition_rules,
     "op7_mix_sources": op7_mix_sources,
+    "op8_language_model": op8_language_model,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_decontaminate": op10_decontaminate,
 }
