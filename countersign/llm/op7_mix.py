@@ -42,8 +42,8 @@ def schedule(slots: dict[str | None, int]) -> list[tuple[str | None, int, int, i
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temper: float = 0.7, block_rows: int = 32, id_col: str = "doc_id", source_col: str = "source", tie_cols: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Slot of every row: `doc_id, source, block, release, deadline, slot, in_mix`.
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temper: float = 0.7, block_rows: int = 32, id_col: str = "doc_id", source_col: str = "source", tie_cols: tuple[str, ...] = ("text",), in_order: bool = False) -> DataFrame:
+    """Slot of every row: `doc_id, source, block, release, deadline, slot, in_mix`; or, `in_order`, the whole rows sorted by slot.
 
     `weights` gives target weights by source (a source without one gets the smallest given); without it, weights are row counts to
     the power `temper`. No row is dropped or repeated: where a source has run out its slots stay empty, and `in_mix` tells the slots
@@ -52,7 +52,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """
     spark = docs.sparkSession
     ties = [F.col(c) for c in tie_cols if c in docs.columns]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), *ties).alias("at"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), *ties).alias("at"), *[F.struct("*").alias("whole") for _ in range(in_order)])
+    carried = ["whole"] if in_order else []
     # One row per source: the mixture's own configuration, not the corpus.
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -73,13 +74,16 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("source", "bucket").agg(F.count("*").alias("n")).select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("source", "bucket").orderBy("at", "doc_id")
-    ranked = keyed.select("doc_id", "source", "bucket", (F.row_number().over(within) - 1).alias("rank"))
+    ranked = keyed.select("doc_id", "source", "bucket", "at", *carried, (F.row_number().over(within) - 1).alias("rank"))
     placed = _beside(ranked, offsets, "bucket").withColumn("block", F.expr(f"(first + rank) div {int(block_rows)}"))
     sized = F.broadcast(plan.select("source", "n").distinct())
     numbered = _beside(placed, sized).withColumn("k", F.pmod("block", "n"))
     numbered = numbered.withColumn("shift", F.expr(f"(block div n) * {period}"))
     shift = F.col("shift")
-    return _beside(numbered.drop("n"), F.broadcast(plan.drop("n")), "k").select(
+    slotted = _beside(numbered.drop("n"), F.broadcast(plan.drop("n")), "k")
+    if in_order:
+        return slotted.withColumn("slot", F.col("slot") + shift).orderBy("slot", "at", "doc_id").select("whole.*")
+    return slotted.select(
         "doc_id", "source", "block", _moved("release", shift), _moved("deadline", shift), _moved("slot", shift), (F.col("slot") + shift < whole).alias("in_mix")
     )
 
