@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from countersign.llm.op10_decontaminate import find_contaminated
 from countersign.llm.op1_license import license_sql, scan_licenses
-from countersign.llm.op2_neardup import near_duplicates
+from countersign.llm.op2_neardup import near_duplicate_sql, near_duplicates
 from countersign.llm.op3_records import new_folder, read_records, write_records
 from countersign.llm.op4_toxicity import fold, score_toxicity
 from countersign.llm.op5_quality import score_quality
@@ -95,4 +95,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_sql(),
+    "op2_near_duplicates": near_duplicate_sql(),
 }
