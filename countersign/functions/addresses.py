@@ -66,15 +66,15 @@ def verify_tag(recipient: Column | str | None = None, address: Column | None = N
 
 
 def reverify_tag(recipient: Column | str | None = None, address: Column | None = None) -> Column:
-    """P8. The digits behind the last dash are the entry under review, 1 to 99999."""
+    """P8. The digits behind the last dash are the entry under review: any positive number."""
     addr = _address(recipient, address)
     shape = r"^([a-zA-Z0-9]+)-(\d+)$"
     seq = _group(addr["extension"], shape, 2).try_cast("bigint")
     return F.when(
-        (addr["kind"] == "reverify") & seq.between(1, 99999),
+        (addr["kind"] == "reverify") & (seq > 0),
         F.struct(
             F.regexp_extract(addr["extension"], shape, 1).alias("event_id"),
-            seq.cast("int").alias("commit_sequence"),
+            seq.alias("commit_sequence"),
         ),
     )
 

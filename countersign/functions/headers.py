@@ -6,7 +6,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HEADER_BYTES = 64 * 1024
 _BLANK_LINE = r"\r?\n\r?\n"
 _FOLD = r"\r?\n[ \t]+"
 
@@ -29,9 +28,10 @@ def text_of(raw: Column | str) -> Column:
     return F.make_valid_utf8(_col(raw).cast("string"))
 
 
-def header_block(raw: Column | str, limit: int = HEADER_BYTES) -> Column:
-    """P1. The leading `limit` bytes up to the first blank line."""
-    text = F.make_valid_utf8(F.substring(_col(raw).cast("binary"), 1, limit).cast("string"))
+def header_block(raw: Column | str, limit: int | None = None) -> Column:
+    """P1. Everything up to the first blank line, wherever that is; of the leading `limit` bytes only if one is given."""
+    data = _col(raw).cast("binary")
+    text = F.make_valid_utf8((data if limit is None else F.substring(data, 1, limit)).cast("string"))
     end = F.regexp_instr(text, F.lit(_BLANK_LINE))
     return F.when(end > 1, F.substr(text, F.lit(1), end - 1)).otherwise(text)
 
@@ -76,7 +76,7 @@ def split_multipart(body: Column | str, boundary: Column | str) -> Column:
     """
     marker = F.concat(F.lit(r"--\Q"), _col(boundary), F.lit(r"\E"))
     # Drop the preamble; what is left begins right behind a marker.
-    pieces = F.slice(F.split(_col(body), marker), 2, 1_000_000)
+    pieces = F.filter(F.split(_col(body), marker), lambda p, i: i > 0)
     closing = F.array_position(F.transform(pieces, lambda p: p.startswith("--")), F.lit(True))
     # Without a closing marker the last piece is unterminated.
     keep = F.when(closing > 0, closing - 1).otherwise(F.greatest(F.size(pieces) - 1, F.lit(0)))

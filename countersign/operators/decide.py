@@ -319,6 +319,9 @@ def decide(
     if "crypto" in modes:
         firsts = running_signatures(first_signatures(r, signed))
         locks.append(signoff_lock(firsts, events, signed))
+        if signed is not None:
+            held = signed.groupBy("event_id").agg(F.count("*").alias("_held"))
+            firsts = firsts.join(held, "event_id", "left").withColumn("nth", F.col("nth") + F.coalesce("_held", F.lit(0))).drop("_held")
     if "workflow" in modes:
         finished = step_completions(r, steps)
         locks.append(workflow_done(steps, finished, events))

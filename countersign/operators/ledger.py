@@ -11,7 +11,7 @@ from countersign.operators.numbering import last_sequence  # noqa: F401  (A9, pa
 # Entries per chained segment, and children per tree node. Sequences are unique, so no group
 # below ever holds more rows than this.
 SEGMENT = 256
-# 256^(1 + 4) entries per event.
+# Levels of the digest tree at least; events past 256^(1 + 4) entries get as many as they need.
 TREE_LEVELS = 4
 
 
@@ -50,6 +50,7 @@ def build_reply_commits(decided: DataFrame, events: DataFrame) -> DataFrame:
         ),
         "raw_sha256": opt("raw_sha256"),
         "raw_size": opt("raw_size"),
+        "dkim_key_file": opt("dkim_key_file"),
     }
     return rows.select(
         *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields]
@@ -203,7 +204,13 @@ def build_hash_chain(ledger: DataFrame, payload: Column | str = "payload_digest"
 
 
 def digest_tree(chain: DataFrame, levels: int = TREE_LEVELS) -> DataFrame:
-    """W6. `(event_id, entries, root)`: one digest that commits to every entry of an event."""
+    """W6. `(event_id, entries, root)`: one digest that commits to every entry of an event.
+
+    All events get the levels that the longest one needs, `levels` at least.
+    """
+    last = (chain.agg(F.max("sequence")).first()[0] or 1) - 1
+    while last >= SEGMENT ** (levels + 1):
+        levels += 1
     nodes = chain.groupBy("event_id", _segment().alias("node")).agg(
         F.max_by("digest", "sequence").alias("digest"), F.count("*").alias("entries")
     )

@@ -5,13 +5,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countersign.functions.addresses import valid_event_id
+from countersign.functions.headers import _strip
 from countersign.functions.hashing import event_id_from_seed, salt_from_seed, salted_sender_hash
 from countersign.functions.steps import expand_flow, is_complete
 from countersign.operators.decide import _yes
 
 # fixed values: error codes of an edit
 EDIT_ERRORS = (
-    "NOT_FOUND", "EVENT_COMPLETE", "EVENT_ARCHIVED", "BAD_PATCH", "BAD_TITLE",
+    "NOT_FOUND", "EVENT_COMPLETE", "EVENT_ARCHIVED", "BAD_TITLE",
     "STEP_NOT_FOUND", "EVENT_STEP_FROZEN", "BAD_EMAIL", "BAD_DEADLINE",
 )
 # fixed values: step fields an edit may touch, in checking order
@@ -96,20 +97,21 @@ def edit_rows(actions: DataFrame, events: DataFrame) -> DataFrame:
     """J13. Long form of edits: one row per (step, field) a patch names, with old and new value
     and the error it raises, in checking order. `pos` orders the checks of one call."""
     edits = actions.filter("action = 'edit'").select("action_id", "event_id", "at", "title", F.col("steps").alias("patch"))
+    # A record without steps (a sign-off) ignores the steps of a patch.
     head = events.select(F.col("id").alias("event_id"), F.col("title").alias("_title"), F.col("steps").alias("_steps"))
     df = edits.join(head, "event_id")
-    new_title = F.trim("title")
+    new_title = _strip(F.col("title"))
     title = df.filter(F.col("title").isNotNull()).select(
         "action_id", "event_id", F.lit(-1).alias("step_pos"), F.lit(None).cast("string").alias("step_id"),
         F.lit(-1).alias("pos"), F.lit("title").alias("field"), F.col("_title").alias("old"), new_title.alias("new"),
         F.when(new_title == "", "BAD_TITLE").alias("error"),
     )
-    per_step = df.select("action_id", "event_id", "_steps", F.posexplode("patch").alias("step_pos", "p")).filter(
+    per_step = df.filter("_steps is not null").select("action_id", "event_id", "_steps", F.posexplode("patch").alias("step_pos", "p")).filter(
         F.coalesce("p.id", F.lit("")) != ""
     )
     cur = F.get(F.filter("_steps", lambda s: s["id"] == F.col("p.id")), F.lit(0))
     per_step = per_step.withColumn("cur", cur)
-    participant, deadline = F.coalesce(F.trim("p.participant"), F.lit("")), F.coalesce(F.trim("p.deadline"), F.lit(""))
+    participant, deadline = F.coalesce(_strip(F.col("p.participant")), F.lit("")), F.coalesce(_strip(F.col("p.deadline")), F.lit(""))
     # The four fields in checking order, led by a row that stands for the step itself.
     checks = F.array(
         _check("", F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")),
@@ -143,19 +145,18 @@ def _check(field: str, old: Column, new: Column, error: Column) -> Column:
 
 
 def edit_errors(actions: DataFrame, rows: DataFrame, events: DataFrame) -> DataFrame:
-    """M7. Per edit call the first error, NULL when it goes through."""
+    """M7. Per edit call the first error, NULL when it goes through; a patch that names nothing changes nothing."""
     head = events.select(
         F.col("id").alias("event_id"), F.lit(True).alias("_known"), is_complete("status").alias("_complete"), "archived_at"
     )
     first = rows.filter("error is not null").groupBy("action_id").agg(
         F.min_by("error", F.struct("step_pos", "pos")).alias("_bad")
     )
-    calls = actions.filter("action = 'edit'").select("action_id", "event_id", "at", F.col("title").isNull().alias("_nt"), F.col("steps").isNull().alias("_ns"))
+    calls = actions.filter("action = 'edit'").select("action_id", "event_id", "at")
     error = (
         F.when(F.col("_known").isNull(), "NOT_FOUND")
         .when(F.col("_complete"), "EVENT_COMPLETE")
         .when(_yes(F.col("archived_at") <= F.col("at")), "EVENT_ARCHIVED")
-        .when(F.col("_nt") & F.col("_ns"), "BAD_PATCH")
         .otherwise(F.col("_bad"))
     )
     return calls.join(head, "event_id", "left").join(first, "action_id", "left").select(

@@ -25,8 +25,11 @@ def normalise_envelope(envelope: Column | str) -> Column:
 
 
 def from_address(block: Column | str) -> Column:
-    """Address of the From header: the first bracketed one, else the first bare one."""
-    value = headers.raw_header(block, "From")
+    """Address of the From header: the first bracketed one, else the first bare one.
+
+    Quoted display names and comments go first: an address inside them is text that the sender chose.
+    """
+    value = F.regexp_replace(headers.raw_header(block, "From"), r'"(?:[^"\\]|\\.)*"|\([^()]*\)', " ")
     return F.coalesce(
         headers._group(value, r"<\s*([^<>\s]+@[^<>\s]+)\s*>"), headers._group(value, r"([^\s<>,;\"]+@[^\s<>,;\"]+)")
     )
@@ -127,16 +130,17 @@ def any_tag(recipient: Column) -> dict[str, Column]:
     kind = F.lower(headers._group(text, addresses.ADDRESS, 1))
     ext = headers._group(text, addresses.ADDRESS, 2)
     plain = kind.isin(*addresses.INITIATOR_COMMANDS, "verify", "attest")
+    sequence = headers._group(ext, r"^[a-zA-Z0-9]+-(\d+)$").try_cast("bigint")
     event_id = (
         F.when(plain, headers._group(ext, r"^([a-zA-Z0-9]+)$"))
         .when(kind == "event", headers._group(ext, r"^([a-zA-Z0-9]+)(?:-.*)?$"))
-        .when(kind == "reverify", headers._group(ext, r"^([a-zA-Z0-9]+)-0*[1-9]\d{0,4}$"))
+        .when((kind == "reverify") & (sequence > 0), headers._group(ext, r"^([a-zA-Z0-9]+)-\d+$"))
     )
     values = (
         F.when(event_id.isNotNull(), kind),
         event_id,
-        F.when(kind == "event", headers._group(ext, r"^[a-zA-Z0-9]+-(.+)$")),
-        F.when(kind == "reverify", headers._group(ext, r"^[a-zA-Z0-9]+-0*([1-9]\d{0,4})$").cast("int")),
+        F.when((kind == "event") & event_id.isNotNull() & ext.contains("-"), F.regexp_extract(ext, r"^[a-zA-Z0-9]+-(.*)$", 1)),
+        F.when((kind == "reverify") & (sequence > 0), sequence),
     )
     return dict(zip(TAG_COLUMNS, values))
 

@@ -111,7 +111,12 @@ def archive_keys(signatures: DataFrame, dns_txt: DataFrame, fetched_at: Column)
     valid = F.col("domain").rlike(label) & F.col("selector").rlike(label)
     df = signatures.withColumn(
         "lookup", F.when(given & valid, F.concat("selector", F.lit("._domainkey."), "domain"))
-    ).join(dns_txt.select(F.col("name").alias("lookup"), "txt"), "lookup", "left")
+    )
+    # A name may have several TXT strings; one that holds a key comes first.
+    rank = F.struct(F.nullif(extract_public_key("txt"), F.lit("")).isNull(), "txt")
+    records = dns_txt.filter("txt is not null").groupBy(F.col("name").alias("lookup")).agg(F.min_by("txt", rank).alias("txt"))
+    # Rows without a lookup go round the join, so that they do not meet in one partition.
+    df = df.filter("lookup is not null").join(records, "lookup", "left").unionByName(df.filter("lookup is null"), allowMissingColumns=True)
     key = F.nullif(extract_public_key("txt"), F.lit(""))
     error = (
         F.when(~given, "missing domain/selector")
@@ -134,6 +139,14 @@ def candidate_hashes(candidates: DataFrame, events: DataFrame) -> DataFrame:
     ).drop("salt")
 
 
+def _verdicts(verdicts: DataFrame) -> DataFrame:
+    """One verdict per message and key: a check that passed outweighs others, then the last reason by text."""
+    best = F.max(F.struct(_yes(F.col("ok")).alias("ok"), F.col("reason"))).alias("v")
+    return verdicts.groupBy("raw_sha256", F.col("domain").alias("_d"), F.col("selector").alias("_s")).agg(best).select(
+        "raw_sha256", "_d", "_s", F.col("v.ok").alias("_ok"), F.col("v.reason").alias("_why")
+    )
+
+
 def verify_candidates(candidates: DataFrame, ledger: DataFrame, events: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """C5. One report per verify request.
 
@@ -145,7 +158,7 @@ def verify_candidates(candidates: DataFrame, ledger: DataFrame, events: DataFram
     matched = find_match(candidate_hashes(candidates, events), ledger)
     hit = F.col("match_type") != "none"
     # Unmatched positions sort behind all matched ones, last position first.
-    order = F.when(hit, F.col("cand_pos").cast("bigint")).otherwise(F.lit(1 << 40) - F.col("cand_pos"))
+    order = F.struct(F.when(hit, 0).otherwise(1), F.when(hit, F.col("cand_pos")).otherwise(-F.col("cand_pos")))
     pick = F.struct("cand_pos", "raw_sha256", "match_type", "sequence")
     best = matched.groupBy("request_id", "event_id").agg(F.min_by(pick, order).alias("b")).select("request_id", "event_id", "b.*")
     entry = ledger.select(
@@ -159,8 +172,7 @@ def verify_candidates(candidates: DataFrame, ledger: DataFrame, events: DataFram
     if verdicts is None:
         r = r.withColumn("_ok", F.lit(None).cast("boolean")).withColumn("_why", F.lit(None).cast("string"))
     else:
-        v = verdicts.select("raw_sha256", F.col("domain").alias("_d"), F.col("selector").alias("_s"),
-                            F.col("ok").alias("_ok"), F.col("reason").alias("_why"))
+        v = _verdicts(verdicts)
         r = r.withColumns({"_d": F.col("sig0.domain"), "_s": F.col("sig0.selector")}).join(
             v, ["raw_sha256", "_d", "_s"], "left"
         )
@@ -190,8 +202,7 @@ def reverify(requests: DataFrame, ledger: DataFrame, events: DataFrame, verdicts
         F.col("raw_sha256").alias("_committed"), "dkim_key_file",
         pick_signer("dkim").alias("signer"), F.lit(True).alias("found"),
     )
-    v = verdicts.select("raw_sha256", F.col("domain").alias("_d"), F.col("selector").alias("_s"),
-                        F.col("ok").alias("_ok"), F.col("reason").alias("_why"))
+    v = _verdicts(verdicts)
     r = requests.join(target, ["event_id", "target_sequence"], "left").withColumns(
         {"_d": F.col("signer.domain"), "_s": F.col("signer.selector"), "found": _yes(F.col("found"))}
     ).join(v, ["raw_sha256", "_d", "_s"], "left")

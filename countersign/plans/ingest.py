@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from countersign.functions.hashing import pad_seq
 from countersign.operators import bounce as B
 from countersign.operators import commands as C
 from countersign.operators import ledger as LG
@@ -55,12 +56,15 @@ def ingest_batch(
     reverify_log: DataFrame | None = None,
     activation: str = "log",
     cut: bool = True,
+    dns_txt: DataFrame | None = None,
 ) -> Batch:
     """Run the whole inbound pipeline over a batch.
 
     `mail`: schemas.MAIL, optionally with an `attachments` column that saves decoding. With `cut`
     the routed rows and the decided replies are written once to the checkpoint folder, so that
-    the many outputs do not read the messages again.
+    the many outputs do not read the messages again. With `dns_txt(name, txt)` the key of each
+    reply's picked signature is archived: `keys` holds it, or why there is none, and the entry
+    names its file.
     """
     spark = mail.sparkSession
     hold = checkpointed if cut else (lambda df: df)
@@ -68,7 +72,8 @@ def ingest_batch(
     d = decide_replies(hold(reply_rows(routed)), events, ledger, signatures, activation)
     rows = hold(d.rows)
     locks = hold(d.locks)
-    entries = LG.build_reply_commits(rows, events)
+    keys = None if dns_txt is None else hold(archived_keys(rows, dns_txt))
+    entries = LG.build_reply_commits(rows if keys is None else with_key_files(rows, keys), events)
     new_signatures = LG.signature_rows(rows)
     after = LG.apply_decisions(events, rows, locks)
     completions = LG.completion_records(rows, locks, events)
@@ -107,7 +112,7 @@ def ingest_batch(
         routed=routed.drop("raw"), rows=rows, locks=locks, ledger=entries, signatures=new_signatures, events=after,
         completions=completions, send_errors=B.latest_send_errors(bounced), bounced=bounced, commands=cmd,
         verified=verified, reverified=reverified, all_signatures=all_signatures,
-        outbox=N.compose(notices, domain), results=results(routed, rows, cmd, bounced),
+        keys=keys, outbox=N.compose(notices, domain), results=results(routed, rows, cmd, bounced),
     )
 
 
@@ -150,4 +155,11 @@ def archived_keys(rows: DataFrame, dns_txt: DataFrame) -> DataFrame:
     return V.archive_keys(sigs, dns_txt, F.col("received_at"))
 
 
-__all__ = ["Batch", "archived_keys", "decide_replies", "ingest_batch", "reply_rows", "results", "routed_mail"]
+def with_key_files(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Name the archived key's file on the replies that have one."""
+    path = F.concat(F.lit("dkim_keys/commit-"), pad_seq("sequence"), F.lit(".pem"))
+    files = keys.filter("pem is not null").select("event_id", "sequence", path.alias("dkim_key_file"))
+    return rows.join(files, ["event_id", "sequence"], "left")
+
+
+__all__ = ["Batch", "archived_keys", "decide_replies", "ingest_batch", "reply_rows", "results", "routed_mail", "with_key_files"]

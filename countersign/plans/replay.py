@@ -21,7 +21,7 @@ from countersign.session import checkpointed
 
 BARRIERS = ("edit", "complete", "reopen")
 # Places inside this history, apart from any ledger number the records already mention.
-PLACE = 1 << 40
+PLACE = 1 << 61
 
 
 class History:

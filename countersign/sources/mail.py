@@ -5,10 +5,14 @@ Python stage sees nothing but mail that a known event asked for.
 """
 from __future__ import annotations
 
+import base64
 import hashlib
+import quopri
+import re
 from collections.abc import Iterator
-from email import message_from_bytes, policy
+from email import policy
 from email.message import EmailMessage
+from email.parser import BytesHeaderParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +21,8 @@ from pyspark.sql import types as T
 
 from countersign import schemas
 
+_BLANK_LINE = re.compile(rb"\r?\n\r?\n")
+
 
 def read_mail(spark: SparkSession, path: str, envelopes: DataFrame | None = None, glob: str = "*.eml") -> DataFrame:
     """S1. Messages under a folder as `mail` rows; the file name without suffix is `mail_id`.
@@ -37,24 +43,46 @@ def read_mail(spark: SparkSession, path: str, envelopes: DataFrame | None = None
     return mail.drop("received_at").join(envelopes, "mail_id", "left").select(*schemas.MAIL.fieldNames())
 
 
+def _parts(raw: bytes, default: str = "text/plain") -> Iterator[tuple[EmailMessage, bytes]]:
+    """The leaf parts of a message: parsed header and the body's very bytes. An attached message is a leaf."""
+    cut = _BLANK_LINE.search(raw)
+    head, body = (raw[: cut.end()], raw[cut.end() :]) if cut else (raw, b"")
+    if raw[:1] == b"\n" or raw[:2] == b"\r\n":  # a part may have no header at all
+        head, body = b"", raw.split(b"\n", 1)[1]
+    part = BytesHeaderParser(_class=EmailMessage, policy=policy.default).parsebytes(head)
+    if default != "text/plain" and part["content-type"] is None:
+        part["Content-Type"] = default
+    boundary = part.get_boundary()
+    if part.get_content_maintype() != "multipart" or not boundary:
+        yield part, body
+        return
+    inner = "message/rfc822" if part.get_content_subtype() == "digest" else "text/plain"
+    mark = re.escape(boundary.encode("utf-8", "surrogateescape"))
+    pieces = re.split(rb"(?:^|\r?\n)--" + mark + rb"(--)?[ \t]*(?=\r?\n|\Z)", body)
+    # Text, closing mark, text ...: what stands before the first mark and after the closing one is no part.
+    for closing, piece in zip(pieces[1::2], pieces[2::2]):
+        if closing:
+            break
+        yield from _parts(re.sub(rb"\A\r?\n", b"", piece), inner)
+
+
+def _decoded(part: EmailMessage, body: bytes) -> bytes:
+    how = str(part.get("content-transfer-encoding", "")).strip().lower()
+    if how == "base64":
+        digits = re.sub(rb"[^A-Za-z0-9+/]", b"", body.split(b"=", 1)[0])
+        digits = digits[:-1] if len(digits) % 4 == 1 else digits
+        return base64.b64decode(digits + b"=" * (-len(digits) % 4))
+    return quopri.decodestring(body) if how == "quoted-printable" else body
+
+
 def _attachment_parts(raw: bytes) -> list[tuple[str | None, bytes]]:
-    message = message_from_bytes(bytes(raw), _class=EmailMessage, policy=policy.default)
-    parts = []
-    for part in message.walk():
-        if part.is_multipart() and part.get_content_type() != "message/rfc822":
-            continue
-        kind = part.get_content_disposition()
+    """Name and bytes of every attachment: parts that say so, have a file name or are no text, the root included."""
+    found = []
+    for part, body in _parts(bytes(raw)):
         name = part.get_filename()
-        is_text = part.get_content_maintype() == "text"
-        if part is message or not (kind == "attachment" or name or not is_text):
-            continue
-        if part.get_content_type() == "message/rfc822":
-            inner = part.get_payload()
-            content = inner[0].as_bytes() if inner else b""
-        else:
-            content = part.get_payload(decode=True) or b""
-        parts.append((name, content))
-    return parts
+        if part.get_content_disposition() == "attachment" or name or part.get_content_maintype() not in ("text", "multipart"):
+            found.append((name, _decoded(part, body)))
+    return found
 
 
 def _fingerprint(content: bytes) -> str:

@@ -5,6 +5,7 @@ writing a batch again replaces exactly that batch.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,7 +84,22 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType, below: int
 
 def write_outbox(outbox: DataFrame, path: str, batch_id: int | str) -> None:
     """S11. One folder per batch; repeating a batch replaces it."""
-    outbox.withColumn("batch", F.lit(str(batch_id))).write.mode("overwrite").option(
+    write_batch(outbox, path, batch_id)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str, below: int | str) -> DataFrame | None:
+    """What earlier batches appended; NULL columns stay, a path that nobody wrote gives None."""
+    try:
+        rows = spark.read.schema(f"{schema}, batch string").parquet(path)
+    except AnalysisException:
+        return None
+    return rows.filter(F.col("batch") < str(below)).drop("batch")
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int | str) -> None:
+    """Append one batch's rows; an empty batch replaces what an earlier try of it wrote."""
+    void = {c: F.col(c).cast("string") for c, kind in rows.dtypes if kind == "void"}
+    rows.withColumns(void).withColumn("batch", F.lit(str(batch_id))).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("batch").parquet(path)
 

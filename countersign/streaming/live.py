@@ -35,12 +35,12 @@ def route_stream(mail: DataFrame) -> DataFrame:
     return route(mail)
 
 
-def _last(spark: SparkSession, root: str) -> DataFrame | None:
-    return tables.read_state(spark, f"{root}/last", "event_id string, last bigint")
+def ingest_micro_batch(root: str, domain: str, dns_txt: DataFrame | None = None, verdicts: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` body: advance the state under `root` by one micro-batch.
 
-
-def ingest_micro_batch(root: str, domain: str) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` body: advance the state under `root` by one micro-batch."""
+    Besides ledger and outbox it appends completions, reverify records, send errors, results and archived keys, a folder per
+    batch each. Reverify numbers go on from the records of earlier batches.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -50,9 +50,14 @@ def ingest_micro_batch(root: str, domain: str) -> Callable[[DataFrame, int], Non
         if events is None:
             raise ValueError(f"no event records under {root}/events; call seed_state first")
         past = _ledger_before(spark, root, batch_id)
-        done = ingest_batch(batch, events, domain, ledger=past, signatures=signed)
+        log = tables.read_batches(spark, f"{root}/reverified", "event_id string, reverify_sequence bigint", below=f"{batch_id:010d}")
+        done = ingest_batch(batch, events, domain, ledger=past, signatures=signed, verdicts=verdicts, reverify_log=log, dns_txt=dns_txt)
         tables.append_ledger(done.ledger, f"{root}/ledger", f"{batch_id:010d}")
         tables.write_outbox(done.outbox, f"{root}/outbox", f"{batch_id:010d}")
+        further = {"completions": done.completions, "reverified": done.reverified, "send_errors": done.send_errors, "results": done.results, "keys": done.keys}
+        for name, rows in further.items():
+            if rows is not None:
+                tables.write_batch(rows, f"{root}/{name}", f"{batch_id:010d}")
         tables.write_state(done.all_signatures, f"{root}/signatures", version)
         # The records come last: a version of them marks the batch as done.
         tables.write_state(done.events, f"{root}/events", version)
@@ -80,9 +85,9 @@ def seed_state(events: DataFrame, root: str, signatures: DataFrame | None = None
     tables.write_state(events, f"{root}/events", 0)
 
 
-def start_ingest(mail: DataFrame, root: str, domain: str, available_now: bool = True):
+def start_ingest(mail: DataFrame, root: str, domain: str, available_now: bool = True, dns_txt: DataFrame | None = None, verdicts: DataFrame | None = None):
     """T1-T6. Start the stateful pipeline."""
-    writer = mail.writeStream.foreachBatch(ingest_micro_batch(root, domain)).option(
+    writer = mail.writeStream.foreachBatch(ingest_micro_batch(root, domain, dns_txt, verdicts)).option(
         "checkpointLocation", f"{root}/_progress"
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()

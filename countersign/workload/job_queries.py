@@ -231,11 +231,11 @@ def _actions(spark, sf):
     )
 
 
-_EDITS = W("fa", "fb", "fs") + """, ed as (select fa.mail_id as id, fa.coord_id, fa.step_id, fb.k, fb.type, fb.archived, case when fa.mail_id % 17 = 0 then '' when fa.mail_id % 5 = 0 then 'Title ' || (fa.mail_id % 4) end as new_title, fa.mail_id % 4 <> 0 as has_patch,
+_EDITS = W("fa", "fb", "fs") + """, ed as (select fa.mail_id as id, fa.coord_id, fa.step_id, fb.k, fb.type, fb.archived, case when fa.mail_id % 17 = 0 then '' when fa.mail_id % 5 = 0 then 'Title ' || (fa.mail_id % 4) end as new_title, fa.mail_id % 4 <> 0 and fb.type = 'workflow' as has_patch,
   fa.mail_id % 3 in (0, 2) as sets_p, fa.mail_id % 3 in (1, 2) as sets_d, fa.mail_id % 3 = 1 as sets_r, fa.mail_id % 11 = 0 as bad_p, fa.mail_id % 13 = 0 as bad_d, fs.step_id is not null as has_step,
   fs.participant, strftime(date '2024-01-01' + cast((fs.k + fs.i * 3) % 60 as integer), '%Y-%m-%d') as deadline, fs.requires_attachment as req
   from fa join fb on fb.coord_id = fa.coord_id left join fs on fs.coord_id = fa.coord_id and fs.step_id = fa.step_id),
-ee as (select *, case when archived then 'EVENT_ARCHIVED' when new_title is null and not has_patch then 'BAD_PATCH' when new_title = '' then 'BAD_TITLE' when not has_patch then null
+ee as (select *, case when archived then 'EVENT_ARCHIVED' when new_title = '' then 'BAD_TITLE' when not has_patch then null
   when not has_step then 'STEP_NOT_FOUND' when sets_p and bad_p then 'BAD_EMAIL' when sets_d and bad_d then 'BAD_DEADLINE' end as error from ed)
 """
 

@@ -54,7 +54,7 @@ h as (select *, lower(coalesce(env_sender, from_address, '')) as who,
   case when kind = 'attest' and regexp_matches(ext, '^[a-zA-Z0-9]+$') then ext end as at_id,
   case when kind = 'verify' and regexp_matches(ext, '^[a-zA-Z0-9]+$') then ext end as vf_id,
   case when kind in ('stats', 'remind') and regexp_matches(ext, '^[a-zA-Z0-9]+$') then ext end as cmd_id,
-  case when kind = 'reverify' and regexp_matches(ext, '^([a-zA-Z0-9]+)-(\d+)$') and try_cast(regexp_extract(ext, '^([a-zA-Z0-9]+)-(\d+)$', 2) as bigint) between 1 and 99999
+  case when kind = 'reverify' and regexp_matches(ext, '^([a-zA-Z0-9]+)-(\d+)$') and try_cast(regexp_extract(ext, '^([a-zA-Z0-9]+)-(\d+)$', 2) as bigint) >= 1
    then regexp_extract(ext, '^([a-zA-Z0-9]+)-(\d+)$', 1) end as rv_id,
   try_cast(nullif(regexp_extract(ext, '^([a-zA-Z0-9]+)-(\d+)$', 2), '') as bigint) as rv_seq from h1),
 rt as (select *, case when is_dsn then 'bounce' when reject_reason is not null then 'rejected' when cmd_id is not null then kind when vf_id is not null then 'verify'

@@ -65,8 +65,6 @@ def edit(ev, call):
         return "EVENT_COMPLETE", []
     if ev["archived_at"] and ev["archived_at"] <= call["at"]:
         return "EVENT_ARCHIVED", []
-    if call["title"] is None and call["steps"] is None:
-        return "BAD_PATCH", []
     changes = []
     if call["title"] is not None:
         title = call["title"].strip()
@@ -74,8 +72,9 @@ def edit(ev, call):
             return "BAD_TITLE", []
         if title != ev["title"]:
             changes.append((None, "title", ev["title"], title))
-    for patch in call["steps"] or []:
-        step = next((s for s in ev["steps"] or [] if s["id"] == patch["id"]), None)
+    # A record without steps ignores the patch's.
+    for patch in (call["steps"] or []) if ev["steps"] is not None else []:
+        step = next((s for s in ev["steps"] if s["id"] == patch["id"]), None)
         if not step:
             return "STEP_NOT_FOUND", []
         if step["status"] == "complete":
