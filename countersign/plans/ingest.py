@@ -91,13 +91,12 @@ def ingest_batch(
         F.col("mail_id").alias("request_id"), "received_at", "event_id", "route", "sender", "message_id",
         F.col("commit_sequence").cast("bigint").alias("target_sequence"), "raw",
     )
-    past = entries.limit(0) if ledger is None else ledger
     no_verdicts = spark.createDataFrame([], "raw_sha256 string, domain string, selector string, ok boolean, reason string")
     given = verdicts if verdicts is not None else no_verdicts
-    # Read-side requests see the ledger as it stood before this batch.
-    verified = V.verify_candidates(extract_candidates(requests.filter("route = 'verify'")), past, events, given)
+    # Requests see the entries that came before them, of this batch or an earlier one.
+    verified = V.verify_candidates(extract_candidates(requests.filter("route = 'verify'")), whole, events, given, as_of=True)
     reverified = V.reverify(
-        extract_candidates(requests.filter("route = 'reverify'")).filter("cand_pos = 0"), past, events, given, reverify_log
+        extract_candidates(requests.filter("route = 'reverify'")).filter("cand_pos = 0"), whole, events, given, reverify_log, as_of=True
     )
     asked = requests.select("request_id", "received_at", "sender").dropDuplicates(["request_id"])
     notices = R.dispatch_results(

@@ -177,9 +177,48 @@ def test_stream_equals_batch(spark):
     state = tables.read_state(spark, f"{root}/state/events", schemas.COORD_EVENTS)
     assert rows(state, "id", "status", "completed_at") == rows(whole.events, "id", "status", "completed_at")
     sent = spark.read.parquet(f"{root}/state/outbox")
-    assert rows(sent.filter("kind in ('ack', 'advance', 'completion', 'bounce')"), "event_id", "kind", "to", "cause") == rows(
-        whole.outbox.filter("kind in ('ack', 'advance', 'completion', 'bounce')"), "event_id", "kind", "to", "cause")
-    # A repeated micro-batch changes nothing.
-    before = rows(tables.scan_ledger(spark, f"{root}/state/ledger").select(*cols))
-    live.ingest_micro_batch(f"{root}/state", fx.DOMAIN)(spark.read.schema(mail.schema).parquet(f"{root}/in").filter(F.lit(False)), 9)
-    assert rows(tables.scan_ledger(spark, f"{root}/state/ledger").select(*cols)) == before
+    kinds = F.col("kind").isin("ack", "advance", "completion", "bounce", "verify_report", "reverify_report")
+    assert rows(sent.filter(kinds), "event_id", "kind", "to", "cause") == rows(whole.outbox.filter(kinds), "event_id", "kind", "to", "cause")
+    # Texts too, with their tallies; a completion names the receipts of its batch's end.
+    told = kinds & (F.col("kind") != "completion")
+    assert rows(sent.filter(told), "event_id", "kind", "to", "cause", "body") == rows(whole.outbox.filter(told), "event_id", "kind", "to", "cause", "body")
+    numbers = ("event_id", "request_id", "target_sequence", "reverify_sequence", "found", "reason")
+    assert rows(spark.read.parquet(f"{root}/state/reverified"), *numbers) == rows(whole.reverified, *numbers)
+    assert spark.read.parquet(f"{root}/state/results").count() == mail.count()
+    # The last micro-batch again, under its own id and with its rows, changes nothing.
+    tables_of = ("ledger", "outbox", "reverified", "completions", "results")
+    before = {t: spark.read.parquet(f"{root}/state/{t}").count() for t in tables_of}
+    entries = rows(tables.scan_ledger(spark, f"{root}/state/ledger").select(*cols))
+    live.ingest_micro_batch(f"{root}/state", fx.DOMAIN)(mail.filter(day == 3), 2)
+    assert rows(tables.scan_ledger(spark, f"{root}/state/ledger").select(*cols)) == entries
+    assert {t: spark.read.parquet(f"{root}/state/{t}").count() for t in tables_of} == before
+
+
+def test_a_ledger_that_ingest_wrote_verifies(spark):
+    """Keys are archived with the entries, so later requests can check and upgrade them."""
+    auth = lambda result, aligned: {"dkim": {"results": [{"status": {"result": result, "aligned": aligned}, "signingDomain": "d.example", "selector": "s"}]}, "dmarc": {"status": {"result": "none"}}, "arc": {"status": {"result": "none"}}, "spf": {"status": {"result": "none"}}}
+    schema = schemas.MAIL
+    envelope = lambda to: {"sender": "u1@d.example", "recipient": to, "client_ip": None, "client_helo": None}
+    raw = b"From: u1@d.example\r\nMessage-ID: <1@d.example>\r\n\r\nyes"
+    at = lambda n: T0 + dt.timedelta(seconds=n)
+    event = fx.coord_events(spark, SF).filter("type = 'crypto' and activated_at is not null").first()["id"]
+    names = schema.fieldNames()
+    given = [
+        ("m1", at(1), envelope(f"attest+{event}@{fx.DOMAIN}"), raw, auth("pass", None)),
+        ("m0", at(0), envelope(f"verify+{event}@{fx.DOMAIN}"), raw, auth("pass", "d.example")),
+        ("m2", at(2), envelope(f"verify+{event}@{fx.DOMAIN}"), raw, auth("pass", "d.example")),
+        ("m3", at(3), envelope(f"reverify+{event}-1@{fx.DOMAIN}"), raw, auth("pass", "d.example")),
+    ]
+    fields = ("mail_id", "received_at", "envelope", "raw", "auth")
+    mail = spark.createDataFrame([tuple(dict(zip(fields, g))[n] for n in names) for g in given], schema)
+    sha = "sha256:" + __import__("hashlib").sha256(raw).hexdigest()
+    verdicts = spark.createDataFrame([(sha, "d.example", "s", True, None), (sha, "d.example", "s", False, "old try")], "raw_sha256 string, domain string, selector string, ok boolean, reason string")
+    txt = spark.createDataFrame([("s._domainkey.d.example", "v=DKIM1; p=AAAA")], "name string, txt string")
+    ev = fx.coord_events(spark, SF)
+    done = ingest_batch(mail, ev, fx.DOMAIN, verdicts=verdicts, dns_txt=txt)
+    assert [r["dkim_key_file"] for r in done.ledger.collect()] == ["dkim_keys/commit-001.pem"] and done.keys.count() == 1
+    reports = {r["request_id"]: r for r in done.verified.collect()}
+    assert reports["m0"]["reason"] == "no_commits" and reports["m2"]["match_type"] == "raw_email" and reports["m2"]["dkim_ok"]
+    assert [(r["found"], r["dkim_ok"]) for r in done.reverified.collect()] == [(True, True)]
+    bare = ingest_batch(mail, ev, fx.DOMAIN, verdicts=verdicts, dns_txt=txt.limit(0))
+    assert bare.ledger.first()["dkim_key_file"] is None and bare.keys.first()["error"] == "no TXT record"
