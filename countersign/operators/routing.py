@@ -76,16 +76,17 @@ def screen(mail: DataFrame) -> DataFrame:
         from_address=from_address(block),
         is_bounce=headers.is_delivery_status_report(block),
         message_id=headers.raw_header(block, "Message-ID"),
-        raw_sha256=hash_document("raw"),
         raw_size=F.octet_length("raw").cast("bigint"),
         **_screened_headers(block),
     )
     read = {name: F.col(name) for name in ("auto_submitted", "precedence", "listed")}
-    return evaluated_once(
+    df = evaluated_once(
         df,
         reject_reason=_screening(read, F.col("from_address"))["reason"],
         sender=addresses.resolve_sender("_env_sender", "from_address"),
     ).drop("_block", "envelope", *read)
+    # Only mail that goes on is hashed.
+    return df.withColumn("raw_sha256", F.when(F.col("reject_reason").isNull() | F.col("is_bounce"), hash_document("raw")))
 
 
 def _rebuilt_envelope() -> Column:
@@ -163,9 +164,13 @@ def route_bounces(mail: DataFrame) -> DataFrame:
 
 
 def known_events(routed: DataFrame, events: DataFrame) -> DataFrame:
-    """J1/R2. Mail that names an event nobody has gets `reason = unknown_event`."""
-    ids = events.select(F.col("id").alias("event_id"), F.lit(True).alias("known"))
-    df = routed.join(ids, "event_id", "left")
+    """J1/R2. Mail that names an event nobody has gets `reason = unknown_event`.
+
+    Mail without an event is spread by its own id over the join's partitions; no event has such a key.
+    """
+    ids = events.select(F.col("id").alias("_key"), F.lit(True).alias("known"))
+    key = F.coalesce("event_id", F.concat(F.lit("#"), F.col("mail_id").cast("string")))
+    df = routed.withColumn("_key", key).join(ids, "_key", "left").drop("_key")
     unknown = F.col("event_id").isNotNull() & F.col("known").isNull()
     return df.withColumn("reason", F.when(unknown, F.lit("unknown_event")).otherwise(F.col("reason"))).withColumn(
         "known", F.coalesce("known", F.lit(False))

@@ -29,9 +29,10 @@ def routed_mail(mail: DataFrame, events: DataFrame) -> DataFrame:
 
     Keeps `raw` for bounces, verification requests and replies that name a known event.
     """
-    df = R.graded(R.known_events(R.route(mail, keep_raw=True), events))
-    wanted = F.col("known") & F.col("route").isin("bounce", "verify", "reverify", "event", "attest")
-    return df.withColumn("raw", F.when(wanted, F.col("raw")))
+    tagged = F.col("event_id").isNotNull() & F.col("route").isin("bounce", "verify", "reverify", "event", "attest")
+    # What nobody will read stays behind before the event join, not after it.
+    narrow = R.graded(R.route(mail, keep_raw=True).withColumn("raw", F.when(tagged, F.col("raw"))))
+    return R.known_events(narrow, events).withColumn("raw", F.when(F.col("known"), F.col("raw")))
 
 
 def reply_rows(routed: DataFrame) -> DataFrame:
