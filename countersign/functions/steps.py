@@ -119,7 +119,8 @@ def reference_clock(type_: Column | str, steps: Column | str, activated_at: Colu
     """A5. Latest deadline of a pending step (workflow), else the activation time."""
     deadlines = F.transform(
         F.filter(_col(steps), lambda s: ~is_complete(s["status"])),
-        lambda s: F.try_to_timestamp(s["deadline"], F.lit("yyyy-MM-dd")),
+        # A plain date, or a full ISO date-time.
+        lambda s: F.coalesce(F.try_to_timestamp(s["deadline"], F.lit("yyyy-MM-dd")), s["deadline"].try_cast("timestamp")),
     )
     latest = F.when(_col(type_) == "workflow", F.array_max(deadlines))
     activated = _col(activated_at)

@@ -99,10 +99,13 @@ def supersede_completions(history: DataFrame, new: DataFrame) -> DataFrame:
     current = history.groupBy("event_id").agg(
         F.max("version").alias("_v"), F.max_by(F.struct(*body), "version").alias("_cur")
     )
+    # Several new records of one event take following versions; an event has one per reopening.
+    order = Window.partitionBy("event_id").orderBy("triggering_commit_sequence", "completed_at")
     fresh = (
         new.join(current, "event_id", "left")
         .filter(~F.coalesce(F.struct(*body).eqNullSafe(F.col("_cur")), F.lit(False)))
-        .select("event_id", *body, (F.coalesce("_v", F.lit(0)) + 1).cast("int").alias("version"))
+        .withColumn("_nth", F.row_number().over(order))
+        .select("event_id", *body, (F.coalesce("_v", F.lit(0)) + F.col("_nth")).cast("int").alias("version"))
     )
     return history.select("event_id", *body, "version").unionByName(fresh)
 

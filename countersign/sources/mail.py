@@ -25,14 +25,16 @@ _BLANK_LINE = re.compile(rb"\r?\n\r?\n")
 
 
 def read_mail(spark: SparkSession, path: str, envelopes: DataFrame | None = None, glob: str = "*.eml") -> DataFrame:
-    """S1. Messages under a folder as `mail` rows; the file name without suffix is `mail_id`.
+    """S1. Messages under a folder as `mail` rows; the path below it without suffix is `mail_id`.
 
     `envelopes(mail_id, received_at, envelope, auth)` comes from the delivery log. Without it the
     file time stands in and envelope and verdict are NULL.
     """
+    stem = r"([^/]+?)(?:\.[^./]*)?$"
+    below = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/")) + r"/(.+?)(?:\.[^./]*)?$"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     mail = files.select(
-        F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("mail_id"),
+        F.coalesce(F.nullif(F.regexp_extract("path", below, 1), F.lit("")), F.regexp_extract("path", stem, 1)).alias("mail_id"),
         F.col("modificationTime").alias("received_at"),
         F.col("content").alias("raw"),
     )

@@ -22,18 +22,31 @@ def bucket_of(event_id: Column | str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
+def _event_files(spark: SparkSession, path: str) -> DataFrame:
+    """`stem, value` of every JSON file whose name is a usable event id; an event is looked up by its file name."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    return files.select(stem.alias("stem"), "value").filter(valid_event_id("stem") & F.try_parse_json("value").isNotNull())
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """S3. Event records, one JSON document per file; files with an unusable id are skipped."""
+    """S3. Event records, one JSON document per file; files that hold no JSON or have an unusable id are skipped.
+
+    Fields that the schema lacks come back as a JSON object of strings in `extra`; signatures have
+    a reader of their own.
+    """
     known = T.StructType([f for f in schemas.COORD_EVENTS.fields if f.name != "extra"])
-    docs = spark.read.schema(T.StructType([*known.fields, T.StructField("_corrupt_record", T.StringType())])).option(
-        "multiLine", "true"
-    ).option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").json(path)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
-    # An event is looked up by its file name.
-    named = docs.withColumn("_stem", stem).filter(valid_event_id("_stem") & F.col("_corrupt_record").isNull())
-    return named.select(
-        *[F.lit(None).cast("string").alias("extra") if f.name == "extra" else F.col(f.name) for f in schemas.COORD_EVENTS.fields]
-    )
+    docs = _event_files(spark, path).select(F.from_json("value", known).alias("r"), F.from_json("value", "map<string,string>").alias("all"))
+    others = F.map_filter("all", lambda k, v: ~k.isin(*known.fieldNames(), "extra", "signatures"))
+    extra = F.coalesce(F.when(F.size(others) > 0, F.to_json(others)), F.col("all")["extra"])
+    return docs.select("r.*", extra.alias("extra")).select(*schemas.COORD_EVENTS.fieldNames())
+
+
+def read_event_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """S3. The signatures that event records of a folder hold, one row each."""
+    entry = T.StructType([f for f in schemas.SIGNATURES.fields if f.name != "event_id"])
+    held = F.from_json("value", T.StructType([T.StructField("signatures", T.ArrayType(entry))]))
+    return _event_files(spark, path).select(F.col("stem").alias("event_id"), F.inline(held["signatures"]))
 
 
 def append_ledger(entries: DataFrame, path: str, batch_id: int | str, buckets: int = BUCKETS) -> None:
