@@ -56,9 +56,8 @@ def repetition(text: str | None, hashes: WordHashes) -> dict:
                 lengths = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in words), np.int64, n)
                 ends = np.concatenate([[0], np.cumsum(lengths)])
             if size in TOP_GRAM:
-                gram = ranked[np.cumsum(runs)[np.argmax(runs)] - 1]  # of equally frequent ones the smallest hash
-                at = int(np.argmax(grams == gram))
-                share = (most - 1) * int(ends[at + size] - ends[at]) / chars
+                at = np.flatnonzero(np.isin(grams, ranked[np.cumsum(runs)[runs == most] - 1]))
+                share = (most - 1) * int((ends[at + size] - ends[at]).max()) / chars  # the longest of equally frequent ones
                 top, top_over = max(top, share), top_over or share > TOP_GRAM[size]
             if size == 3 or size in DUPLICATED:
                 _, first, where, count = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
@@ -94,3 +93,30 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield {"doc_id": b["doc_id"], **{c: [r[c] for r in rows] for c in rows[0]}}
 
     return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, COLUMNS)
+
+
+def repetition_sql() -> str:
+    """The same rows as DuckDB SQL over `documents`, from the n-grams' texts."""
+    limits = ", ".join(f"({n}, {v})" for n, v in {**TOP_GRAM, **DUPLICATED}.items())
+    return f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+lim(n, most) as (values {limits}),
+word as (select r, unnest(ws) as w, generate_subscripts(ws, 1) as i from docs),
+chars as (select r, sum(length(w)) as chars from word group by 1),
+ten as (select r, i, [w, {", ".join(f"lead(w, {k}) over p" for k in range(1, 10))}] as ten from word window p as (partition by r order by i)),
+named as (select r, n, i, array_to_string(ten[1:n], ' ') as g from ten cross join lim where ten[n] is not null),
+freq as (select r, n, g, count(*) as k, min(i) as first, length(g) - n + 1 as len from named group by 1, 2, 3 having count(*) > 1),
+spot as (select distinct r, n, unnest(range(i, i + n)) as i from named join freq using (r, n, g) where n = 3 or n >= 5 and i > first),
+covered as (select r, n, count(*) as words, sum(length(w)) as covered from spot join word using (r, i) group by 1, 2),
+repeats as (select r, words as n_repeat from covered where n = 3),
+dup as (select r, n, covered from covered where n >= 5),
+top as (select r, n, max((k - 1) * len) as covered from freq join (select r, n, max(k) as k from freq where n <= 4 group by 1, 2) using (r, n, k) group by 1, 2),
+lines as (select r, l, count(*) as k from (select r, unnest(string_split(t, chr(10))) as l from docs) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by 1, 2),
+line as (select r, sum(k - 1) as n_dup, sum((k - 1) * length(l)) as covered from lines group by 1),
+shares as (select docs.*, coalesce(chars, 0) as chars, coalesce(n_repeat, 0) as n_repeat, coalesce(n_dup, 0) as n_dup, case when t = '' then 0.0 else coalesce(line.covered, 0)::double / length(t) end as line_share
+ from docs left join chars using (r) left join repeats using (r) left join line using (r)),
+judged as (select shares.*, coalesce((select max(top.covered::double / chars) from top where top.r = shares.r), 0.0) as top_gram, coalesce((select max(coalesce(dup.covered, 0)::double / chars) from dup where dup.r = shares.r), 0.0) as dup_gram,
+ coalesce((select bool_or(top.covered::double / chars > lim.most) from top join lim using (n) where top.r = shares.r), false) or coalesce((select bool_or(coalesce(dup.covered, 0)::double / chars - line_share > lim.most) from dup join lim using (n) where dup.r = shares.r), false)
+ or line_share > {DUP_LINE_CHARS} as too_much, len(ws) < 50 or 100 * n_repeat > 50 * len(ws) as failed from shares)
+select doc_id, len(ws)::bigint as n_words, chars::bigint as word_chars, (length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')))::bigint as n_symbols, n_dup::bigint as n_dup_lines, n_repeat::bigint as n_repeat_words,
+ top_gram::double as top_gram, dup_gram::double as dup_gram, line_share::double as dup_line, failed as base_failed, not failed and not too_much as kept from judged"""

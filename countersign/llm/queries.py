@@ -10,7 +10,7 @@ from countersign.llm.op2_neardup import near_duplicate_sql, near_duplicates
 from countersign.llm.op3_records import new_folder, read_records, write_records
 from countersign.llm.op4_toxicity import fold, score_toxicity
 from countersign.llm.op5_quality import score_quality
-from countersign.llm.op6_repetition import repetition_rules
+from countersign.llm.op6_repetition import repetition_rules, repetition_sql
 from countersign.llm.op7_mix import mix_sources
 from countersign.llm.op8_language_model import ROUNDS, score_texts
 from countersign.llm.op9_pii import pseudonymise
@@ -96,4 +96,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_sql(),
     "op2_near_duplicates": near_duplicate_sql(),
+    "op6_repetition_rules": repetition_sql(),
 }

@@ -139,7 +139,7 @@ def test_records_equal_the_tokenizer(result, texts):
 
 def test_encoder_on_odd_texts():
     random.seed(2)
-    pieces = ["a", "é", "Ñ", "  ", " ", "\n", "\t", ".", ",", "'s", "don't", "1", "x9", "ß", "，", "日本", " ", "\x1c", " ", "é", "🙂", "<|endoftext|>", "!?", "\r\n", "²", "Ⅷ"]
+    pieces = ["a", "_", "$$$", '"', "(b)", "é", "Ñ", "  ", " ", "\n", "\t", ".", ",", "'s", "don't", "1", "x9", "ß", "，", "日本", " ", "\x1c", " ", "é", "🙂", "<|endoftext|>", "!?", "\r\n", "²", "Ⅷ"]
     encoder = op3_records.Encoder(queries.tokenizer_path(), "<u4")
     for _ in range(5000):
         text = "".join(random.choice(pieces) for _ in range(random.randint(0, 9)))
