@@ -11,7 +11,9 @@ or refused on their full sets. Documents of equal sets form a class first and ta
 Links only have to give the right components. So each class is first compared with the smallest class that it meets in a bucket. Then
 buckets that still hold several components are worked off: some members become pivots, those of the bucket's smallest components first,
 and are compared with all members of other components; then they leave the bucket. Each round takes four times as many pivots, and
-components found meanwhile close buckets. No pair in different components stays uncompared, and no bucket is expanded into all pairs.
+components found meanwhile close buckets. A comparison starts with bitmaps of the two sets, inside the join: bits in which they differ
+are at most the elements in which the sets differ, so pairs with too many of them are no links and never leave the join as rows. No
+pair in different components stays uncompared, and no bucket is expanded into all pairs.
 """
 from __future__ import annotations
 
@@ -31,6 +33,7 @@ BANDS, ROWS = 36, 7
 SIZE = BANDS * ROWS
 SHARE = 85  # percent of the union that the intersection must have
 LEAST_AGREEING = 176  # of 252 coordinates, and of their low bytes: fewer at J = 0.85 has a probability under 1e-9
+LONGS = 16  # of a set's bitmap
 PIVOTS, MORE_PIVOTS = 16, 4
 SEEDS = mixed(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 KEPT_SETS = 64
@@ -67,6 +70,12 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * LONGS, bool)
+    bits[(items % np.uint64(64 * LONGS)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row: `doc_id, n_shingles, component_id, kept`.
 
@@ -75,33 +84,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gives a row. Rows without an id get no component and are kept. No rows give none; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = checkpointed(mapped(rows, _sketched, "doc_id long, n_shingles long, set_key binary, low binary, bands array<long>"))
+    table = checkpointed(mapped(rows, _sketched, "doc_id long, n_shingles long, set_key binary, low binary, bitmap array<long>, bands array<long>"))
     named = table.where("doc_id is not null and n_shingles > 0")
-    classes = checkpointed(named.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("low").alias("low"), F.first("bands").alias("bands")))
+    classes = checkpointed(named.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), *[F.first(c).alias(c) for c in ("n_shingles", "low", "bitmap")], F.first("bands").alias("bands")))
     placed = classes.select("class_id", F.explode("bands").alias("bucket"))
     met = placed.groupBy("bucket").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).where("leader < last")
     members = checkpointed(placed.join(met.drop("last"), "bucket").distinct())
 
     wanted = members.select(F.col("class_id").alias("doc_id")).distinct()
     texts = checkpointed(rows.join(wanted, "doc_id", "left_semi").distinct())
-    low = checkpointed(classes.select("class_id", "low").join(wanted.withColumnRenamed("doc_id", "class_id"), "class_id", "left_semi"))
+    known = checkpointed(classes.select("class_id", "n_shingles", "low", "bitmap").join(wanted.withColumnRenamed("doc_id", "class_id"), "class_id", "left_semi"))
 
     pairs = checkpointed(members.where("class_id > leader").groupBy("class_id").agg(F.min("leader").alias("a")).select("a", F.col("class_id").alias("b")))
-    compared, links = pairs, stars(_confirmed(pairs, texts, low))
+    compared, links = pairs, stars(_confirmed(pairs, texts, known))
     open_, pivots = members.select("bucket", "class_id"), PIVOTS
     while True:
         held = open_.join(links.withColumnRenamed("node", "class_id"), "class_id", "left").select("bucket", "class_id", F.coalesce("root", "class_id").alias("root"))
         several = held.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("bucket")
-        held = checkpointed(held.join(several, "bucket"))
+        held = checkpointed(held.join(several, "bucket").join(known.drop("low"), "class_id"))
         if held.isEmpty():
             break
         ranked = held.join(held.groupBy("bucket", "root").agg(F.count("*").alias("n")), ["bucket", "root"])
         order = Window.partitionBy("bucket").orderBy("n", "class_id")
-        chosen = checkpointed(ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("bucket", F.col("class_id").alias("pivot"), F.col("root").alias("pivot_root")))
-        met = chosen.join(held, "bucket").where("root <> pivot_root")
+        chosen = checkpointed(ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("bucket", F.col("class_id").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n_shingles").alias("pivot_n"), F.col("bitmap").alias("pivot_bitmap")))
+        differing = sum((F.bit_count(F.col("bitmap")[i].bitwiseXOR(F.col("pivot_bitmap")[i])) for i in range(LONGS)), F.lit(0))
+        may_link = (200 - (100 - SHARE)) * differing <= (100 - SHARE) * (F.col("n_shingles") + F.col("pivot_n"))
+        met = chosen.join(held, "bucket").where((F.col("root") != F.col("pivot_root")) & may_link)
         fresh = met.select(F.least("pivot", "class_id").alias("a"), F.greatest("pivot", "class_id").alias("b")).distinct()
         pairs = checkpointed(fresh.join(compared, ["a", "b"], "left_anti"))
-        found = _confirmed(pairs, texts, low)
+        found = _confirmed(pairs, texts, known)
         compared = compared.unionByName(pairs)
         links = stars(links.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
         open_ = checkpointed(held.join(chosen.select("bucket", F.col("pivot").alias("class_id")), ["bucket", "class_id"], "left_anti").select("bucket", "class_id"))
@@ -119,18 +130,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def _sketched(batches: Iterator[dict]) -> Iterator[dict]:
     hashes = WordHashes()
     for b in batches:
-        out: dict[str, list] = {"doc_id": b["doc_id"], "n_shingles": [], "set_key": [], "low": [], "bands": []}
+        out: dict[str, list] = {"doc_id": b["doc_id"], "n_shingles": [], "set_key": [], "low": [], "bitmap": [], "bands": []}
         for text in b["text"]:
             items = shingles(text, hashes)
             out["n_shingles"].append(len(items))
             coordinates = sketch(items) if len(items) else None
             out["set_key"].append(None if coordinates is None else xxhash.xxh3_128_digest(items.tobytes()))
             out["low"].append(None if coordinates is None else (coordinates & np.uint64(0xFF)).astype(np.uint8).tobytes())
+            out["bitmap"].append(bitmap(items))
             out["bands"].append([] if coordinates is None else bands(coordinates))
         yield out
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, low: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     """Those of the pairs `a, b` whose full sets are similar enough."""
 
     def agreeing(batches: Iterator[dict]) -> Iterator[dict]:
@@ -141,15 +153,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, low: DataFrame) -> DataFrame:
                 yield {"a": [b["a"][i] for i in near], "b": [b["b"][i] for i in near]}
 
     def similar(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes, known = WordHashes(), {}
+        hashes, sets = WordHashes(), {}
         for b in batches:
             out: dict[str, list] = {"a": [], "b": []}
             for i, j, t, u in zip(b["a"], b["b"], b["text_a"], b["text_b"]):
-                if (i, t) not in known:
-                    if len(known) >= KEPT_SETS:
-                        known.clear()
-                    known[i, t] = shingles(t, hashes)
-                s, v = known[i, t], shingles(u, hashes)
+                if (i, t) not in sets:
+                    if len(sets) >= KEPT_SETS:
+                        sets.clear()
+                    sets[i, t] = shingles(t, hashes)
+                s, v = sets[i, t], shingles(u, hashes)
                 both = len(np.intersect1d(s, v, assume_unique=True))
                 if 100 * both >= SHARE * (len(s) + len(v) - both):
                     out["a"].append(i)
@@ -157,8 +169,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, low: DataFrame) -> DataFrame:
             if out["a"]:
                 yield out
 
-    of_low = lambda c: low.select(F.col("class_id").alias(c), F.col("low").alias(f"low_{c}"))
+    of_low = lambda c: known.select(F.col("class_id").alias(c), F.col("low").alias(f"low_{c}"))
     of_text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     near = mapped(pairs.join(of_low("a"), "a").join(of_low("b"), "b"), agreeing, "a long, b long").distinct()
     near = checkpointed(near)
     return checkpointed(mapped(near.join(of_text("a"), "a").join(of_text("b"), "b"), similar, "a long, b long").distinct())
+
+
+def near_duplicate_sql() -> str:
+    """The same result as DuckDB SQL over `documents`, from the shingles that pairs share."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+with recursive ws as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sh as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {SHINGLE} then [array_to_string(w, ' ')]
+ else list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) end) as s from ws),
+n as (select doc_id, count(*) as n from sh group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b using (s) where a.doc_id < b.doc_id group by 1, 2),
+link as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {SHARE} * (x.n + y.n - c)),
+ways as (select a, b from link union select b, a from link),
+reach(doc_id, m) as (select doc_id, doc_id from documents union select b, m from reach join ways on reach.doc_id = ways.a where m < b),
+least as (select doc_id, min(m) as component_id from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from documents join least using (doc_id) left join n using (doc_id)"""
