@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from countersign.functions.headers import _col, _group, _strip
 
+# fixed values: the grammar of tagged addresses and of event ids
 ADDRESS = r"(?i)^([a-z][a-z0-9]*)\+([^@\s]+)@([^\s@]+)$"
 _EVENT_ID = r"^[a-zA-Z0-9]+$"
 

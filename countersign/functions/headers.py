@@ -6,6 +6,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: the ends of a header section and of a header line
 _BLANK_LINE = r"\r?\n\r?\n"
 _FOLD = r"\r?\n[ \t]+"
 

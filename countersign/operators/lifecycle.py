@@ -17,6 +17,7 @@ EDIT_ERRORS = (
 )
 # fixed values: step fields an edit may touch, in checking order
 STEP_FIELDS = ("participant", "deadline", "requires_attachment", "details")
+# fixed values: what an edit accepts as an address and as a deadline
 _EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 
