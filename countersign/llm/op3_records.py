@@ -10,8 +10,10 @@ counted, so a lost executor leaves at most an unused file, and `write_records` r
 from __future__ import annotations
 
 import functools
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,9 @@ from countersign.llm.text import mapped
 from countersign.session import shared_folder
 
 BLOCK = 64
-KEPT_WORDS = 120_000  # encoded words that one task remembers, twice at most
+KEPT_WORDS = 300_000  # encoded words that one task remembers, twice at most
 CASTAGNOLI = 0x82F63B78  # fixed value: the reflected CRC-32C polynomial
+STOPS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 MASK_DELTA = 0xA282EAD8  # fixed value: the record format's mask
 INDEX = "shard int, file string, ord long, doc_id long, offset long, length long, token_start long, n_tokens long"
 
@@ -81,8 +84,8 @@ class Encoder:
     """The tokenizer, asked once for each word between spaces.
 
     Its pre-tokenizer never joins what stands before a space to what stands behind it, where neither neighbour of the space is
-    white space itself; it keeps a run of letters whole and parts it from the stops behind it. So a word of letters goes straight to
-    the tokenizer's model, and a stop is encoded by itself. Texts that have other white space next to a space, or a special token, are
+    white space itself; it keeps a run of letters whole and parts it from the stops behind it and from new lines. So a word of letters
+    goes straight to the tokenizer's model; the stops behind it and single new lines are encoded by themselves. Texts that have other white space next to a space, or a special token, are
     encoded whole.
     """
 
@@ -91,13 +94,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = kind
+        self.kind, self.code = kind, "H" if kind == "<u2" else "I"
         # The model reads bytes as characters; the alphabet in byte order is printable bytes as themselves, the rest from 256 on.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.bytes_as = {b: b if b in printable else next(others) for b in range(256)}
-        self.byte_level = {chr(c) for c in self.bytes_as.values()} == set(pre_tokenizers.ByteLevel.alphabet()) and "ByteLevel" in str(self.tokenizer.pre_tokenizer)
+        self.byte_level = {chr(c) for c in self.bytes_as.values()} == set(pre_tokenizers.ByteLevel.alphabet()) and "ByteLevel" in str(self.tokenizer.pre_tokenizer) and sys.byteorder == "little"
+        self.model, self.space = self.tokenizer.model, chr(self.bytes_as[32])
+        self.newline = self.plain("\n")
         self.known: dict[str, bytes | None] = {}
+        self.bare: dict[str, bytes] = {}
         self.before: dict[str, bytes | None] = {}
 
     def plain(self, text: str) -> bytes:
@@ -107,20 +113,31 @@ class Encoder:
         """Ids of a word behind a space; None where it cannot be told apart from its surroundings."""
         if word in self.before:
             ids = self.before[word]
-        elif not word or word[0].isspace() or word[-1].isspace():
-            ids = None
-        elif self.byte_level and word.isalpha():
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes_as)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(chr(self.bytes_as[32]) + shown)], self.kind).tobytes()
-        elif self.byte_level and word[-1] in ".,;:!?" and word[:-1].isalpha():
-            core = self.known[word[:-1]] if word[:-1] in self.known else self.word(word[:-1])
-            ids = core + self.plain_stop(word[-1])
+        elif "\n" not in word:
+            ids = self.piece(word, " ")
         else:
-            ids = self.plain(f" {word}")
+            head, *lines = word.split("\n")
+            parts = [self.piece(head, " "), *[x for line in lines for x in (self.newline, self.piece(line, ""))]]
+            ids = None if None in parts else b"".join(parts)
         self.known[word] = ids
         return ids
 
-    @functools.cache
+    def piece(self, text: str, space: str) -> bytes | None:
+        """Ids of a run without spaces or new lines, behind a space or behind what never joins it."""
+        core, stop = text, ""
+        if not text.isalpha():
+            core = text.rstrip(STOPS)
+            stop = text[len(core) :]
+        if not (self.byte_level and core.isalpha()):
+            return None if not text or text[0].isspace() or text[-1].isspace() else self.plain(space + text)
+        held = self.known if space else self.bare
+        ids = held.get(core)
+        if ids is None:
+            shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.bytes_as)
+            ids = held[core] = array(self.code, [t.id for t in self.model.tokenize((self.space if space else "") + shown)]).tobytes()
+        return ids + self.plain_stop(stop) if stop else ids
+
+    @functools.lru_cache(maxsize=4096)  # noqa: B019 - one encoder lives as long as its worker
     def plain_stop(self, stop: str) -> bytes:
         return self.plain(stop)
 
@@ -132,6 +149,8 @@ class Encoder:
             return self.plain(text)
         if len(self.known) > KEPT_WORDS:
             self.before, self.known = self.known, {}
+        if len(self.bare) > KEPT_WORDS:
+            self.bare.clear()
         first, *words = text.split(" ")
         parts = list(map(self.known.get, words))
         if None in parts:
@@ -140,9 +159,13 @@ class Encoder:
                     parts[i] = self.word(w)
                     if parts[i] is None:
                         return self.plain(text)
-        if words and (not first or first[-1].isspace()):
-            return self.plain(text)
-        return b"".join([self.plain(first), *parts])
+        start = self.bare.get(first) or self.start(first)
+        return self.plain(text) if start is None else b"".join([start, *parts])
+
+    def start(self, first: str) -> bytes | None:
+        """Ids of what stands before a text's first space."""
+        lines = [self.piece(line, "") for line in first.split("\n")]
+        return None if None in lines else self.newline.join(lines)
 
 
 @functools.lru_cache(maxsize=1)
@@ -158,14 +181,14 @@ def _filesystem(uri: str):
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, order: list[Column] | None = None) -> DataFrame:
-    """Encode every text, append `end_id`, write shards in the given order (default: ascending id, then text) and return the index.
+    """Encode every text, append `end_id`, write shards in the given order (default: ascending id, rows of one id by their texts' hashes) and return the index.
 
     Null and empty texts give the end id alone. Rows without an id come first, with id 0 in their record and null in the index.
     Repeated rows give a record each. No rows give an empty index. Other columns are not read. `folder` is a URI that Arrow's file
     systems can write; shards are cut by range over the order, so they follow one another.
     """
     spark = docs.sparkSession
-    order = order or [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    order = order or [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # hashes: sampled bounds never hold texts
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c for c in ("mix_file", "mix_row") if c in docs.columns])
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
