@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countersign.llm.text import mapped, utf8
+from countersign.llm.text import joined, mapped, utf8
 from countersign.session import checkpointed
 
 BITS = 16
@@ -77,9 +77,11 @@ def fit(examples: DataFrame, grades: int) -> tuple[np.ndarray, np.ndarray]:
         codes = Codes()
         for b in batches:
             rows = [features(*codes.of(t)) for t in b["text"]]
-            yield {"grade": b["grade"], "at": [a for a, _ in rows], "value": [v for _, v in rows]}
+            # A row per batch, as the gradient wants it: one flat array each.
+            flat = {"grade": np.array(b["grade"], np.int32), "size": np.array([len(a) for a, _ in rows], np.int32), "at": joined([a for a, _ in rows], np.int32), "value": joined([v for _, v in rows], np.float32)}
+            yield {c: [x.tobytes()] for c, x in flat.items()}
 
-    table = checkpointed(mapped(examples.repartition(LEARN_TASKS), featured, "grade int, at array<int>, value array<float>"))
+    table = checkpointed(mapped(examples.repartition(LEARN_TASKS), featured, "grade binary, size binary, at binary, value binary"))
     weights, raw = np.zeros(SIZE), np.concatenate([[-1.0], np.zeros(grades - 2)])
     seen_w, seen_r = np.full(SIZE, 1e-8), np.full(grades - 1, 1e-8)
     for _ in range(STEPS):
@@ -105,10 +107,7 @@ def fit(examples: DataFrame, grades: int) -> tuple[np.ndarray, np.ndarray]:
 def _gradient(batches: Iterator[dict], weights: np.ndarray, thresholds: np.ndarray) -> Iterator[dict]:
     """Gradient of the negative log-likelihood, summed over a task's rows."""
     n, grad, grad_t = 0, np.zeros(SIZE, np.float32), np.zeros(len(thresholds))
-    for b in batches:
-        y = np.array(b["grade"])
-        sizes = np.array([len(a) for a in b["at"]])
-        at, value = np.concatenate(b["at"]).astype(np.int64), np.concatenate(b["value"])
+    for y, sizes, at, value in ((np.frombuffer(x, t) for x, t in zip(row, (np.int32, np.int32, np.int32, np.float32))) for b in batches for row in zip(b["grade"], b["size"], b["at"], b["value"])):
         s = np.bincount(np.repeat(np.arange(len(y)), sizes), weights[at] * value, len(y))
         cdf = below(s, thresholds)
         slope, row = cdf * (1 - cdf), np.arange(len(y))
