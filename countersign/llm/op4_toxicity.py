@@ -27,7 +27,7 @@ BEGINNINGS = range(4, 9)
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.3
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 STOPS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 

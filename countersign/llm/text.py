@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-HASHED_WORDS = 400_000  # word hashes that one task remembers
+HASHED_WORDS = 250_000  # word hashes that one task remembers
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -93,13 +93,6 @@ def _arrow(field: str) -> pa.DataType:
     raise ValueError(kind)
 
 
-def lists(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
-    """A list column from one flat array and the length of each row's part."""
-    offsets = np.zeros(len(sizes) + 1, np.int32)
-    np.cumsum(sizes, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
-
-
 def joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(arrays) if arrays else np.empty(0, kind)
 
