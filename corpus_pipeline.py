@@ -22,6 +22,10 @@ from countersign.llm.text import prepared
 from countersign.session import checkpointed
 
 
+#: Percent of common five-word shingles from which documents are near duplicates. The op2 query has a threshold of its own.
+NEAR_SHARE = 80
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(rejected.select(F.col("doc_id").alias("_rejected")).distinct(), F.col("doc_id") == F.col("_rejected"), "left_anti")
 
@@ -35,9 +39,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays; rows that share an id are one document, of which the
-    smallest row in column order stays."""
+    smallest row in column order stays. Documents are near duplicates from a similarity of NEAR_SHARE on."""
     prepared(spark)
-    verdict = near_duplicates(docs)
+    verdict = near_duplicates(docs, share=NEAR_SHARE)
     left = _without(docs, checkpointed(verdict.where(~F.col("kept")).select("doc_id")))
     repeated = left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
