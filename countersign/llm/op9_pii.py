@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 from math import isqrt
 
@@ -184,6 +184,66 @@ FORMATS: dict[str, tuple[str, Callable[[re.Match, bytes], str | None]]] = {
 }
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in names.split()}
+
+
+def _ends(text: str, start: int, allowed: str, marks: str, most: int) -> dict[int, int]:
+    """Ends of values that start here, before anything but a letter or digit, by their number of characters without marks."""
+    out, at, n = {}, start, 0
+    while at < len(text) and n < most:
+        if text[at] in allowed:
+            n, at = n + 1, at + 1
+            if not (text[at : at + 1].isascii() and text[at : at + 1].isalnum()):
+                out[n] = at
+        elif at > start and text[at] in marks and text[at - 1] not in marks:
+            at += 1
+        else:
+            break
+    return out
+
+
+def _starts(m: re.Match, marks: str) -> list[int]:
+    return [m.start(), *(i + 1 for i in range(m.start(), m.end()) if m.string[i] in marks)]
+
+
+def _card_places(m: re.Match) -> Iterator[tuple[int, int]]:
+    """The issuer's usual length at any start, then the longest from each start on: neighbours such as dates and amounts may be digits, too."""
+    text, starts = m.string, _starts(m, " -")
+    ends = {s: _ends(text, s, DIGITS, " -", 19) for s in starts}
+    for s in starts:
+        usual = 15 if text[s : s + 2] in ("34", "37") else 14 if text[s : s + 2] in ("30", "36", "38") else 16
+        if usual in ends[s]:
+            yield s, ends[s][usual]
+    for s in starts:
+        yield from ((s, e) for n, e in sorted(ends[s].items(), reverse=True) if n >= 13)
+
+
+def _iban_places(m: re.Match) -> Iterator[tuple[int, int]]:
+    """From each start on the country's length, then the whole match, or for unknown countries every length."""
+    for s in _starts(m, " "):
+        ends = _ends(m.string, s, DIGITS + LARGE, " ", 34)
+        length = IBAN_LENGTHS.get(m.string[s : s + 2])
+        if length in ends:
+            yield s, ends[length]
+        if s == m.start():
+            yield m.span()
+        if length is None:
+            yield from ((s, e) for n, e in sorted(ends.items(), reverse=True) if n >= 15)
+
+
+def _phone_places(m: re.Match) -> Iterator[tuple[int, int]]:
+    yield from ((m.start(), e) for e in range(m.end() - 1, m.start(), -1) if m.string[e] in " .-")
+
+
+#: Where a value may lie that a match includes or overlaps; the first that passes its check counts.
+PLACES = {"iban": _iban_places, "card": _card_places}
+
+
 class Pseudonyms:
     """Replaces the validated values of texts under one key."""
 
@@ -198,32 +258,53 @@ class Pseudonyms:
         if not text or not ("@" in text or any(d in text for d in DIGITS) or "=" in text or ":" in text):
             return text, counts
         taken: list[tuple[int, int, str]] = []
+        late: list[re.Match] = []
         for at, (kind, pattern, fn) in enumerate(self.kinds):
             if kind == "email" and "@" not in text:
                 continue
-            free = []
-            for m in pattern.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b, _ in taken):
-                    continue
-                if len(self.known) > KEPT_VALUES:
-                    self.known.clear()
-                if (kind, m[0]) not in self.known:
-                    self.known[kind, m[0]] = fn(m, self.key)
-                if (new := self.known[kind, m[0]]) is not None:
-                    free.append((m.start(), m.end(), new))
+            free, end = [], 0
+            while m := pattern.search(text, end):
+                places = PLACES[kind](m) if kind in PLACES else (m.span(),)
+                found = self._first(kind, pattern, fn, text, places, taken)
+                end = m.end()
+                if found:
+                    free.append(found)
+                    end = found[1]
+                elif kind == "phone":
+                    late.append(m)
             counts[at] = len(free)
             taken = sorted(taken + free)
+        # Digits that follow a phone number may be a card's, so shorter phone numbers come last.
+        at = KINDS.index("phone")
+        _, pattern, fn = self.kinds[at]
+        for m in late:
+            if found := self._first("phone", pattern, fn, text, _phone_places(m), taken):
+                counts[at] += 1
+                taken = sorted([*taken, found])
         out, end = [], 0
         for a, b, new in taken:
             out += [text[end:a], new]
             end = b
         return "".join([*out, text[end:]]), counts
 
+    def _first(self, kind: str, pattern: re.Pattern, fn: Callable[[re.Match, bytes], str | None], text: str, places: Iterable[tuple[int, int]], taken: list[tuple[int, int, str]]) -> tuple[int, int, str] | None:
+        """The first place that is free and whose value passes its check, with the pseudonym."""
+        for start, end in places:
+            if any(a < end and start < b for a, b, _ in taken) or not (m := pattern.fullmatch(text, start, end)):
+                continue
+            if len(self.known) > KEPT_VALUES:
+                self.known.clear()
+            if (kind, m[0]) not in self.known:
+                self.known[kind, m[0]] = fn(m, self.key)
+            if (new := self.known[kind, m[0]]) is not None:
+                return start, end, new
+        return None
+
 
 def pseudonymise(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row: `doc_id, text, n_found, n_<kind>...`, the text with every validated value replaced.
 
-    Values that fail their check (Luhn, calendar, mod 97, octets, issued ranges) stay as they are. Null texts stay null, empty ones
+    Values that fail their check (Luhn, calendar, mod 97, octets, issued ranges) stay as they are, but values inside a failed match are sought. Null texts stay null, empty ones
     empty; null ids and repeated rows are rows like any other; no rows give none; other columns are not read.
     """
 

@@ -1,6 +1,8 @@
 """Whole jobs where a shorter one would look the same on the shared tables."""
+import pytest
+
 import corpus_pipeline
-from countersign.llm import op2_neardup
+from countersign.llm import op2_neardup, op9_pii
 
 
 def edited(n, name):
@@ -31,3 +33,27 @@ def test_sketches_of_a_threshold_miss_few_pairs():
         p = op2_neardup.plan(share)
         assert (1 - (share / 100) ** p.rows) ** p.bands < 1.1e-6 and 0 < p.least < p.size <= 288
     assert op2_neardup.plan(85)[1:] == (36, 7, 176)
+
+
+CARD, IBAN, PHONE = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "+1 (017) 555-7713"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["card {CARD} 12/27", "qty 2 {CARD}.", "2 {CARD} 12 27", "born 1980-02-29 {CARD}", "{CARD} {CARD}", "{CARD} 500 {CARD} 12/27", "{IBAN} EUR 500", "{IBAN} BIC COBADEFF", "AB12 {IBAN} EUR", "{IBAN} {IBAN}", "{PHONE} {CARD}", "{PHONE} 1234 5678 9012", "{CARD}-{CARD}"],
+)
+def test_values_beside_digits_and_capitals_are_found(text):
+    names = op9_pii.Pseudonyms(b"key")
+    values = {"CARD": CARD, "IBAN": IBAN}
+    alone = {k: names.of(v)[0] for k, v in values.items()}
+    new, counts = names.of(text.format(**values, PHONE=PHONE))
+    for kind, value in values.items():
+        n = text.count("{%s}" % kind)
+        assert value not in new and new.count(alone[kind]) == counts[op9_pii.KINDS.index(kind.lower())] == n
+    assert "555-7713" not in new
+
+
+def test_failed_values_stay():
+    names = op9_pii.Pseudonyms(b"key")
+    for text in ("4111 1111 1111 1112 12/27", "DE88 3704 0044 0532 0130 00 EUR 500", "1 2 3 4 5 6 7 8 9 10 11 12"):
+        assert names.of(text) == (text, [0] * len(op9_pii.KINDS))
