@@ -3,30 +3,55 @@
 Each source's rows, in an order that hashing gives them, form blocks. Block k of a source of weight n/H is released at slot
 floor(k*H/n) and due by slot ceil((k+1)*H/n); earliest deadline first runs a released block in every slot, so at any slot each source
 has had its share but for less than one block. Weights are multiples of 1/H, hence the schedule repeats after H slots: one period is
-scheduled on the driver (a table of H rows, whatever the input) and every block finds its slot by arithmetic.
+scheduled on the driver and every block finds its slot by arithmetic.
+
+A period holds at least as many slots as the mixture lasts, until the first source runs out. The slots of a source in a period differ from
+its target by less than one (rounding), so over the whole mixture it stays within two blocks of its target weight. Only where the target
+is under one slot of a period a source gets a whole one, which others give up in proportion: it is never more than one block in all.
 """
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD = 1024  # slots of a period; at least four for each source
+PERIOD = 1024  # slots of a period at least, and four for each source; doubled up to the length of the mixture
+SENT = 1 << 16  # rows of a schedule that is sent to every task; longer ones are joined
 BUCKET_ROWS = 1024  # rows that are ranked together
 
 
 def quantised(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
-    """Slots of each source in a period: at least one, in proportion by largest remainders, `period` in all."""
+    """Slots of each source in a period: in proportion by largest remainders, one where that is less, `period` in all."""
     names = sorted(weights, key=lambda s: (s is not None, s or ""))
-    total, spare = sum(weights.values()), period - len(names)
-    exact = {s: spare * weights[s] / total for s in names}
-    slots = {s: 1 + int(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: int(exact[s]) - exact[s])[: period - sum(slots.values())]:
+    given = {s: Fraction(weights[s]) for s in names}
+    few: set[str | None] = set()
+    while True:
+        total, spare = sum(given[s] for s in names if s not in few), period - len(few)
+        exact = {s: Fraction(1) if s in few else spare * given[s] / total for s in names}
+        under = {s for s in names if exact[s] < 1}
+        if not under:
+            break
+        few |= under
+    slots = {s: int(exact[s]) for s in names}
+    for s in sorted(names, key=lambda s: slots[s] - exact[s])[: period - sum(slots.values())]:
         slots[s] += 1
     return slots
 
 
+def period_for(weights: dict[str | None, float], blocks: dict[str | None, int]) -> int:
+    """Slots of a period: as many as there are until the first source runs out, and one for the smallest weight if that many blocks exist."""
+    total, all_ = sum(map(Fraction, weights.values())), sum(blocks.values())
+    lasting = min(blocks[s] * total / Fraction(w) for s, w in weights.items() if w > 0)  # all_ at most
+    smallest = max(total / Fraction(w) for w in weights.values() if w > 0)
+    least, period = max(4 * len(weights), lasting, min(smallest, all_)), PERIOD
+    while period < least:
+        period *= 2
+    return period
+
+
 def schedule(slots: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
     """(source, block, release, deadline, slot) of one period, by earliest deadline among released blocks."""
     period = sum(slots.values())
@@ -61,26 +86,30 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     if weights is None:
         weights = {s: n**temper for s, n in counts.items()}
     least = min(weights.values())
-    slots = quantised({s: weights.get(s, least) for s in counts}, max(PERIOD, 4 * len(counts)))
-    period, table = sum(slots.values()), schedule(slots)
-    at = {(s, k): slot for s, k, _, _, slot in table}
+    weights = {s: weights.get(s, least) for s in counts}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    period = period_for(weights, blocks)
+    slots = quantised(weights, period)
+    table = schedule(slots)
+    at = {(s, k): slot for s, k, _, _, slot in table}
     whole = min(b // slots[s] * period + at[s, b % slots[s]] for s, b in blocks.items())
 
-    plan = spark.createDataFrame([(s, k, r, d, slot, slots[s]) for s, k, r, d, slot in table], "source string, k long, release long, deadline long, slot long, n long")
+    columns = zip(*(x for x in table if x[1] < blocks[x[0]]))
+    kinds = {"source": pa.string(), "k": pa.int64(), "release": pa.int64(), "deadline": pa.int64(), "slot": pa.int64()}
+    plan = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds)))
+    sized = F.broadcast(spark.createDataFrame(list(slots.items()), "source string, n long"))
     cuts = spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in counts.items()], "source string, buckets long")
-    # Both tables are bounded: a row per source and four per source or PERIOD.
+    # A row per source.
     keyed = _beside(rows, F.broadcast(cuts)).withColumn("bucket", F.pmod("at", "buckets"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("source", "bucket").agg(F.count("*").alias("n")).select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("source", "bucket").orderBy("at", "doc_id")
     ranked = keyed.select("doc_id", "source", "bucket", "at", *carried, (F.row_number().over(within) - 1).alias("rank"))
     placed = _beside(ranked, offsets, "bucket").withColumn("block", F.expr(f"(first + rank) div {int(block_rows)}"))
-    sized = F.broadcast(plan.select("source", "n").distinct())
     numbered = _beside(placed, sized).withColumn("k", F.pmod("block", "n"))
     numbered = numbered.withColumn("shift", F.expr(f"(block div n) * {period}"))
     shift = F.col("shift")
-    slotted = _beside(numbered.drop("n"), F.broadcast(plan.drop("n")), "k")
+    slotted = _beside(numbered.drop("n"), F.broadcast(plan) if len(table) <= SENT else plan, "k")
     if in_order:
         return slotted.withColumn("slot", F.col("slot") + shift).orderBy("slot", "at", "doc_id").select("whole.*")
     return slotted.select(

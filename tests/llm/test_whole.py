@@ -1,8 +1,10 @@
 """Whole jobs where a shorter one would look the same on the shared tables."""
+import collections
+
 import pytest
 
 import corpus_pipeline
-from countersign.llm import op2_neardup, op9_pii
+from countersign.llm import op2_neardup, op7_mix, op9_pii
 
 
 def edited(n, name):
@@ -57,3 +59,28 @@ def test_failed_values_stay():
     names = op9_pii.Pseudonyms(b"key")
     for text in ("4111 1111 1111 1112 12/27", "DE88 3704 0044 0532 0130 00 EUR 500", "1 2 3 4 5 6 7 8 9 10 11 12"):
         assert names.of(text) == (text, [0] * len(op9_pii.KINDS))
+
+
+@pytest.mark.parametrize("m, share", [(20, 0.5), (100, 0.5), (1000, 0.5), (3, 0.9995)])
+def test_mix_stays_within_two_blocks_of_the_real_weights(m, share):
+    weights = {"big": share, **{f"s{i}": (1 - share) / (m - 1) for i in range(m - 1)}}
+    # The sources last for 20,000 slots.
+    blocks = {s: max(1, round(20_000 * w)) for s, w in weights.items()}
+    slots = op7_mix.quantised(weights, op7_mix.period_for(weights, blocks))
+    done, worst = collections.Counter(), 0
+    for t, (source, *_) in enumerate(op7_mix.schedule(slots)[:20_000], 1):
+        done[source] += 1
+        worst = max(worst, abs(done[source] - t * weights[source]), abs(done["big"] - t * share))
+    assert worst < 2 and abs(done["big"] / 20_000 - share) < 2e-4
+
+
+def test_mixed_rows_keep_to_the_real_weights(spark):
+    weights = {"big": 0.5, **{f"s{i}": 0.5 / 19 for i in range(19)}}
+    rows = [(i, s) for s, w in weights.items() for i in range(round(8000 * w))]
+    got = op7_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=1).where("in_mix").collect()
+    assert len(got) == len({r["slot"] for r in got}) > 7900
+    done = collections.Counter()
+    for t, r in enumerate(sorted(got, key=lambda r: r["slot"]), 1):
+        assert r["slot"] == t - 1 and r["block"] == done[r["source"]] and r["release"] <= r["slot"] < r["deadline"]
+        done[r["source"]] += 1
+        assert all(abs(done[s] - t * w) < 2 for s, w in weights.items())
