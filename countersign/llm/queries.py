@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countersign.llm.op10_decontaminate import find_contaminated
+from countersign.llm.op11_trie import prefix_trie, read_turns, spliced, trie_sql
+from countersign.llm.op12_merkle import LOWER, UPPER, manifest_sql, merkle_manifest
 from countersign.llm.op1_license import license_sql, scan_licenses
 from countersign.llm.op2_neardup import near_duplicate_sql, near_duplicates
 from countersign.llm.op3_records import new_folder, read_records, write_records
@@ -81,6 +83,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = spliced(read_turns(_table(spark, sf_dir, "conversations")))
+    return prefix_trie(turns, convs)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle_manifest(
+        _table(spark, sf_dir, "documents"),
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        changed=fold(F.col("doc_id"), 3) == 0,
+        changes={"text": F.translate("text", UPPER, LOWER)},
+    )
+    return manifest.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -92,9 +109,13 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_sql(),
     "op2_near_duplicates": near_duplicate_sql(),
     "op6_repetition_rules": repetition_sql(),
+    "op11_conversation_trie": trie_sql(),
+    "op12_merkle_manifest": manifest_sql(),
 }
