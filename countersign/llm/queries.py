@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from countersign.llm.op10_decontaminate import find_contaminated
 from countersign.llm.op11_trie import prefix_trie, read_turns, spliced, trie_sql
 from countersign.llm.op12_merkle import LOWER, UPPER, manifest_sql, merkle_manifest
+from countersign.llm.op13_language import identify_languages
 from countersign.llm.op1_license import license_sql, scan_licenses
 from countersign.llm.op2_neardup import near_duplicate_sql, near_duplicates
 from countersign.llm.op3_records import new_folder, read_records, write_records
@@ -98,6 +99,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    found = identify_languages(docs, learn_where=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -111,6 +119,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_language_id": op13_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_sql(),
