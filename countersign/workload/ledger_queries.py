@@ -1,12 +1,15 @@
 """Queries for the ledger, its digests, proofs and the read side."""
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from countersign import functions as fn
 from countersign.operators import anchor as A
 from countersign.operators import ledger as LG
 from countersign.operators import lifecycle as L
+from countersign.operators import mountain as MT
 from countersign.operators import verify as V
 from countersign.operators.numbering import rank_numbered
 from countersign.session import checkpointed
@@ -116,6 +119,80 @@ def w7(spark, sf):
     return LG.verify_hash_chain(tampered, chain, _payload())
 
 
+def _json_text(value: str) -> str:
+    return f"""coalesce('"' || {value} || '"', 'null')"""
+
+
+# The canonical JSON of a whole entry of projection `lg`, nulls kept, nested fields too.
+_ENTRY = f"""'{{"schema_version":2,"kind":"reply","event_id":"' || event_id || '","step_id":' || {_json_text("step_id")} || ',"sequence":' || sequence || ',"received_at":"' || {iso("received_at")}
+ || '","sender_hash":' || {_json_text("sender_hash")} || ',"sender_domain":' || {_json_text("sender_domain")} || ',"message_id_hash":' || {_json_text("message_id_hash")} || ',"trust_level":"' || trust_level
+ || '","participant_match":null,"counted":' || case when counted then 'true' else 'false' end || ',"count_reason":' || {_json_text("count_reason")}
+ || ',"attachments":[' || case when att_sha256 is null then '' else '{{"filename":"' || att_name || '","size":6,"sha256":"' || att_sha256 || '"}}' end
+ || '],"dkim":{{"result":null,"signatures":[{{"result":"' || sig_result || '","comment":null,"domain":"d' || (k % 3) || '.example","selector":' || case when mail_id % 13 <> 0 then '"sel"' else 'null' end
+ || ',"aligned":null,"algorithm":"rsa-sha256","info":null}}]}},"spf":null,"dmarc":null,"arc":null,"envelope":null,"raw_sha256":"' || raw_sha256 || '","raw_size":10,"dkim_key_file":'
+ || case when has_key then '"dkim_keys/commit-' || case when sequence < 1000 then lpad(cast(sequence as varchar), 3, '0') else cast(sequence as varchar) end || '.pem"' else 'null' end || ',"ots_proof_file":null}}'"""
+_RANGE = (
+    LEDGER
+    + f", m0 as (select event_id, sequence - 1 as i, sha256({_ENTRY}) as digest from lg), mn as (select event_id, count(*) as n from lg group by event_id)"
+    + "".join(f", m{h} as (select event_id, i // 16 as i, sha256(string_agg(digest, '|' order by i)) as digest from m{h - 1} group by event_id, i // 16 having count(*) = 16)" for h in range(1, 7))
+    + ", pk as (" + " union all ".join(f"select m{h}.event_id, {h} as height, i, digest from m{h} join mn on mn.event_id = m{h}.event_id where (i // 16 + 1) * {16 ** (h + 1)} > n" for h in range(7)) + ")"
+)
+
+
+def _appended(lg, parts=5):
+    """States and nodes of a ledger that grew in several batches, each extending the stored peaks."""
+    whole = lg.groupBy("event_id").agg(F.max("sequence").alias("_n"))
+    numbered = checkpointed(MT.leaves(lg).join(whole, "event_id").withColumn("_part", F.floor(F.col("index") * parts / F.col("_n"))))
+    peaks, states, nodes = None, [], []
+    for p in range(parts):
+        formed, fresh = MT.extend(peaks, numbered.filter(F.col("_part") == p))
+        touched = fresh.select("event_id").distinct()
+        peaks = checkpointed(fresh if peaks is None else fresh.unionByName(peaks.join(touched, "event_id", "left_anti")))
+        states.append(MT.roots(peaks.join(touched, "event_id", "left_semi")).withColumn("state", F.lit(p).cast("bigint")))
+        nodes.append(formed)
+    union = lambda frames: functools.reduce(lambda a, b: a.unionByName(b), frames)
+    return peaks, union(states), union(nodes)
+
+
+@query("w6_append_digest", _RANGE + "select pk.event_id, cast(n as bigint) as entries, sha256(n || '|' || string_agg(digest, '|' order by height desc, i)) as root from pk join mn on mn.event_id = pk.event_id group by pk.event_id, n")
+def w6_append(spark, sf):
+    """Roots of a ledger that was chained in five batches; the SQL builds each in one piece."""
+    peaks, _, _ = _appended(fx.ledger(spark, sf))
+    return MT.roots(peaks)
+
+
+_STATES = LEDGER + """, nn as (select event_id, any_value(k) as k, count(*) as n from lg group by event_id),
+st as (select distinct lg.event_id, k2.k, n, (sequence - 1) * 5 // n as state from lg join nn k2 on k2.event_id = lg.event_id),
+se as (select st.event_id, st.k, st.n, state, (select count(*) from lg where lg.event_id = st.event_id and (lg.sequence - 1) * 5 // st.n <= state) as entries from st)
+"""
+
+
+@query("w7_check_states", _STATES + """select event_id, state, entries, coalesce(lag(entries) over (partition by event_id order by state), 0) as after,
+ case when k % 4 = 1 and state >= 1 then 'missing' when k % 4 = 2 and state = 4 then 'missing' when k % 4 = 3 and state >= 2 then 'changed' end as problem from se""")
+def w7_states(spark, sf):
+    """After five batches one event in four loses its second batch, one its last entry, and one has its third batch rewritten."""
+    lg = fx.ledger(spark, sf)
+    _, states, _ = _appended(lg)
+    whole = lg.groupBy("event_id").agg(F.max("sequence").alias("_n"))
+    part, kind = F.floor((F.col("sequence") - 1) * 5 / F.col("_n")), F.col("k") % 4
+    kept = lg.join(whole, "event_id").filter(~((kind == 1) & (part == 1)) & ~((kind == 2) & (F.col("sequence") == F.col("_n"))))
+    left = kept.withColumn("trust_level", F.when((kind == 3) & (part == 2), "verified!").otherwise(F.col("trust_level")))
+    nodes, _ = MT.extend(None, MT.leaves(left))
+    return MT.check_states(states, nodes)
+
+
+@query("w7_growth_proof", _STATES + "select event_id, max(entries) filter (where state = 1) as start, max(entries) filter (where state = 4) as entries, case when any_value(k) % 4 = 3 then 'newer' end as problem from se group by event_id")
+def w7_growth(spark, sf):
+    """The second and the last state compared without the entries; one event in four has its third batch rewritten and its last root made anew."""
+    lg = fx.ledger(spark, sf)
+    _, states, nodes = _appended(lg)
+    older, newer = states.filter("state = 1"), states.filter("state = 4")
+    forged = F.col("k") % 4 == 3
+    false = newer.join(lg.select("event_id", "k").distinct(), "event_id").select("event_id", "entries", F.when(forged, F.sha2(F.concat("root", F.lit("!")), 256)).otherwise(F.col("root")).alias("root"))
+    pairs = older.select("event_id", F.col("entries").alias("start")).join(newer.select("event_id", "entries"), "event_id")
+    return MT.check_growth(MT.growth_proof(nodes, pairs), older, false)
+
+
 @query("o1_sort_commits", LEDGER + "select event_id, sequence, row_number() over (partition by event_id order by sequence) as place from lg where counted")
 def o1(spark, sf):
     """Place of every counted entry in numeric order."""
