@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the ends of a header section and of a header line
+# fixed values: the ends of a header section and of a header line, and a header line by its name
 _BLANK_LINE = r"\r?\n\r?\n"
 _FOLD = r"\r?\n[ \t]+"
 
@@ -32,9 +32,12 @@ def text_of(raw: Column | str) -> Column:
 def header_block(raw: Column | str, limit: int | None = None) -> Column:
     """P1. Everything up to the first blank line, wherever that is; of the leading `limit` bytes only if one is given."""
     data = _col(raw).cast("binary")
-    text = F.make_valid_utf8((data if limit is None else F.substring(data, 1, limit)).cast("string"))
-    end = F.regexp_instr(text, F.lit(_BLANK_LINE))
-    return F.when(end > 1, F.substr(text, F.lit(1), end - 1)).otherwise(text)
+    whole = (data if limit is None else F.substring(data, 1, limit)).cast("string")
+    # A blank line is a line feed followed by another, with or without a carriage return before either. Cutting at those bytes
+    # neither validates nor counts the characters of what follows, attachments included.
+    cut = F.substring_index(F.substring_index(whole, "\n\n", 1), "\n\r\n", 1)
+    head = F.when(F.octet_length(cut) < F.octet_length(whole), F.regexp_replace(F.make_valid_utf8(cut), r"\r\z", "")).otherwise(F.make_valid_utf8(cut))
+    return F.when(F.octet_length(head) > 0, head).otherwise(F.make_valid_utf8(whole))
 
 
 def raw_header(block: Column | str, name: str) -> Column:

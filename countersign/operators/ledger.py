@@ -286,6 +286,31 @@ def read_keys(keys: DataFrame, paths: DataFrame) -> DataFrame:
     return wanted.join(have, ["event_id", "_seq"], "left").drop("_seq")
 
 
+def heads(ledger: DataFrame, reverify_log: DataFrame | None = None) -> DataFrame:
+    """A9. Where an event's ledger ends: `last` number, `reverify_last` and the number of `receipts` (counted replies)."""
+    reply = (F.col("kind") == "reply") & F.col("counted")
+    ends = ledger.groupBy("event_id").agg(F.max("sequence").alias("last"), F.count(F.when(reply, 1)).alias("receipts"))
+    if reverify_log is None:
+        return ends.withColumn("reverify_last", F.lit(0).cast("bigint"))
+    told = reverify_log.groupBy("event_id").agg(F.max("reverify_sequence").alias("reverify_last"))
+    return ends.join(told, "event_id", "full").select(
+        "event_id", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("last", "receipts", "reverify_last")]
+    )
+
+
+def heads_after(before: DataFrame | None, entries: DataFrame, reverified: DataFrame | None = None) -> DataFrame:
+    """A9. The heads of the events that new entries or reverify records touch, from the earlier heads and those rows alone."""
+    fresh = heads(entries, reverified)
+    if before is None:
+        return fresh
+    old = before.select("event_id", *[F.col(c).alias(f"_{c}") for c in ("last", "receipts", "reverify_last")])
+    kept = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0))
+    return fresh.join(old, "event_id", "left").select(
+        "event_id", F.greatest("last", kept("last")).alias("last"), (F.col("receipts") + kept("receipts")).alias("receipts"),
+        F.greatest("reverify_last", kept("reverify_last")).alias("reverify_last"),
+    )
+
+
 # --- receipts and snapshots ------------------------------------------------------------------
 
 

@@ -25,31 +25,30 @@ def attachment_rows(ledger: DataFrame, *carried: str) -> DataFrame:
     ).select("event_id", "sequence", *carried, "att_pos", F.col("att.filename").alias("filename"), F.col("att.sha256").alias("sha256"))
 
 
-def find_match(candidates: DataFrame, ledger: DataFrame, asked_at: str | None = None) -> DataFrame:
+def find_match(candidates: DataFrame, ledger: DataFrame, as_of: bool = False) -> DataFrame:
     """J7/O2. Adds `match_type` and `sequence`: whole message, then Message-ID, then attachment.
 
     `candidates`: event_id, raw_sha256, message_id_hash and any columns to carry. Within a tier
-    the lowest sequence wins.
+    the lowest sequence wins. With `as_of` a candidate has a `horizon`, the last number its event had when it
+    was asked, and sees no entry behind it: if the lowest number with a hash lies behind, all do.
     """
-    at = () if asked_at is None else ("received_at",)
 
     def lowest(rows: DataFrame, key: str, out: str) -> DataFrame:
         return rows.filter(F.col(key).isNotNull()).groupBy(
             F.col("event_id").alias(f"_e_{out}"), F.col(key).alias(f"_{out}")
-        ).agg(F.min("sequence").alias(out), *[F.min_by(c, "sequence").alias(f"_at_{out}") for c in at])
+        ).agg(F.min("sequence").alias(out))
 
     c = candidates
     tiers = (
         (lowest(ledger, "raw_sha256", "by_raw"), "raw_sha256", "by_raw"),
         (lowest(ledger, "message_id_hash", "by_mid"), "message_id_hash", "by_mid"),
-        (lowest(attachment_rows(ledger, *at), "sha256", "by_att"), "raw_sha256", "by_att"),
+        (lowest(attachment_rows(ledger), "sha256", "by_att"), "raw_sha256", "by_att"),
     )
     for side, key, out in tiers:
         same = (F.col("event_id") == F.col(f"_e_{out}")) & (F.col(key) == F.col(f"_{out}"))
-        if asked_at is not None:
-            # Numbers follow arrival: if the first entry with the key came later, none was there yet.
-            same &= F.col(f"_at_{out}") < F.col(asked_at)
-        c = c.join(side, same, "left").drop(f"_e_{out}", f"_{out}", f"_at_{out}")
+        if as_of:
+            same &= F.col(out) <= F.col("horizon")
+        c = c.join(side, same, "left").drop(f"_e_{out}", f"_{out}")
     kind = (
         F.when(F.col("by_raw").isNotNull(), MATCH_KINDS[0])
         .when(F.col("by_mid").isNotNull(), MATCH_KINDS[1])
@@ -158,11 +157,11 @@ def verify_candidates(candidates: DataFrame, ledger: DataFrame, events: DataFram
     `candidates`: request_id, event_id, cand_pos, raw_sha256, message_id. Positions count the
     attachments in order and then the forward itself. The first matching candidate speaks for the
     request, else the last one. `verdicts`: raw_sha256, domain, selector, ok, reason - the result
-    of checking a message against an archived key. With `as_of` a request sees the entries that came before its own
-    `received_at`, so the answer is the same wherever a batch is cut.
+    of checking a message against an archived key. With `as_of` a request sees the entries up to its `horizon` (see
+    `find_match`), so the answer is the same wherever a batch is cut, late mail included.
     """
-    asked = ["received_at"] if as_of else []
-    matched = find_match(candidate_hashes(candidates, events), ledger, *asked)
+    asked = ["horizon"] if as_of else []
+    matched = find_match(candidate_hashes(candidates, events), ledger, as_of)
     hit = F.col("match_type") != "none"
     # Unmatched positions sort behind all matched ones, last position first.
     order = F.struct(F.when(hit, 0).otherwise(1), F.when(hit, F.col("cand_pos")).otherwise(-F.col("cand_pos")))
@@ -172,8 +171,8 @@ def verify_candidates(candidates: DataFrame, ledger: DataFrame, events: DataFram
         "event_id", "sequence", "counted", "trust_level", "sender_domain", "dkim_key_file",
         F.get("dkim.signatures", F.lit(0)).alias("sig0"),
     )
-    begun = ledger.groupBy("event_id").agg(F.min("received_at").alias("_begun"))
-    there = F.col("_begun") < F.col("received_at") if as_of else F.col("_begun").isNotNull()
+    begun = ledger.groupBy("event_id").agg(F.min("sequence").alias("_begun"))
+    there = F.col("_begun") <= F.col("horizon") if as_of else F.col("_begun").isNotNull()
     r = best.join(entry, ["event_id", "sequence"], "left").join(begun, "event_id", "left").withColumn("has_entries", F.when(there, True)).drop(*asked)
     checked = F.col("match_type").isin("raw_email", "message_id")
     testable = _yes(F.col("sig0.result") == "pass") & F.col("dkim_key_file").isNotNull()
@@ -208,13 +207,13 @@ def reverify(requests: DataFrame, ledger: DataFrame, events: DataFrame, verdicts
         "event_id", F.col("sequence").alias("target_sequence"),
         F.coalesce(F.nullif(F.col("trust_level"), F.lit("")), F.lit("unverified")).alias("trust_level_before"),
         F.col("raw_sha256").alias("_committed"), "dkim_key_file",
-        pick_signer("dkim").alias("signer"), F.lit(True).alias("found"), F.col("received_at").alias("_entered"),
+        pick_signer("dkim").alias("signer"), F.lit(True).alias("found"),
     )
     on = ["event_id", "target_sequence"]
     if as_of:  # as in `verify_candidates`
         target = target.withColumnsRenamed({c: f"_t_{c}" for c in on})
         same = (requests["event_id"] == F.col("_t_event_id")) & (requests["target_sequence"] == F.col("_t_target_sequence"))
-        on = same & (F.col("_entered") < requests["received_at"])
+        on = same & (F.col("_t_target_sequence") <= requests["horizon"])
     v = _verdicts(verdicts)
     r = requests.join(target, on, "left").withColumns(
         {"_d": F.col("signer.domain"), "_s": F.col("signer.selector"), "found": _yes(F.col("found"))}

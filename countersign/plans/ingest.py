@@ -12,7 +12,7 @@ from countersign.operators import notify as N
 from countersign.operators import routing as R
 from countersign.operators import verify as V
 from countersign.operators.decide import Decision, decide
-from countersign.operators.numbering import assign_sequence
+from countersign.operators.numbering import assign_sequence, running_sums
 from countersign.session import checkpointed
 from countersign.sources.mail import extract_candidates, parse_attachments
 
@@ -24,15 +24,16 @@ class Batch:
         self.__dict__.update(frames)
 
 
-def routed_mail(mail: DataFrame, events: DataFrame) -> DataFrame:
-    """Screen, route, look up the event and grade trust: the one pass that reads `raw`.
-
-    Keeps `raw` for bounces, verification requests and replies that name a known event.
-    """
+def tagged_mail(mail: DataFrame) -> DataFrame:
+    """Screen, route and grade: the one pass that reads `raw`; kept where the tag says that someone will read it."""
     tagged = F.col("event_id").isNotNull() & F.col("route").isin("bounce", "verify", "reverify", "event", "attest")
     # What nobody will read stays behind before the event join, not after it.
-    narrow = R.graded(R.route(mail, keep_raw=True).withColumn("raw", F.when(tagged, F.col("raw"))))
-    return R.known_events(narrow, events).withColumn("raw", F.when(F.col("known"), F.col("raw")))
+    return R.graded(R.route(mail, keep_raw=True).withColumn("raw", F.when(tagged, F.col("raw"))))
+
+
+def routed_mail(tagged: DataFrame, events: DataFrame) -> DataFrame:
+    """Look up the event. Keeps `raw` for bounces, verification requests and replies that name a known event."""
+    return R.known_events(tagged, events).withColumn("raw", F.when(F.col("known"), F.col("raw")))
 
 
 def reply_rows(routed: DataFrame) -> DataFrame:
@@ -41,12 +42,34 @@ def reply_rows(routed: DataFrame) -> DataFrame:
     return rows.drop("raw") if "attachments" in routed.columns else parse_attachments(rows)
 
 
-def decide_replies(replies: DataFrame, events: DataFrame, ledger: DataFrame | None = None, signatures: DataFrame | None = None, activation: str = "log") -> Decision:
-    """Number the replies behind the ledger's last entries and decide each."""
-    base = None if ledger is None else LG.last_sequence(ledger)
+def decide_replies(replies: DataFrame, events: DataFrame, ledger: DataFrame | None = None, signatures: DataFrame | None = None, activation: str = "log", base: DataFrame | None = None) -> Decision:
+    """Number the replies behind the ledger's last entries, or behind `base(event_id, last)`, and decide each."""
+    if base is None and ledger is not None:
+        base = LG.last_sequence(ledger)
     return decide(assign_sequence(replies, base=base), events, signatures, activation)
 
 
+def asked(routed: DataFrame, rows: DataFrame, base: DataFrame | None) -> DataFrame:
+    """Commands and requests with their place among the replies of their event.
+
+    `horizon` is the last number given before, `signed` and `receipts` how many of the batch's replies before it signed or counted:
+    one order for mail of all kinds, by arrival and then id, as the numbers have it.
+    """
+    asks = routed.filter(F.col("known") & F.col("route").isin("stats", "remind", "verify", "reverify")).select("event_id", "received_at", "mail_id")
+    replies = rows.join(asks.select("event_id").distinct(), "event_id", "left_semi").select("event_id", "received_at", "mail_id", "mode", "counted")
+    marks = asks.withColumn("_ask", F.lit(True)).unionByName(replies.withColumn("_ask", F.lit(False)), allowMissingColumns=True)
+    one = lambda c: F.when(c, 1).otherwise(0)
+    placed = running_sums(
+        marks, ["event_id"], "received_at", ["mail_id"],
+        {"horizon": one(~F.col("_ask")), "signed": one(F.col("counted") & (F.col("mode") == "crypto")), "receipts": one(F.col("counted"))},
+    ).filter("_ask").select("event_id", "mail_id", "horizon", "signed", "receipts").dropDuplicates(["event_id", "mail_id"])
+    if base is None:
+        return placed
+    return placed.join(base.select("event_id", F.col("last").alias("_last")), "event_id", "left").withColumn(
+        "horizon", F.col("horizon") + F.coalesce(F.col("_last"), F.lit(0))
+    ).drop("_last")
+
+
 def ingest_batch(
     mail: DataFrame,
     events: DataFrame,
@@ -58,6 +81,8 @@ def ingest_batch(
     activation: str = "log",
     cut: bool = True,
     dns_txt: DataFrame | None = None,
+    heads: DataFrame | None = None,
+    tagged: DataFrame | None = None,
 ) -> Batch:
     """Run the whole inbound pipeline over a batch.
 
@@ -66,11 +91,18 @@ def ingest_batch(
     the many outputs do not read the messages again. With `dns_txt(name, txt)` the key of each
     reply's picked signature is archived: `keys` holds it, or why there is none, and the entry
     names its file.
+
+    `heads(event_id, last, reverify_last, receipts)` says where an earlier ledger ends, so that no entry is read for numbers or tallies; then
+    `ledger` is only what verification looks at, and may be left to the events that are asked about. `tagged` is the mail
+    if it went through `tagged_mail` before.
     """
     spark = mail.sparkSession
     hold = checkpointed if cut else (lambda df: df)
-    routed = hold(routed_mail(mail, events))
-    d = decide_replies(hold(reply_rows(routed)), events, ledger, signatures, activation)
+    routed = hold(routed_mail(tagged if tagged is not None else tagged_mail(mail), events))
+    if heads is None and ledger is not None:
+        heads = LG.heads(ledger, reverify_log)
+    base = None if heads is None else heads.select("event_id", "last")
+    d = decide_replies(hold(reply_rows(routed)), events, signatures=signatures, activation=activation, base=base)
     rows = hold(d.rows)
     locks = hold(d.locks)
     keys = None if dns_txt is None else hold(archived_keys(rows, dns_txt))
@@ -81,15 +113,23 @@ def ingest_batch(
 
     all_signatures = new_signatures if signatures is None else signatures.unionByName(new_signatures)
     whole = entries if ledger is None else ledger.unionByName(entries, allowMissingColumns=True)
+    places = hold(asked(routed, rows, base))
     bounced = B.process_bounces(routed.filter("known and route = 'bounce'"), events)
-    cmd = C.command_results(
-        routed.filter(F.col("route").isin("stats", "remind")).select(
-            "mail_id", "received_at", "event_id", F.col("route").alias("command"), "sender", "trust_level"
-        ),
-        events,
+    commands = routed.filter(F.col("route").isin("stats", "remind")).select(
+        "mail_id", "received_at", "event_id", F.col("route").alias("command"), "sender", "trust_level"
     )
-    requests = routed.filter("known and route in ('verify', 'reverify')").select(
-        F.col("mail_id").alias("request_id"), "received_at", "event_id", "route", "sender", "message_id",
+    # Commands see what the replies before them did, of this batch too.
+    told = commands.select("mail_id", "event_id").join(places, ["mail_id", "event_id"])
+    seen = C.seen_records(told, events, after, locks)
+    if signatures is None:
+        held = told.withColumn("signature_count", F.col("signed"))
+    else:
+        earlier = signatures.groupBy("event_id").agg(F.count("*").alias("_held"))
+        held = told.join(earlier, "event_id", "left").withColumn("signature_count", F.col("signed") + F.coalesce("_held", F.lit(0)))
+    seen = hold(seen.join(held.select("mail_id", "horizon", "signature_count"), "mail_id"))
+    cmd = C.command_results(commands, events, seen)
+    requests = routed.filter("known and route in ('verify', 'reverify')").join(places, ["event_id", "mail_id"]).select(
+        F.col("mail_id").alias("request_id"), "received_at", "event_id", "route", "sender", "message_id", "horizon",
         F.col("commit_sequence").cast("bigint").alias("target_sequence"), "raw",
     )
     no_verdicts = spark.createDataFrame([], "raw_sha256 string, domain string, selector string, ok boolean, reason string")
@@ -97,22 +137,24 @@ def ingest_batch(
     # Requests see the entries that came before them, of this batch or an earlier one.
     verified = V.verify_candidates(extract_candidates(requests.filter("route = 'verify'")), whole, events, given, as_of=True)
     reverified = V.reverify(
-        extract_candidates(requests.filter("route = 'reverify'")).filter("cand_pos = 0"), whole, events, given, reverify_log, as_of=True
+        extract_candidates(requests.filter("route = 'reverify'")).filter("cand_pos = 0"), whole, events, given,
+        None if heads is None else heads.select("event_id", F.col("reverify_last").alias("reverify_sequence")), as_of=True,
     )
-    asked = requests.select("request_id", "received_at", "sender").dropDuplicates(["request_id"])
+    inquiries = requests.select("request_id", "received_at", "sender").dropDuplicates(["request_id"])
+    tallies = hold(LG.heads_after(heads, entries, reverified))
     notices = R.dispatch_results(
-        N.transition_notices(rows, locks, after, LG.receipt_counts(whole)),
+        N.transition_notices(rows, locks, after, tallies.select("event_id", F.col("receipts").alias("counted_commits"))),
         B.bounce_notices(bounced),
-        C.stats_notices(cmd, C.stats_snapshot(events, signatures)),
-        C.remind_notices(cmd, events, signatures if signatures is not None else new_signatures.limit(0)),
-        report_notices(verified, asked, events, "verify_report"),
-        report_notices(reverified, asked, events, "reverify_report"),
+        C.stats_notices(cmd, C.stats_snapshot(seen.drop("horizon"))),
+        C.remind_notices(cmd, seen.drop("signature_count"), all_signatures),
+        report_notices(verified, inquiries, events, "verify_report"),
+        report_notices(reverified, inquiries, events, "reverify_report"),
     )
     return Batch(
         routed=routed.drop("raw"), rows=rows, locks=locks, ledger=entries, signatures=new_signatures, events=after,
         completions=completions, send_errors=B.latest_send_errors(bounced), bounced=bounced, commands=cmd,
         verified=verified, reverified=reverified, all_signatures=all_signatures,
-        keys=keys, outbox=N.compose(notices, domain), results=results(routed, rows, cmd, bounced),
+        heads=tallies, keys=keys, outbox=N.compose(notices, domain), results=results(routed, rows, cmd, bounced),
     )
 
 
@@ -162,4 +204,4 @@ def with_key_files(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(files, ["event_id", "sequence"], "left")
 
 
-__all__ = ["Batch", "archived_keys", "decide_replies", "ingest_batch", "reply_rows", "results", "routed_mail", "with_key_files"]
+__all__ = ["Batch", "archived_keys", "decide_replies", "ingest_batch", "reply_rows", "results", "routed_mail", "tagged_mail", "with_key_files"]

@@ -43,14 +43,14 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def epochs(replies: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Give replies and barrier calls their place `ord` in the event's history and their epoch.
 
-    A call at the same instant as a reply comes first.
+    A call at the same instant as a reply comes first; replies of one instant stand by the value of their id, as in `assign_sequence`.
     """
     calls = actions.filter(F.col("action").isin(*BARRIERS))
-    marks = replies.select("event_id", "received_at", F.lit(1).alias("_late"), F.col("mail_id").cast("string").alias("_id")).unionByName(
-        calls.select("event_id", F.col("at").alias("received_at"), F.lit(0).alias("_late"), F.col("action_id").cast("string").alias("_id"))
+    marks = replies.select("event_id", "received_at", F.lit(1).alias("_late"), F.col("mail_id").cast("string").alias("_id"), F.col("mail_id").alias("_mail")).unionByName(
+        calls.select("event_id", F.col("at").alias("received_at"), F.lit(0).alias("_late"), F.col("action_id").cast("string").alias("_id")), allowMissingColumns=True
     )
     placed = running_sums(
-        marks, ["event_id"], "received_at", ["_late", "_id"], {"ord": F.lit(1), "epoch": 1 - F.col("_late")}
+        marks, ["event_id"], "received_at", ["_late", "_mail", "_id"], {"ord": F.lit(1), "epoch": 1 - F.col("_late")}
     )
     where = placed.select("event_id", "_late", "_id", "ord", "epoch")
     r = replies.withColumn("_id", F.col("mail_id").cast("string")).join(
