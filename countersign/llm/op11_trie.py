@@ -25,7 +25,8 @@ from countersign.llm.ordered import numbered
 from countersign.llm.text import mapped
 from countersign.session import checkpointed
 
-SMALL = 8192  # weight up to which a component is finished in a task; it has no more nodes than that
+SMALL = 1024  # weight up to which a component is finished in a task; it has no more nodes than that
+GATHERED = 16384  # nodes of small components that a task takes apart together
 BLOCK = 4096  # turns whose hashes are summed in one window
 PIECE = 1 << 16  # characters of an id list that are hashed at a time
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -130,7 +131,8 @@ def centroid_rollup(tree: DataFrame, lineage, small: int = SMALL) -> DataFrame:
     if first is None:
         return tree.select("rep", "depth", zero.alias("n_leaves"), zero.alias("saved_tokens"))
     comp = ["comp", "comp_depth"]
-    now = tree.select(F.lit(first["top"]).cast("long").alias("comp"), zero.alias("comp_depth"), *TREE, zero.alias("more_leaves"), zero.alias("more_tokens"))
+    # Written, so that the one component of the start is a column to join on and not a constant.
+    now = checkpointed(tree.select(F.lit(first["top"]).cast("long").alias("comp"), zero.alias("comp_depth"), *TREE, zero.alias("more_leaves"), zero.alias("more_tokens")))
     finished, light, known = [], [], None
     while True:
         heavy = checkpointed(now.groupBy(*comp).agg(F.max("weight").alias("total")).where(F.col("total") > small))
@@ -206,7 +208,7 @@ def _finish(batches: Iterator[dict]) -> Iterator[dict]:
     for b in batches:
         held.append({n: np.array([0 if v is None else v for v in b[n]], np.int64) for n in names})
         rows += len(held[-1]["rep"])
-        if rows < 2 * SMALL:
+        if rows < GATHERED:
             continue
         whole = {n: np.concatenate([h[n] for h in held]) for n in names}
         last = (whole["comp"] == whole["comp"][-1]) & (whole["comp_depth"] == whole["comp_depth"][-1])
