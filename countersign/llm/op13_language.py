@@ -29,6 +29,7 @@ WINDOW = 1 << 17  # characters whose n-grams are looked up together
 HELD_BACK = 8  # one in so many sampled texts calibrates
 PIECES = (1, 2, 4, 8, 16, 32, 64)  # words of the short texts that calibrate beside whole ones
 BINS = 64
+SENT = 10_000  # rows of a table of languages that is sent to every task
 SPACE = 32
 
 
@@ -185,13 +186,16 @@ def sample_texts(docs: DataFrame, learn: Column, max_chars: int, all_chars: int)
     usable = learn & F.col("lang").isNotNull() & (F.length("text") > 0)
     rows = docs.where(usable).select("lang", "text", (F.xxhash64("text").bitwiseAND((1 << 62) - 1)).alias("h"))
     keys = checkpointed(rows.select("lang", "h", F.length("text").cast("long").alias("chars")))
-    sizes = keys.groupBy("lang").agg(F.sum("chars").alias("total"), F.count("*").alias("n"))
-    bound = F.least(F.lit(max_chars), F.floor(F.lit(all_chars) / F.greatest(F.lit(sizes.count()), F.lit(1))))
+    sizes = checkpointed(keys.groupBy("lang").agg(F.sum("chars").alias("total"), F.count("*").alias("n")))
+    languages = sizes.count()
+    # A row for each language; texts meet them where they are read, unless there are very many.
+    beside = F.broadcast if languages <= SENT else (lambda df: df)
+    bound = F.lit(min(max_chars, all_chars // max(languages, 1)))
     # Of a large language only about half as many again as will be taken are ranked.
-    few = keys.join(sizes, "lang").where(F.col("h") / float(1 << 62) < 1.5 * bound / F.col("total") + 64 / F.col("n")).groupBy("lang", "h").agg(F.min("chars").alias("chars"))
+    few = keys.join(beside(sizes), "lang").where(F.col("h") / float(1 << 62) < 1.5 * bound / F.col("total") + 64 / F.col("n")).groupBy("lang", "h").agg(F.min("chars").alias("chars"))
     before = F.coalesce(F.sum("chars").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = few.withColumn("before", before).where(F.col("before") < bound).groupBy("lang").agg(F.max("h").alias("cut"))
-    return checkpointed(rows.join(cuts, "lang").where("h <= cut").dropDuplicates(["lang", "h"]).select("lang", "text", "h"))
+    cuts = checkpointed(few.withColumn("before", before).where(F.col("before") < bound).groupBy("lang").agg(F.max("h").alias("cut")))
+    return checkpointed(rows.join(beside(cuts), "lang").where("h <= cut").dropDuplicates(["lang", "h"]).select("lang", "text", "h"))
 
 
 def learn_models(sample: DataFrame) -> dict[str, Model]:
