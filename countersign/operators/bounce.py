@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countersign.functions import headers as H
+from countersign.functions.hashing import iso_millis
 from countersign.session import evaluated_once
 
 RECIPIENTS = (
@@ -111,6 +112,15 @@ def latest_send_errors(bounced: DataFrame) -> DataFrame:
     )
 
 
+def apply_send_errors(events: DataFrame, errors: DataFrame) -> DataFrame:
+    """A10. Event records with the last send error on its step; a step without a new one keeps what it has."""
+    body = F.struct("reason", "code", iso_millis("at").alias("at"))
+    # At most one error a step.
+    per_event = errors.groupBy(F.col("event_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("step_id", body.alias("e")))).alias("_errors"))
+    noted = F.transform("steps", lambda s: s.withField("last_send_error", F.coalesce(F.try_element_at(F.col("_errors"), s["id"]), s["last_send_error"])))
+    return events.join(per_event, "id", "left").withColumn("steps", F.when(F.col("_errors").isNotNull(), noted).otherwise(F.col("steps"))).select(*events.columns)
+
+
 def latest_errors_from_log(log: DataFrame) -> DataFrame:
     """A10. Latest entry per step from a log whose NULL reason clears; cleared steps drop out.
 

@@ -150,9 +150,10 @@ def ingest_batch(
         report_notices(verified, inquiries, events, "verify_report"),
         report_notices(reverified, inquiries, events, "reverify_report"),
     )
+    errors = B.latest_send_errors(bounced)
     return Batch(
-        routed=routed.drop("raw"), rows=rows, locks=locks, ledger=entries, signatures=new_signatures, events=after,
-        completions=completions, send_errors=B.latest_send_errors(bounced), bounced=bounced, commands=cmd,
+        routed=routed.drop("raw"), rows=rows, locks=locks, ledger=entries, signatures=new_signatures, events=B.apply_send_errors(after, errors),
+        completions=completions, send_errors=errors, bounced=bounced, commands=cmd,
         verified=verified, reverified=reverified, all_signatures=all_signatures,
         heads=tallies, keys=keys, outbox=N.compose(notices, domain), results=results(routed, rows, cmd, bounced),
     )

@@ -83,7 +83,7 @@ def replay(
     counts = checkpointed(events.select("id").join(per_event, "id", "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
     top = counts.agg(F.max("_n")).first()[0] or 0
 
-    settled_events, settled_signed, done_rows, outcomes, all_changes = [], [], [], [], []
+    settled_events, settled_signed, done_rows, outcomes, all_changes, all_retracted = [], [], [], [], [], []
     for epoch in range(top + 1):
         live = rows.filter(F.col("epoch") == epoch).withColumn("sequence", F.col("ord") + PLACE)
         d = decide(live, state, held)
@@ -118,7 +118,7 @@ def replay(
         )
         closed, close_out = L.close_and_reopen(state, now)
         reopened = close_out.filter("applied and action = 'reopen'").select("action_id")
-        kept, _ = L.retract(held, now.join(reopened, "action_id", "left_semi"))
+        kept, taken = L.retract(held, now.join(reopened, "action_id", "left_semi"))
         live_at = state.select(F.col("id").alias("event_id"), "activated_at")
         out = edit_out.unionByName(close_out, allowMissingColumns=True).join(live_at, "event_id").join(
             now.select("action_id", "ord"), "action_id"
@@ -129,6 +129,7 @@ def replay(
             )
         )
         all_changes.append(changes.drop("plain_new"))
+        all_retracted.append(taken.select("action_id", "sender_hash"))
         state = checkpointed(L.apply_changes(closed, plain))
         held = checkpointed(kept)
 
@@ -140,7 +141,8 @@ def replay(
     changes_out = _union(all_changes) if all_changes else spark.createDataFrame(
         [], "event_id string, action_id string, step_pos int, pos int, step_id string, field string, old string, new string"
     )
-    entries = number_entries(decided, calls_out, last)
+    retracted_out = _union(all_retracted) if all_retracted else None
+    entries = number_entries(decided, calls_out, last, call_contents(actions, changes_out, retracted_out))
     final_events = _union(settled_events)
     final_signed = _union(settled_signed)
     numbers = entries.filter("kind = 'reply'").select("event_id", (F.col("ord") + PLACE).alias("ord"), F.col("sequence").alias("_final"))
@@ -153,7 +155,27 @@ def replay(
     )
 
 
-def number_entries(decided: DataFrame, calls: DataFrame, last: DataFrame | None = None) -> DataFrame:
+def call_contents(actions: DataFrame, changes: DataFrame, retracted: DataFrame | None) -> DataFrame:
+    """M7/M9. What the entry of an edit or reopen call says: reason, organiser, hashed changes, hashes of retracted signatures.
+
+    Each list is bounded by what one call names.
+    """
+    each = F.struct("step_pos", "pos", "step_id", "field", "old", "new")
+    listed = changes.groupBy("action_id").agg(F.sort_array(F.collect_list(each)).alias("_changes"))
+    df = actions.filter("action in ('edit', 'reopen')").select("action_id", "reason", "organiser").join(listed, "action_id", "left")
+    if retracted is None:
+        df = df.withColumn("_retracted", F.array().cast("array<string>"))
+    else:
+        gone = retracted.groupBy("action_id").agg(F.sort_array(F.collect_set("sender_hash")).alias("_retracted"))
+        df = df.join(gone, "action_id", "left")
+    short = F.transform(F.coalesce("_changes", F.array()), lambda c: F.struct(*[c[n].alias(n) for n in ("step_id", "field", "old", "new")]))
+    return df.select(
+        "action_id",
+        F.struct("reason", "organiser", short.alias("changes"), F.coalesce("_retracted", F.array()).alias("retracted")).cast(schemas.LEDGER["change"].dataType).alias("change"),
+    )
+
+
+def number_entries(decided: DataFrame, calls: DataFrame, last: DataFrame | None = None, contents: DataFrame | None = None) -> DataFrame:
     """W1. One sequence per event over replies, applied edits and reopens, in history order."""
     replies = decided.select(
         "event_id", "ord", F.lit("reply").alias("kind"), "received_at", "mail_id", "mode", "step_id", "sender_hash",
@@ -162,6 +184,8 @@ def number_entries(decided: DataFrame, calls: DataFrame, last: DataFrame | None
     logged = calls.filter(F.col("on_ledger") & F.col("action").isin("edit", "reopen")).select(
         "event_id", "ord", F.concat(F.lit("event_"), "action").alias("kind"), F.col("at").alias("received_at"), "action_id"
     )
+    if contents is not None:
+        logged = logged.join(contents, "action_id", "left")
     both = replies.unionByName(logged, allowMissingColumns=True)
     numbered = running_sums(both, ["event_id"], "received_at", ["ord"], {"sequence": F.lit(1)})
     if last is None:

@@ -122,8 +122,23 @@ LEDGER = _struct(
     raw_size=L,
     dkim_key_file=S,
     ots_proof_file=S,
+    # What an organiser's call changed: participants and signers as salted hashes only.
+    change=_struct(
+        reason=S,
+        organiser=S,
+        changes=T.ArrayType(_struct(step_id=S, field=S, old=S, new=S)),
+        retracted=T.ArrayType(S),
+    ),
+)
+
+COMPLETIONS = _struct(
+    event_id=S, event_type=S, completed_at=TS, triggering_commit_sequence=L, steps_completed=I, threshold=I, signatures=L, summary=S
 )
 
+# Where an event's ledger ends, and the peaks of its digest.
+PEAK = _struct(height=I, index=L, digest=S)
+HEADS = _struct(event_id=S, last=L, reverify_last=L, receipts=L, peaks=T.ArrayType(PEAK))
+
 # Organiser calls: activate / edit / complete / reopen, with the call's arguments as typed fields.
 STEP_PATCH = _struct(
     id=S, participant=S, deadline=S, requires_attachment=B, details=S, fields=T.ArrayType(S)

@@ -1,8 +1,7 @@
 """Queries for whole jobs: bounces, commands, sweep, lifecycle, replay, ingest and streams."""
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from countersign.plans.replay import replay
 from countersign.session import checkpointed, shared_folder
 from countersign.sources import mail as M
 from countersign.sources import tables
+from countersign.sources.store import Files
 from countersign.workload import fixtures as fx
 from countersign.workload.registry import HEADERS, SIGNOFF, iso, query
 
@@ -35,9 +35,7 @@ def _bounces(spark, sf):
 
 def scratch(spark) -> str:
     """A folder beside the checkpoints, which all executors share."""
-    base = shared_folder(spark).removeprefix("file:")
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix="store-", dir=base)
+    return f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
 @query("w8_dsn_groups", W("fc") + "select mail_id, 'u' || user_id || '@d1.example' as final_recipient, case when mail_id % 2 = 0 then 'failed' else 'delayed' end as action, case when mail_id % 2 = 0 then '5.1.1' else '4.2.2' end as status, 'smtp; 550 user unknown' as diagnostic, 1 as pos from fc where mail_id % 11 = 5")
@@ -434,8 +432,8 @@ def s03(spark, sf):
 
 def rename_parts(spark, root: str) -> None:
     """Give each event's file its own name, `{id}.json`."""
-    os.makedirs(root + "/events", exist_ok=True)
-    for folder in sorted(os.listdir(root + "/raw")):
+    files = Files(spark)
+    for folder in files.names(f"{root}/raw"):
         if folder.startswith("id="):
-            part = next(f for f in os.listdir(f"{root}/raw/{folder}") if f.startswith("part-"))
-            os.rename(f"{root}/raw/{folder}/{part}", f"{root}/events/{folder[3:]}.json")
+            part = next(f for f in files.names(f"{root}/raw/{folder}") if f.startswith("part-"))
+            files.move(f"{root}/raw/{folder}/{part}", f"{root}/events/{folder[3:]}.json")

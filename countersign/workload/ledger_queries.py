@@ -130,7 +130,7 @@ _ENTRY = f"""'{{"schema_version":2,"kind":"reply","event_id":"' || event_id || '
  || ',"attachments":[' || case when att_sha256 is null then '' else '{{"filename":"' || att_name || '","size":6,"sha256":"' || att_sha256 || '"}}' end
  || '],"dkim":{{"result":null,"signatures":[{{"result":"' || sig_result || '","comment":null,"domain":"d' || (k % 3) || '.example","selector":' || case when mail_id % 13 <> 0 then '"sel"' else 'null' end
  || ',"aligned":null,"algorithm":"rsa-sha256","info":null}}]}},"spf":null,"dmarc":null,"arc":null,"envelope":null,"raw_sha256":"' || raw_sha256 || '","raw_size":10,"dkim_key_file":'
- || case when has_key then '"dkim_keys/commit-' || case when sequence < 1000 then lpad(cast(sequence as varchar), 3, '0') else cast(sequence as varchar) end || '.pem"' else 'null' end || ',"ots_proof_file":null}}'"""
+ || case when has_key then '"dkim_keys/commit-' || case when sequence < 1000 then lpad(cast(sequence as varchar), 3, '0') else cast(sequence as varchar) end || '.pem"' else 'null' end || ',"ots_proof_file":null,"change":null}}'"""
 _RANGE = (
     LEDGER
     + f", m0 as (select event_id, sequence - 1 as i, sha256({_ENTRY}) as digest from lg), mn as (select event_id, count(*) as n from lg group by event_id)"
