@@ -1,13 +1,12 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-Terms are lower-case words and word beginnings that stand out in toxic examples; what else a text has counts as one further term, so
-the cosine sees how dense the terms are. IDF counts all documents. The index keeps the weights of each term over all examples in
-blocks, with each block's maximum: blocks are visited by their upper bound until no other can hold a nearer example, so the
-neighbours are exact. Votes weigh by distance; the vote is calibrated on the examples themselves, each left out of its own vote.
+Vectors hold every word of a text, and word beginnings that stand out in toxic examples. IDF counts all documents. How much a term stands out in toxic examples
+is a weight, not a filter: words that do not weigh WEAK as much. The index keeps postings of every term of the examples, block by block of examples, with the maximum
+of each term in each block: blocks are visited by their upper bound until no other can hold a nearer example, so the neighbours are
+exact. Votes weigh by distance; the vote is calibrated on the examples themselves, each left out of its own vote.
 """
 from __future__ import annotations
 
-import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -19,12 +18,14 @@ from pyspark.sql import functions as F
 from countersign.llm.text import flat, mapped
 from countersign.session import checkpointed
 
-MAX_EXAMPLES = 8192  # labelled rows that are indexed: those of the smallest hashes
-MAX_TERMS = 256
+MAX_EXAMPLES = 4096  # labelled rows that are indexed unless a caller says otherwise: those of the smallest hashes
+MAX_TERMS = 256  # terms that weigh fully
+WEAK = 0.1  # weight of all others
 LEAST_TOXIC = 5  # toxic examples that a term must be in
 LEAST_CHI2 = 30.0
 BEGINNINGS = range(4, 9)
 NEIGHBOURS = 15
+CLOSEST = 0.002  # least distance: a copy of an example outweighs all that are not
 BLOCK = 64
 THRESHOLD = 0.3
 KEPT_WORDS = 150_000
@@ -74,48 +75,74 @@ def learn_terms(examples: DataFrame) -> list[str]:
     return terms[:MAX_TERMS]
 
 
-def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """`doc_id, n_words, terms, counts` of every row of `doc_id, text`."""
-    at = {t: i for i, t in enumerate(terms)}
+class Terms:
+    """Numbers of the words of a vocabulary and of the strong beginnings of any word."""
+
+    def __init__(self, words: list[str], strong: list[str]):
+        self.names = [*dict.fromkeys([*strong, *words])]
+        self.at = {t: i for i, t in enumerate(self.names)}
+        self.beginnings = {t for t in strong if t.endswith("*")}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            first = self.at.get(word)
+            own = () if first is None else (first,)
+            found = self.known[word] = (*own, *(self.at[t] for t in terms_of(word)[1:] if t in self.beginnings))
+        return found
+
+    def count(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
+        """Numbers and counts of a text's terms, and counts of its words that the vocabulary lacks."""
+        found: dict[int, int] = {}
+        strange = []
+        for word, n in Counter(words_of(text)).items():
+            if word not in self.at:
+                strange.append(n)
+            for i in self.of(word):
+                found[i] = found.get(i, 0) + n
+        at = sorted(found)
+        return at, [found[i] for i in at], strange
+
+
+def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
+    """Documents in all, and those that hold each term: a task adds up its own and gives one row a term."""
+    names, strong = terms.names, sorted(terms.beginnings)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known: dict[str, tuple[int, ...]] = {}
+        own, sums, all_ = Terms(names, strong), np.zeros(len(names) + 1, np.int64), 0
         for b in batches:
-            out = {"doc_id": b["doc_id"], "n_words": [], "terms": [], "counts": []}
             for text in b["text"]:
-                words = words_of(text)
-                for w in words:
-                    if w not in known:
-                        known[w] = tuple(at[t] for t in terms_of(w) if t in at)
-                found = Counter(flat(map(known.__getitem__, words)))
-                ids = sorted(found)
-                out["n_words"].append(len(words))
-                out["terms"].append(ids)
-                out["counts"].append([found[i] for i in ids])
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-            yield out
-
-    return mapped(docs, run, "doc_id long, n_words long, terms array<int>, counts array<int>")
+                own_words = set(words_of(text))
+                sums[list(set(flat(map(own.of, own_words))))] += 1
+                all_ += 1
+        sums[-1] = all_
+        some = np.flatnonzero(sums)
+        yield {"term": some, "n": sums[some]}
+
+    rows = mapped(docs, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = {r["term"]: r["n"] for r in rows}
+    return found.get(len(names), 0), np.array([found.get(i, 0) for i in range(len(names))], np.int64)
 
 
 class Index:
     """Block-max inverted index over unit TF-IDF vectors; equal vectors share an entry with their number and toxic number."""
 
-    def __init__(self, idf: np.ndarray, rows: list[tuple[int, int, list[int], list[int], int]]):
-        """rows: doc_id, n_words, terms, counts, toxic. The last term stands for all words."""
-        self.idf = idf
-        vectors = np.zeros((len(rows), len(idf)), np.float32)
-        for v, (_, n, terms, counts, _) in zip(vectors, rows):
-            at, q = self.query(n, terms, counts)
-            v[at] = q
-        order = np.lexsort((vectors[:, -1], vectors[:, :-1].argmax(1) if len(idf) > 1 else np.zeros(len(rows), int)))
-        merged: dict[bytes, int] = {}
+    def __init__(self, weights: np.ndarray, strange: float, rows: list[tuple[int, list[int], list[int], list[int], int]]):
+        """`weights` of the terms (IDF times association), that of a word outside the vocabulary, and rows of doc_id, terms, counts, counts of other words, toxic."""
+        self.weights, self.strange = weights, strange
+        vectors = [self.query(at, counts, others) for _, at, counts, others, _ in rows]
+        # Examples with the same strongest term stand in the same blocks.
+        top = [int(at[np.argmax(q)]) if len(at) else -1 for at, q in vectors]
+        order = sorted(range(len(rows)), key=lambda r: (top[r], len(vectors[r][0]), r))
+        merged: dict[tuple[bytes, bytes], int] = {}
         self.entry_of = np.zeros(len(rows), np.int64)
         kept, self.ids, number, toxic = [], [], [], []
         for r in order:
-            key = np.round(vectors[r], 5).tobytes()
-            e = merged.setdefault(key, len(merged))
+            at, q = vectors[r]
+            e = merged.setdefault((at.tobytes(), np.round(q, 6).tobytes()), len(merged))
             if e == len(kept):
                 kept.append(r)
                 self.ids.append(rows[r][0])
@@ -125,32 +152,53 @@ class Index:
             self.ids[e] = min(self.ids[e], rows[r][0])
             number[e] += 1
             toxic[e] += int(rows[r][4])
-        blocks = -(-len(kept) // BLOCK)
         self.number, self.toxic = np.array(number, float), np.array(toxic, float)
-        whole = np.zeros((blocks * BLOCK, len(idf)), np.float32)
-        whole[: len(kept)] = vectors[kept]
-        self.postings = np.ascontiguousarray(whole.T).reshape(len(idf), blocks, BLOCK)
-        self.block_max = self.postings.max(axis=2)
+        self.blocks = -(-len(kept) // BLOCK)
+        size = [len(vectors[r][0]) for r in kept]
+        entry = np.repeat(np.arange(len(kept)), size)
+        term = np.concatenate([vectors[r][0] for r in kept]) if kept else np.empty(0, np.int64)
+        value = np.concatenate([vectors[r][1] for r in kept]) if kept else np.empty(0)
+        by = np.lexsort((entry, term, entry // BLOCK))
+        entry, term, value = entry[by], term[by], value[by]
+        self.entries, self.values = entry.astype(np.int32), value.astype(np.float32)
+        # Postings stand by block and term: where each list begins.
+        cell = (entry // BLOCK) * len(weights) + term
+        self.begin = np.searchsorted(cell, np.arange(self.blocks * len(weights) + 1)).astype(np.int32)
+        self.block_max = np.zeros((len(weights), self.blocks), np.float32)
+        np.maximum.at(self.block_max, (term, entry // BLOCK), self.values)
         self.calibration = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def query(self, n_words: int, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([*terms, len(self.idf) - 1], np.int64)
-        q = (1 + np.log(np.array([*counts, max(n_words, 1)], float))) * self.idf[at]
-        return at, q / math.sqrt(float(q @ q))
+    def query(self, terms: list[int], counts: list[int], others: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array(terms, np.int64)
+        q = (1 + np.log(np.array(counts, float))) * self.weights[at]
+        rest = (1 + np.log(np.array(others, float))) * self.strange
+        return at, q / math.sqrt(float(q @ q + rest @ rest) or 1.0)
+
+    def _scored(self, at: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of some blocks and their cosines, from the postings of the query's terms."""
+        cells = (blocks[:, None] * len(self.weights) + at).reshape(-1)
+        first, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+        total = int(size.sum())
+        pick = np.arange(total) + np.repeat(first - (np.cumsum(size) - size), size)
+        scores = np.bincount(self.entries[pick], self.values[pick] * np.repeat(np.tile(q, len(blocks)), size), self.blocks * BLOCK)
+        ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+        ids = ids[ids < len(self.number)]
+        return ids, scores[ids]
 
     def nearest(self, at: np.ndarray, q: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries, cosines and example numbers of the nearest NEIGHBOURS examples, the last entry in part; exact with ties."""
-        weights, bounds = q.astype(np.float32), q.astype(np.float32) @ self.block_max[at]
+        bounds = q.astype(np.float32) @ self.block_max[at]
         order = np.argsort(-bounds, kind="stable")
-        entries, scores, step = np.empty(0, np.int64), np.empty(0), 2
+        entries, scores, step = np.empty(0, np.int64), np.empty(0), 4
         done = 0
         while done < len(order):
-            blocks = order[done : done + step]
-            found = np.tensordot(weights, self.postings[at][:, blocks], 1).reshape(-1)
-            ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            real = ids < len(self.number)
-            entries, scores = np.concatenate([entries, ids[real]]), np.concatenate([scores, found[real]])
-            done, step = done + step, 2 * step
+            ids, found = self._scored(at, q, order[done : done + step])
+            entries, scores = np.concatenate([entries, ids]), np.concatenate([scores, found])
+            done, step = done + step, 4 * step
+            if len(scores) > 8 * NEIGHBOURS:  # few can still be among the nearest
+                least = np.partition(scores, len(scores) - 4 * NEIGHBOURS)[len(scores) - 4 * NEIGHBOURS] - 1e-4
+                some = scores >= min(least, np.partition(scores, len(scores) - NEIGHBOURS - 1)[len(scores) - NEIGHBOURS - 1] - 1e-4)
+                entries, scores = entries[some], scores[some]
             ranked = np.lexsort((entries, -np.round(scores, 5)))
             entries, scores = entries[ranked], scores[ranked]
             number = self.number[entries] - (entries == without)
@@ -166,12 +214,12 @@ class Index:
         entries, scores, number = self.nearest(at, q, without)
         mine = entries == without
         share = (self.toxic[entries] - mine * own) / np.maximum(self.number[entries] - mine, 1)
-        weight = number / (1.05 - np.minimum(scores, 1.0))
+        weight = number / (1 + CLOSEST - np.minimum(scores, 1.0))
         return float(weight @ share / weight.sum()) if weight.sum() else 0.0, entries, scores
 
     def calibrate(self, rows: list[tuple]) -> None:
         """Monotone mean label by vote (pooled adjacent violators) over the examples, each without itself."""
-        votes = sorted((self.vote(*self.query(n, t, c), int(self.entry_of[i]), int(y))[0], int(y)) for i, (_, n, t, c, y) in enumerate(rows))
+        votes = sorted((self.vote(*self.query(t, c, o), int(self.entry_of[i]), int(y))[0], int(y)) for i, (_, t, c, o, y) in enumerate(rows))
         pools: list[list[float]] = []
         for v, y in votes:
             if pools and pools[-1][3] == v:
@@ -184,45 +232,50 @@ class Index:
                 pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2], high]
         self.calibration = (np.array([(a + b) / 2 for _, _, a, b in pools]), np.array([y / n for y, n, _, _ in pools]))
 
-    def score(self, n_words: int, terms: list[int], counts: list[int]) -> tuple[float, list[int], list[float]]:
-        vote, entries, scores = self.vote(*self.query(n_words, terms, counts))
+    def score(self, terms: list[int], counts: list[int], others: list[int]) -> tuple[float, list[int], list[float]]:
+        """Calibrated score, the nearest examples and their cosines; a text that shares no term with any example has no neighbour and no vote."""
+        if not terms:
+            return float(np.interp(0.0, *self.calibration)), [], []
+        vote, entries, scores = self.vote(*self.query(terms, counts, others))
         return float(np.interp(vote, *self.calibration)), [self.ids[e] for e in entries[:3]], [round(float(s), 4) for s in scores[:3]]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, learn_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, learn_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """A row per row: `doc_id, score, predicted, evidence, similarity` (the nearest examples' smallest ids and their cosines).
 
     `labels` has ids and 0/1 labels; `learn_where` is a condition on `doc_id` that labels must meet to be learned from. At most
-    MAX_EXAMPLES of them are indexed. Labels that are null or without an id or a document are left out; an id with several labels
-    counts as toxic if one says so. Null and empty texts are scored as texts without terms; rows with null ids and repeated rows are
+    `max_examples` of them are indexed, with all their words. Labels that are null or without an id or a document are left out; an id with several labels
+    counts as toxic if one says so. Null and empty texts are scored as texts without terms; very long texts are scored whole; rows with null ids and repeated rows are
     scored like any other; without labelled rows every score is 0; no rows give none; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     if learn_where is not None:
         given = given.where(learn_where)
-    sample = checkpointed(given.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES))
-    few = F.broadcast(sample)  # MAX_EXAMPLES rows at most
-    terms = learn_terms(checkpointed(rows.join(few, "doc_id").select("text", "toxic")))
-    table = checkpointed(term_counts(rows, terms))
-    df = {r["t"]: r["n"] for r in table.select(F.explode(F.concat("terms", F.array(F.lit(-1)))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    total = df.get(-1, 0)
-    idf = np.array([*(math.log((total + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))), 1.0])
-    # An id that repeats among the documents gives one example.
-    examples = table.join(few, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    known = [(r["doc_id"], r["n_words"], r["terms"], r["counts"], r["toxic"]) for r in examples]
-    index = Index(idf, known) if known else None
+    sample = checkpointed(given.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
+    # `max_examples` rows at most; an id that repeats among the documents gives one example, of the smallest text hash.
+    few = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    few = checkpointed(few)
+    strong = learn_terms(few.select("text", "toxic"))
+    texts = {r["doc_id"]: (r["text"], r["toxic"]) for r in few.orderBy("doc_id").toLocalIterator()}
+    words = sorted(set(flat(words_of(t) for t, _ in texts.values())))
+    terms = Terms(words, strong)
+    total, df = document_frequencies(rows.select("text"), terms)
+    idf = np.log((total + 1) / (df + 1)) + 1
+    weights = idf * np.array([1.0 if i < len(strong) else WEAK for i in range(len(idf))])
+    known = [(i, *terms.count(text), toxic) for i, (text, toxic) in texts.items()]
+    index = Index(weights, WEAK * (math.log((total + 1) / 2) + 1), known) if known else None
     if index:
         index.calibrate(known)
+    names = terms.names
+    shared = docs.sparkSession.sparkContext.broadcast((names, strong, index))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        @functools.lru_cache(maxsize=1)
-        def none() -> tuple:
-            return index.score(1, [], [])
-
+        names, strong, index = shared.value
+        own = Terms(names, strong)
         for b in batches:
-            found = [(0.0, [], []) if index is None else none() if not t else index.score(n, t, c) for n, t, c in zip(b["n_words"], b["terms"], b["counts"])]
+            found = [(0.0, [], []) if index is None else index.score(*own.count(t)) for t in b["text"]]
             yield {"doc_id": b["doc_id"], "score": [s for s, _, _ in found], "evidence": [e for _, e, _ in found], "similarity": [s for _, _, s in found]}
 
-    scored = mapped(table, run, "doc_id long, score double, evidence array<long>, similarity array<double>")
+    scored = mapped(rows, run, "doc_id long, score double, evidence array<long>, similarity array<double>")
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence", "similarity")

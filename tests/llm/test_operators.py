@@ -181,26 +181,79 @@ def test_toxicity_on_held_out_rows(result):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
 
 
+def sparse(at, q):
+    return dict(zip(at.tolist(), q.tolist()))
+
+
 def test_nearest_examples_are_exact():
-    random.seed(3)
-    terms = 12
-    rows = [(i, random.randint(5, 300), t := sorted(random.sample(range(terms), random.choice((0, 0, 1, 2, 4)))), [random.randint(1, 4) for _ in t], int(random.random() < 0.2 + 0.1 * len(t))) for i in range(700)]
-    index = op4_toxicity.Index(np.array([*np.linspace(1, 5, terms), 1.0]), rows)
-    vectors = []
-    for _, n, t, c, _ in rows:
-        v = np.zeros(terms + 1)
-        at, q = index.query(n, t, c)
-        v[at] = q
-        vectors.append(v)
-    vectors = np.array(vectors)
+    rng = np.random.default_rng(5)
+    terms, rows = 300, []
+    for i in range(700):
+        at = sorted(set(rng.zipf(1.4, rng.integers(1, 30)).clip(1, terms) - 1))
+        rows.append((i, [int(t) for t in at], [int(c) for c in rng.integers(1, 4, len(at))], [1] * int(rng.integers(0, 3)), int(i % 7 == 0)))
+    index = op4_toxicity.Index(np.linspace(1, 5, terms), 3.0, rows)
+    vectors = [sparse(*index.query(*r[1:4])) for r in rows]
     for i in range(0, 700, 13):
-        at, q = index.query(*rows[i][1:4])
-        entries, scores, number = index.nearest(at, q)
-        best = np.sort(vectors @ vectors[i])[::-1][: op4_toxicity.NEIGHBOURS]
-        assert np.allclose(np.repeat(scores, np.ceil(number).astype(int))[: len(best)], best, atol=1e-3)
+        entries, scores, number = index.nearest(*index.query(*rows[i][1:4]))
+        best = sorted((sum(w * v.get(t, 0) for t, w in vectors[i].items()) for v in vectors), reverse=True)[: op4_toxicity.NEIGHBOURS]
+        assert np.allclose(np.repeat(scores, np.ceil(number).astype(int))[: len(best)], best, atol=1e-4)
         assert math.isclose(number.sum(), op4_toxicity.NEIGHBOURS)
 
 
+def test_toxicity_cosines_are_those_of_whole_vectors(spark, result):
+    """The query's neighbours against TF-IDF vectors of all words, plainly: every document with every example."""
+    docs, labels = dict(read("documents", "doc_id, text")), dict(read("labels", "doc_id, toxic"))
+    known = {i: (docs[i], t) for i, t in sorted(labels.items()) if t is not None and i in docs and zlib.crc32(str(i).encode()) % 4 != 2}
+    strong = op4_toxicity.learn_terms(spark.createDataFrame(list(known.values()), "text string, toxic int"))
+    words = {w for text, _ in known.values() for w in op4_toxicity.words_of(text)}
+
+    def terms(text):
+        found = collections.Counter()
+        for w in op4_toxicity.words_of(text):
+            found.update([w, *(t for t in op4_toxicity.terms_of(w)[1:] if t in strong)])
+        return found
+
+    counted = {i: terms(t) for i, t in docs.items()}
+    df = collections.Counter(t for c in counted.values() for t in c)
+    idf = {t: math.log((len(docs) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    strange = op4_toxicity.WEAK * (math.log((len(docs) + 1) / 2) + 1)
+
+    def vector(found):
+        v = {t: (1 + math.log(n)) * (idf[t] * (1 if t in strong else op4_toxicity.WEAK) if t in words or t in strong else strange) for t, n in found.items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / length for t, x in v.items()}
+
+    vectors = {i: vector(c) for i, c in counted.items()}
+    for r in result("op4_toxicity"):
+        mine = vectors[r["doc_id"]]
+        cosines = {i: sum(x * vectors[i].get(t, 0) for t, x in mine.items() if t in words or t in strong) for i in known}
+        best = sorted(cosines.values(), reverse=True)
+        if r["evidence"]:
+            assert abs(r["similarity"][0] - best[0]) < 2e-4 and all(abs(cosines[e] - s) < 2e-4 for e, s in zip(r["evidence"], r["similarity"]))
+        else:
+            assert best[0] == 0
+
+
+def test_copies_of_examples_with_rare_words_are_found(spark):
+    """Toxic words that stand in one example each: no term stands out, and still every copy finds its source."""
+    clean = [(i, f"plain words about topic{i % 9} and other{i} things", 0) for i in range(300)]
+    toxic = [(1000 + i, f"you rareslur{i} of a person, topic{i % 9}", 1) for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in clean + toxic] + [(i + 5000, t) for i, t, _ in toxic] + [(i + 9000, t) for i, t, _ in clean[:20]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in clean + toxic], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in op4_toxicity.score_toxicity(docs, labels).where("doc_id >= 5000").collect()}
+    for i, _, _ in toxic:
+        assert got[i + 5000]["evidence"][0] == i and got[i + 5000]["similarity"][0] > 0.9999 and got[i + 5000]["predicted"] == 1
+    assert all(got[i + 9000]["predicted"] == 0 for i, _, _ in clean[:20])
+
+
+def test_toxic_recall_on_held_out_rows(result):
+    """14 held-out toxic documents of sf0.01; with sf0.1 it is 114 of 120, and 9 of 870 clean ones are taken for toxic."""
+    labels = dict(read("labels", "doc_id, toxic", "/root/testdata/sf0.01"))
+    rows = [r for r in result("op4_toxicity", "/root/testdata/sf0.01") if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    toxic = [r["predicted"] for r in rows if labels[r["doc_id"]]]
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(r["predicted"] for r in rows if not labels[r["doc_id"]]) <= 1
+
+
 def test_quality_on_held_out_rows(result):
     labels = dict(read("labels", "doc_id, quality", "/root/testdata/sf0.01"))
     rows = [r for r in result("op5_quality", "/root/testdata/sf0.01") if r["held_out"] and r["doc_id"] in labels]
