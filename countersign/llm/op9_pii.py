@@ -240,6 +240,26 @@ def _phone_places(m: re.Match) -> Iterator[tuple[int, int]]:
     yield from ((m.start(), e) for e in range(m.end() - 1, m.start(), -1) if m.string[e] in " .-")
 
 
+#: What may stand before the @ of an address, and what it begins with.
+LOCAL_BEGIN = frozenset(DIGITS + LARGE + LARGE.lower())
+LOCAL = LOCAL_BEGIN | frozenset("._%+-")
+
+
+def _next_email(pattern: re.Pattern, text: str, start: int) -> re.Match | None:
+    """As `pattern.search`, but from each @ backwards: a long run without one costs nothing, one before an @ is walked once."""
+    at = text.find("@", start)
+    while at >= 0:
+        begin = at
+        while begin > start and text[begin - 1] in LOCAL:
+            begin -= 1
+        while begin < at and text[begin] not in LOCAL_BEGIN:
+            begin += 1
+        if begin < at and (m := pattern.match(text, begin)):
+            return m
+        at = text.find("@", at + 1)
+    return None
+
+
 #: Where a value may lie that a match includes or overlaps; the first that passes its check counts.
 PLACES = {"iban": _iban_places, "card": _card_places}
 
@@ -263,7 +283,8 @@ class Pseudonyms:
             if kind == "email" and "@" not in text:
                 continue
             free, end = [], 0
-            while m := pattern.search(text, end):
+            search = _next_email if kind == "email" else re.Pattern.search
+            while m := search(pattern, text, end):
                 places = PLACES[kind](m) if kind in PLACES else (m.span(),)
                 found = self._first(kind, pattern, fn, text, places, taken)
                 end = m.end()
