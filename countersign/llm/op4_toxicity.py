@@ -127,6 +127,12 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray
     return found.get(len(names), 0), np.array([found.get(i, 0) for i in range(len(names))], np.int64)
 
 
+def spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of several ranges one behind another, and the length of each."""
+    size = end.astype(np.int64) - first
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size), size
+
+
 class Index:
     """Block-max inverted index over unit TF-IDF vectors; equal vectors share an entry with their number and toxic number."""
 
@@ -158,14 +164,16 @@ class Index:
         entry = np.repeat(np.arange(len(kept)), size)
         term = np.concatenate([vectors[r][0] for r in kept]) if kept else np.empty(0, np.int64)
         value = np.concatenate([vectors[r][1] for r in kept]) if kept else np.empty(0)
-        by = np.lexsort((entry, term, entry // BLOCK))
+        # Postings stand by term and block. Only cells that have some are kept: their block, their maximum, and where their postings begin.
+        by = np.lexsort((entry, entry // BLOCK, term))
         entry, term, value = entry[by], term[by], value[by]
         self.entries, self.values = entry.astype(np.int32), value.astype(np.float32)
-        # Postings stand by block and term: where each list begins.
-        cell = (entry // BLOCK) * len(weights) + term
-        self.begin = np.searchsorted(cell, np.arange(self.blocks * len(weights) + 1)).astype(np.int32)
-        self.block_max = np.zeros((len(weights), self.blocks), np.float32)
-        np.maximum.at(self.block_max, (term, entry // BLOCK), self.values)
+        block = entry // BLOCK
+        fresh = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
+        self.cell_block = block[fresh].astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.values, fresh) if len(fresh) else np.empty(0, np.float32)
+        self.cell_begin = np.append(fresh, len(term)).astype(np.int32)
+        self.term_begin = np.searchsorted(term[fresh], np.arange(len(weights) + 1)).astype(np.int32)
         self.calibration = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def query(self, terms: list[int], counts: list[int], others: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,25 +182,28 @@ class Index:
         rest = (1 + np.log(np.array(others, float))) * self.strange
         return at, q / math.sqrt(float(q @ q + rest @ rest) or 1.0)
 
-    def _scored(self, at: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of some blocks and their cosines, from the postings of the query's terms."""
-        cells = (blocks[:, None] * len(self.weights) + at).reshape(-1)
-        first, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
-        total = int(size.sum())
-        pick = np.arange(total) + np.repeat(first - (np.cumsum(size) - size), size)
-        scores = np.bincount(self.entries[pick], self.values[pick] * np.repeat(np.tile(q, len(blocks)), size), self.blocks * BLOCK)
+    def _scored(self, cells: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of some blocks and their cosines, from the postings of the query's cells."""
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        some = wanted[self.cell_block[cells]]
+        cells, q = cells[some], q[some]
+        pick, size = spans(self.cell_begin[cells], self.cell_begin[cells + 1])
+        scores = np.bincount(self.entries[pick], self.values[pick] * np.repeat(q, size), self.blocks * BLOCK)
         ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
         ids = ids[ids < len(self.number)]
         return ids, scores[ids]
 
     def nearest(self, at: np.ndarray, q: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries, cosines and example numbers of the nearest NEIGHBOURS examples, the last entry in part; exact with ties."""
-        bounds = q.astype(np.float32) @ self.block_max[at]
+        cells, size = spans(self.term_begin[at], self.term_begin[at + 1])
+        q = np.repeat(q, size)
+        bounds = np.bincount(self.cell_block[cells], self.cell_max[cells] * q, self.blocks)
         order = np.argsort(-bounds, kind="stable")
         entries, scores, step = np.empty(0, np.int64), np.empty(0), 4
         done = 0
         while done < len(order):
-            ids, found = self._scored(at, q, order[done : done + step])
+            ids, found = self._scored(cells, q, order[done : done + step])
             entries, scores = np.concatenate([entries, ids]), np.concatenate([scores, found])
             done, step = done + step, 4 * step
             if len(scores) > 8 * NEIGHBOURS:  # few can still be among the nearest
