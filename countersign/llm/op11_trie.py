@@ -37,7 +37,7 @@ def read_turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
     """`conv, pos, n` (turns of the conversation), `t1, t2` (hashes of role and text), `words`; conversations by turn, null turns first.
 
     Null roles and texts are empty. Turns of one number stand by the first 32 characters of the role, the first 64 of the text, then by
-    hash. Rows without a conversation belong to none and are left out.
+    hash. Very long texts are hashed and counted whole, repeated rows are turns of their own. Rows without a conversation belong to none and are left out.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
     rows = conversations.where(F.col(id_col).isNotNull()).select(
