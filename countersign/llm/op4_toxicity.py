@@ -27,8 +27,9 @@ BEGINNINGS = range(4, 9)
 NEIGHBOURS = 15
 CLOSEST = 0.002  # least distance: a copy of an example outweighs all that are not
 BLOCK = 64
+FIRST = 8  # blocks that are looked into before bounds decide on the others
 THRESHOLD = 0.3
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 STOPS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
@@ -85,23 +86,25 @@ class Terms:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def of(self, word: str) -> tuple[int, ...]:
+        """Numbers of the word, -1 if the vocabulary lacks it, and of its strong beginnings."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
-            first = self.at.get(word)
-            own = () if first is None else (first,)
-            found = self.known[word] = (*own, *(self.at[t] for t in terms_of(word)[1:] if t in self.beginnings))
+            found = self.known[word] = (self.at.get(word, -1), *(self.at[t] for t in terms_of(word)[1:] if t in self.beginnings))
         return found
 
     def count(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
         """Numbers and counts of a text's terms, and counts of its words that the vocabulary lacks."""
         found: dict[int, int] = {}
-        strange = []
+        strange, known = [], self.known
         for word, n in Counter(words_of(text)).items():
-            if word not in self.at:
+            ids = known.get(word) or self.of(word)
+            if ids[0] >= 0:
+                found[ids[0]] = found.get(ids[0], 0) + n
+            else:
                 strange.append(n)
-            for i in self.of(word):
+            for i in ids[1:]:
                 found[i] = found.get(i, 0) + n
         at = sorted(found)
         return at, [found[i] for i in at], strange
@@ -116,7 +119,9 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray
         for b in batches:
             for text in b["text"]:
                 own_words = set(words_of(text))
-                sums[list(set(flat(map(own.of, own_words))))] += 1
+                some = set(flat(map(own.of, own_words)))
+                some.discard(-1)
+                sums[list(some)] += 1
                 all_ += 1
         sums[-1] = all_
         some = np.flatnonzero(sums)
@@ -194,28 +199,33 @@ class Index:
         ids = ids[ids < len(self.number)]
         return ids, scores[ids]
 
+    def _ranked(self, entries: np.ndarray, scores: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Entries that can be among the nearest, best first, ties by entry; how many examples each is, and the place where NEIGHBOURS are reached."""
+        if len(scores) > 4 * NEIGHBOURS:
+            # An entry may be left out as the query's own, hence one more.
+            some = scores >= np.partition(scores, len(scores) - NEIGHBOURS - 2)[len(scores) - NEIGHBOURS - 2] - 1e-4
+            entries, scores = entries[some], scores[some]
+        ranked = np.lexsort((entries, -np.round(scores, 5)))
+        entries, scores = entries[ranked], scores[ranked]
+        number = self.number[entries] - (entries == without)
+        return entries, scores, number, int(np.searchsorted(np.cumsum(number), NEIGHBOURS))
+
     def nearest(self, at: np.ndarray, q: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries, cosines and example numbers of the nearest NEIGHBOURS examples, the last entry in part; exact with ties."""
         cells, size = spans(self.term_begin[at], self.term_begin[at + 1])
         q = np.repeat(q, size)
         bounds = np.bincount(self.cell_block[cells], self.cell_max[cells] * q, self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        entries, scores, step = np.empty(0, np.int64), np.empty(0), 4
-        done = 0
-        while done < len(order):
-            ids, found = self._scored(cells, q, order[done : done + step])
-            entries, scores = np.concatenate([entries, ids]), np.concatenate([scores, found])
-            done, step = done + step, 4 * step
-            if len(scores) > 8 * NEIGHBOURS:  # few can still be among the nearest
-                least = np.partition(scores, len(scores) - 4 * NEIGHBOURS)[len(scores) - 4 * NEIGHBOURS] - 1e-4
-                some = scores >= min(least, np.partition(scores, len(scores) - NEIGHBOURS - 1)[len(scores) - NEIGHBOURS - 1] - 1e-4)
-                entries, scores = entries[some], scores[some]
-            ranked = np.lexsort((entries, -np.round(scores, 5)))
-            entries, scores = entries[ranked], scores[ranked]
-            number = self.number[entries] - (entries == without)
-            reach = int(np.searchsorted(np.cumsum(number), NEIGHBOURS))
-            if reach < len(entries) and done < len(order) and scores[reach] > bounds[order[done]] + 1e-5:
-                break
+        ids, found = self._scored(cells, q, order[:FIRST])
+        entries, scores, number, reach = self._ranked(ids, found, without)
+        # Blocks whose bound does not reach the last neighbour so far hold no nearer example.
+        least = scores[reach] - 1e-5 if reach < len(entries) else -1.0
+        rest = order[FIRST:]
+        rest = rest[bounds[rest] >= least]
+        if len(rest):
+            more, found = self._scored(cells, q, rest)
+            some = found >= least
+            entries, scores, number, reach = self._ranked(np.concatenate([entries, more[some]]), np.concatenate([scores, found[some]]), without)
         reach = min(int(np.searchsorted(np.cumsum(number), NEIGHBOURS)) + 1, len(entries))
         number = number[:reach].copy()
         number[-1] -= max(0.0, number.sum() - NEIGHBOURS)
