@@ -2,6 +2,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from countersign.llm import op2_neardup, op7_mix, op9_pii
@@ -74,7 +75,9 @@ def test_mix_stays_within_two_blocks_of_the_real_weights(m, share):
     assert worst < 2 and abs(done["big"] / 20_000 - share) < 2e-4
 
 
-def test_mixed_rows_keep_to_the_real_weights(spark):
+@pytest.mark.parametrize("segment", [op7_mix.SEGMENT, 64])
+def test_mixed_rows_keep_to_the_real_weights(spark, monkeypatch, segment):
+    monkeypatch.setattr(op7_mix, "SEGMENT", segment)
     weights = {"big": 0.5, **{f"s{i}": 0.5 / 19 for i in range(19)}}
     rows = [(i, s) for s, w in weights.items() for i in range(round(8000 * w))]
     got = op7_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=1).where("in_mix").collect()
@@ -84,3 +87,44 @@ def test_mixed_rows_keep_to_the_real_weights(spark):
         assert r["slot"] == t - 1 and r["block"] == done[r["source"]] and r["release"] <= r["slot"] < r["deadline"]
         done[r["source"]] += 1
         assert all(abs(done[s] - t * w) < 2 for s, w in weights.items())
+
+
+def test_mix_of_segments_repeats_after_its_period(spark, monkeypatch):
+    """Rows beyond the mixture get slots of their own too, with sources rare enough to share an entry."""
+    monkeypatch.setattr(op7_mix, "SEGMENT", 64)
+    weights = {"a": 0.6, "b": 0.397, "c": 0.002, None: 0.001}
+    counts = {"a": 3000, "b": 6000, "c": 40, None: 30}
+    rows = [(i, s) for s, n in counts.items() for i in range(n)]
+    got = op7_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=1).collect()
+    assert len(got) == len(rows) == len({r["slot"] for r in got})
+    for s, n in counts.items():
+        own = sorted((r["block"], r["slot"]) for r in got if r["source"] == s)
+        assert [k for k, _ in own] == list(range(n)) and own == sorted(own, key=lambda x: x[1])
+    inside = sorted(r["slot"] for r in got if r["in_mix"])
+    assert inside == list(range(len(inside))) and len(inside) > 4500
+    assert inside[-1] + 1 not in {r["slot"] for r in got}
+
+
+@pytest.mark.parametrize("units, rare", [({0: 3_000_017, 1: 1_999_983, 2: 777}, 0), ({0: 5_000_000, **{i: i for i in range(1, 40)}}, 39)])
+def test_ten_million_blocks_keep_to_their_weights(spark, units, rare):
+    """The schedule of 160 segments, made and checked in tasks: each slot once, each source near its weight at every slot."""
+    length, total = 160 * op7_mix.SEGMENT, sum(units.values())
+    assert sum(u * op7_mix.SEGMENT < 2 * total for u in units.values()) == rare
+    plan = op7_mix.timetable(spark, list(units.values()), length, op7_mix.SEGMENT)
+    share = F.create_map(*[F.lit(x) for i, u in units.items() for x in (i, u / total)])[F.col("at")]
+    off = F.greatest(F.abs(F.col("k") + 1 - (F.col("slot") + 1) * share), F.abs(F.col("k") - F.col("slot") * share))
+    order = F.max(F.when((F.col("slot") < F.col("release")) | (F.col("slot") >= F.col("deadline")), 1).otherwise(0))
+    rows = plan.groupBy("at").agg(F.count("*").alias("n"), F.sum("slot").alias("slots"), F.max("k").alias("last"), F.max(off).alias("off"), order.alias("late")).collect()
+    assert len(rows) == len(units) and sum(r["n"] for r in rows) == length and sum(r["slots"] for r in rows) == length * (length - 1) // 2
+    assert all(r["n"] == r["last"] + 1 and r["late"] == 0 for r in rows)
+    assert max(r["off"] for r in rows) < (4 if rare else 2)
+
+
+@pytest.mark.parametrize("weights", [[5, 3, 2], [1000, 1, 1], [7] * 30])
+def test_served_blocks_never_fall(weights):
+    for rare in (0, 1, 3):
+        rows = [op7_mix.served(weights, rare, j * 4096) for j in range(300)]
+        total = sum(weights) + rare
+        for j, (a, b) in enumerate(zip(rows, rows[1:])):
+            assert sum(a) == j * 4096 and all(x <= y for x, y in zip(a, b))
+            assert all(abs(x - j * 4096 * w / total) < 1.5 for x, w in zip(a, [*weights, rare]))
