@@ -3,19 +3,20 @@
 Vectors hold every word of a text, and word beginnings that stand out in toxic examples. IDF counts all documents. How much a term stands out in toxic examples
 is a weight, not a filter: words that do not weigh WEAK as much. The index keeps postings of every term of the examples, block by block of examples, with the maximum
 of each term in each block: blocks are visited by their upper bound until no other can hold a nearer example, so the neighbours are
-exact. Votes weigh by distance; the vote is calibrated on the examples themselves, each left out of its own vote.
+exact. Terms that many examples hold have a value for every place of a block, so that a block's share of them is one product. Votes weigh by distance; the vote is calibrated on the examples themselves, each left out of its own vote.
 """
 from __future__ import annotations
 
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countersign.llm.text import flat, mapped
+from countersign.llm.text import flat, mapped, utf8
 from countersign.session import checkpointed
 
 MAX_EXAMPLES = 4096  # labelled rows that are indexed unless a caller says otherwise: those of the smallest hashes
@@ -29,12 +30,14 @@ CLOSEST = 0.002  # least distance: a copy of an example outweighs all that are n
 BLOCK = 64
 FIRST = 8  # blocks that are looked into before bounds decide on the others
 THRESHOLD = 0.3
+TOGETHER = 64  # texts that are compared with the common terms at once
 KEPT_WORDS = 300_000
-STOPS = {c: " " for c in range(128) if not chr(c).isalnum()}
+COMMON = 32  # a term that one in so many examples holds is common
+STOPS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().translate(STOPS).split()
+    return utf8((text or "").lower()).translate(STOPS).decode("utf-8", "surrogatepass").split()
 
 
 def terms_of(word: str) -> list[str]:
@@ -76,52 +79,57 @@ def learn_terms(examples: DataFrame) -> list[str]:
     return terms[:MAX_TERMS]
 
 
+class Beginnings(dict):
+    """Numbers of the strong beginnings of each word, remembered up to a bound."""
+
+    def __init__(self, at: dict[str, int]):
+        self.strong = at
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        value = self[word] = tuple(self.strong[word[:n]] for n in BEGINNINGS if n < len(word) and word[:n] in self.strong)
+        return value
+
+
 class Terms:
     """Numbers of the words of a vocabulary and of the strong beginnings of any word."""
 
     def __init__(self, words: list[str], strong: list[str]):
         self.names = [*dict.fromkeys([*strong, *words])]
         self.at = {t: i for i, t in enumerate(self.names)}
-        self.beginnings = {t for t in strong if t.endswith("*")}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of(self, word: str) -> tuple[int, ...]:
-        """Numbers of the word, -1 if the vocabulary lacks it, and of its strong beginnings."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            found = self.known[word] = (self.at.get(word, -1), *(self.at[t] for t in terms_of(word)[1:] if t in self.beginnings))
-        return found
-
-    def count(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
+        self.beginnings = Beginnings({t[:-1]: self.at[t] for t in strong if t.endswith("*")})
+
+    def of(self, words: set[str]) -> np.ndarray:
+        """Numbers of different words, of the vocabulary or -1, and of their beginnings, each once."""
+        found = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        return np.concatenate([found, np.fromiter(set(flat(map(self.beginnings.__getitem__, words))), np.int64)])
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers and counts of a text's terms, and counts of its words that the vocabulary lacks."""
-        found: dict[int, int] = {}
-        strange, known = [], self.known
-        for word, n in Counter(words_of(text)).items():
-            ids = known.get(word) or self.of(word)
-            if ids[0] >= 0:
-                found[ids[0]] = found.get(ids[0], 0) + n
-            else:
-                strange.append(n)
-            for i in ids[1:]:
-                found[i] = found.get(i, 0) + n
-        at = sorted(found)
-        return at, [found[i] for i in at], strange
+        words = Counter(words_of(text))
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        n = np.fromiter(words.values(), np.int64, len(words))
+        begun: Counter = Counter()
+        for ids, times in [x for x in zip(map(self.beginnings.__getitem__, words), words.values()) if x[0]]:
+            for i in ids:
+                begun[i] += times
+        known = at >= 0
+        ids = np.concatenate([at[known], np.fromiter(begun, np.int64, len(begun))])
+        counts = np.concatenate([n[known], np.fromiter(begun.values(), np.int64, len(begun))])
+        order = np.argsort(ids)
+        return ids[order], counts[order], np.sort(n[~known])
 
 
 def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
     """Documents in all, and those that hold each term: a task adds up its own and gives one row a term."""
-    names, strong = terms.names, sorted(terms.beginnings)
+    names, strong = terms.names, [f"{t}*" for t in sorted(terms.beginnings.strong)]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         own, sums, all_ = Terms(names, strong), np.zeros(len(names) + 1, np.int64), 0
         for b in batches:
             for text in b["text"]:
-                own_words = set(words_of(text))
-                some = set(flat(map(own.of, own_words)))
-                some.discard(-1)
-                sums[list(some)] += 1
+                sums[own.of(set(words_of(text)))] += 1  # -1 is the last place
                 all_ += 1
         sums[-1] = all_
         some = np.flatnonzero(sums)
@@ -141,7 +149,7 @@ def spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Block-max inverted index over unit TF-IDF vectors; equal vectors share an entry with their number and toxic number."""
 
-    def __init__(self, weights: np.ndarray, strange: float, rows: list[tuple[int, list[int], list[int], list[int], int]]):
+    def __init__(self, weights: np.ndarray, strange: float, rows: list[tuple]):
         """`weights` of the terms (IDF times association), that of a word outside the vocabulary, and rows of doc_id, terms, counts, counts of other words, toxic."""
         self.weights, self.strange = weights, strange
         vectors = [self.query(at, counts, others) for _, at, counts, others, _ in rows]
@@ -172,6 +180,15 @@ class Index:
         # Postings stand by term and block. Only cells that have some are kept: their block, their maximum, and where their postings begin.
         by = np.lexsort((entry, entry // BLOCK, term))
         entry, term, value = entry[by], term[by], value[by]
+        # Common terms: a strip of values over all places.
+        held = np.bincount(term, minlength=len(weights))
+        common = np.flatnonzero(held * COMMON > max(len(kept), COMMON))
+        self.strip_of = np.full(len(weights), -1, np.int32)
+        self.strip_of[common] = np.arange(len(common))
+        self.strips = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        mine = self.strip_of[term] >= 0
+        self.strips[self.strip_of[term[mine]], entry[mine]] = value[mine]
+        entry, term, value = entry[~mine], term[~mine], value[~mine]
         self.entries, self.values = entry.astype(np.int32), value.astype(np.float32)
         block = entry // BLOCK
         fresh = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
@@ -181,20 +198,28 @@ class Index:
         self.term_begin = np.searchsorted(term[fresh], np.arange(len(weights) + 1)).astype(np.int32)
         self.calibration = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def query(self, terms: list[int], counts: list[int], others: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def query(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(terms, np.int64)
         q = (1 + np.log(np.array(counts, float))) * self.weights[at]
         rest = (1 + np.log(np.array(others, float))) * self.strange
         return at, q / math.sqrt(float(q @ q + rest @ rest) or 1.0)
 
-    def _scored(self, cells: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of some blocks and their cosines, from the postings of the query's cells."""
+    def shares(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the cosine of each query with the entry of each place."""
+        of = np.zeros((len(queries), len(self.strips)), np.float32)
+        for row, (at, q) in zip(of, queries):
+            strip = self.strip_of[at]
+            row[strip[strip >= 0]] = q[strip >= 0]
+        return of @ self.strips
+
+    def _scored(self, cells: np.ndarray, q: np.ndarray, common: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of some blocks and their cosines, from the postings of the query's cells and the shares of common terms."""
         wanted = np.zeros(self.blocks, bool)
         wanted[blocks] = True
         some = wanted[self.cell_block[cells]]
         cells, q = cells[some], q[some]
         pick, size = spans(self.cell_begin[cells], self.cell_begin[cells + 1])
-        scores = np.bincount(self.entries[pick], self.values[pick] * np.repeat(q, size), self.blocks * BLOCK)
+        scores = np.bincount(self.entries[pick], self.values[pick] * np.repeat(q, size), self.blocks * BLOCK) + common
         ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
         ids = ids[ids < len(self.number)]
         return ids, scores[ids]
@@ -210,20 +235,24 @@ class Index:
         number = self.number[entries] - (entries == without)
         return entries, scores, number, int(np.searchsorted(np.cumsum(number), NEIGHBOURS))
 
-    def nearest(self, at: np.ndarray, q: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearest(self, at: np.ndarray, q: np.ndarray, without: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries, cosines and example numbers of the nearest NEIGHBOURS examples, the last entry in part; exact with ties."""
+        common = self.shares([(at, q)])[0] if common is None else common
+        own = self.strip_of[at] < 0
+        at, q = at[own], q[own]
         cells, size = spans(self.term_begin[at], self.term_begin[at + 1])
         q = np.repeat(q, size)
-        bounds = np.bincount(self.cell_block[cells], self.cell_max[cells] * q, self.blocks)
+        # A block's bound: the best share of common terms that it holds, and the maxima of its other terms.
+        bounds = np.bincount(self.cell_block[cells], self.cell_max[cells] * q, self.blocks) + common.reshape(self.blocks, BLOCK).max(axis=1)
         order = np.argsort(-bounds, kind="stable")
-        ids, found = self._scored(cells, q, order[:FIRST])
+        ids, found = self._scored(cells, q, common, order[:FIRST])
         entries, scores, number, reach = self._ranked(ids, found, without)
         # Blocks whose bound does not reach the last neighbour so far hold no nearer example.
         least = scores[reach] - 1e-5 if reach < len(entries) else -1.0
         rest = order[FIRST:]
         rest = rest[bounds[rest] >= least]
         if len(rest):
-            more, found = self._scored(cells, q, rest)
+            more, found = self._scored(cells, q, common, rest)
             some = found >= least
             entries, scores, number, reach = self._ranked(np.concatenate([entries, more[some]]), np.concatenate([scores, found[some]]), without)
         reach = min(int(np.searchsorted(np.cumsum(number), NEIGHBOURS)) + 1, len(entries))
@@ -231,8 +260,8 @@ class Index:
         number[-1] -= max(0.0, number.sum() - NEIGHBOURS)
         return entries[:reach], scores[:reach], number
 
-    def vote(self, at: np.ndarray, q: np.ndarray, without: int = -1, own: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
-        entries, scores, number = self.nearest(at, q, without)
+    def vote(self, at: np.ndarray, q: np.ndarray, without: int = -1, own: int = 0, common: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        entries, scores, number = self.nearest(at, q, without, common)
         mine = entries == without
         share = (self.toxic[entries] - mine * own) / np.maximum(self.number[entries] - mine, 1)
         weight = number / (1 + CLOSEST - np.minimum(scores, 1.0))
@@ -240,7 +269,13 @@ class Index:
 
     def calibrate(self, rows: list[tuple]) -> None:
         """Monotone mean label by vote (pooled adjacent violators) over the examples, each without itself."""
-        votes = sorted((self.vote(*self.query(t, c, o), int(self.entry_of[i]), int(y))[0], int(y)) for i, (_, t, c, o, y) in enumerate(rows))
+        votes = []
+        for at in range(0, len(rows), TOGETHER):
+            some = rows[at : at + TOGETHER]
+            queries = [self.query(t, c, o) for _, t, c, o, _ in some]
+            for i, (q, common, row) in enumerate(zip(queries, self.shares(queries), some), at):
+                votes.append((self.vote(*q, int(self.entry_of[i]), int(row[4]), common)[0], int(row[4])))
+        votes.sort()
         pools: list[list[float]] = []
         for v, y in votes:
             if pools and pools[-1][3] == v:
@@ -253,12 +288,18 @@ class Index:
                 pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2], high]
         self.calibration = (np.array([(a + b) / 2 for _, _, a, b in pools]), np.array([y / n for y, n, _, _ in pools]))
 
-    def score(self, terms: list[int], counts: list[int], others: list[int]) -> tuple[float, list[int], list[float]]:
-        """Calibrated score, the nearest examples and their cosines; a text that shares no term with any example has no neighbour and no vote."""
-        if not terms:
-            return float(np.interp(0.0, *self.calibration)), [], []
-        vote, entries, scores = self.vote(*self.query(terms, counts, others))
-        return float(np.interp(vote, *self.calibration)), [self.ids[e] for e in entries[:3]], [round(float(s), 4) for s in scores[:3]]
+    def score(self, counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[float, list[int], list[float]]]:
+        """Of each text: calibrated score, the nearest examples and their cosines; one that shares no term with any example has no neighbour and no vote."""
+        out = []
+        for begin in range(0, len(counted), TOGETHER):
+            queries = [self.query(*c) for c in counted[begin : begin + TOGETHER]]
+            for (at, q), common in zip(queries, self.shares(queries)):
+                if not len(at):
+                    out.append((float(np.interp(0.0, *self.calibration)), [], []))
+                    continue
+                vote, entries, scores = self.vote(at, q, common=common)
+                out.append((float(np.interp(vote, *self.calibration)), [self.ids[e] for e in entries[:3]], [round(float(s), 4) for s in scores[:3]]))
+        return out
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, learn_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -295,7 +336,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, learn_where: Column |
         names, strong, index = shared.value
         own = Terms(names, strong)
         for b in batches:
-            found = [(0.0, [], []) if index is None else index.score(*own.count(t)) for t in b["text"]]
+            found = [(0.0, [], [])] * len(b["text"]) if index is None else index.score([own.count(t) for t in b["text"]])
             yield {"doc_id": b["doc_id"], "score": [s for s, _, _ in found], "evidence": [e for _, e, _ in found], "similarity": [s for _, _, s in found]}
 
     scored = mapped(rows, run, "doc_id long, score double, evidence array<long>, similarity array<double>")
