@@ -1,11 +1,13 @@
 """Whole jobs where a shorter one would look the same on the shared tables."""
 import collections
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from countersign.llm import op2_neardup, op7_mix, op9_pii
+from countersign.llm import op2_neardup, op7_mix, op9_pii, op10_decontaminate
 
 
 def edited(n, name):
@@ -128,3 +130,49 @@ def test_served_blocks_never_fall(weights):
         for j, (a, b) in enumerate(zip(rows, rows[1:])):
             assert sum(a) == j * 4096 and all(x <= y for x, y in zip(a, b))
             assert all(abs(x - j * 4096 * w / total) < 1.5 for x, w in zip(a, [*weights, rare]))
+
+
+def edited_copies(length, rate, n, seed):
+    """An item and copies with random words replaced, left out and put in, each between other words."""
+    rng = random.Random(seed)
+    item = [f"w{seed}x{k}" for k in range(length)]
+    out = []
+    for c in range(n):
+        words = []
+        for k, w in enumerate(item):
+            at = rng.random()
+            words += [w] if at >= rate else [[f"r{c}x{k}"], [], [w, f"i{c}x{k}"]][0 if at < 0.7 * rate else 1 if at < 0.85 * rate else 2]
+        out.append([f"a{c}x{k}" for k in range(30)] + words + [f"b{c}x{k}" for k in range(30)])
+    return item, out
+
+
+def test_edited_copies_are_found_as_by_all_alignments(spark):
+    """Copies of 15 to 60 words with 20 to 30 % of the words edited, against the alignment of every copy with its item."""
+    items, docs, want, at = [], [], {}, 0
+    for i, (length, rate) in enumerate((n, r) for n in (15, 20, 30, 60) for r in (0.2, 0.25, 0.3)):
+        item, copies = edited_copies(length, rate, 300, i)
+        items.append((i, " ".join(item)))
+        ids = {w: k for k, w in enumerate(item)}
+        for words in copies:
+            best, _ = op10_decontaminate.align(np.array([ids.get(w, -1) for w in words]), np.arange(length))
+            if best >= length:
+                want[at] = i
+            docs.append((at, " ".join(words)))
+            at += 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in op10_decontaminate.find_contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got.items()) <= set(want.items())
+    for length in range(4):
+        due = [d for d, i in want.items() if i // 3 == length]
+        found = sum(d in got for d in due)
+        print("words", (15, 20, 30, 60)[length], "due", len(due), "found", found)
+        assert len(due) > 400 and found >= (0.98 if length == 0 else 0.995) * len(due)
+
+
+def test_common_seeds_find_their_item(spark):
+    """Every document holds the item's seeds: none is too common, and a long item beside a short one widens no other alignment."""
+    item = "the end of the day is a place where all of the others meet"
+    long_item = " ".join(f"z{k}" for k in range(30_000))
+    docs = [(d, f"start {d} {item} stop {d} " + " ".join(f"n{d}x{k}" for k in range(50))) for d in range(200)] + [(999, "the end of the day is another thing and nobody meets")]
+    found = op10_decontaminate.find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, long_item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"], r["start_word"], r["end_word"]) for r in found) == [(d, 1, 1.0, 2, 16) for d in range(200)]
