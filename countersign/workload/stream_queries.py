@@ -12,20 +12,24 @@ from countersign.workload.job_queries import scratch
 from countersign.workload.registry import ORACLES, query
 
 
-def _landed(spark, sf, root):
+def _deliveries(spark, sf):
     """The mail as two deliveries, the older one first."""
     mail = fx.mail(spark, sf)
     early = F.col("received_at") < F.lit("2024-01-16").cast("timestamp")
-    mail.filter(early).write.parquet(f"{root}/in")
-    mail.filter(~early).write.mode("append").parquet(f"{root}/in")
-    return mail.schema
+    return mail.filter(early), mail.filter(~early)
+
+
+def _land(delivery, root):
+    delivery.write.mode("append").parquet(f"{root}/in")
 
 
 @query("t7_route_stream", ORACLES["r1_route_counts"])
 def t7(spark, sf):
     root = scratch(spark)
-    schema = _landed(spark, sf, root)
-    stream = live.route_stream(live.read_mail_stream(spark, f"{root}/in", schema=schema)).select("mail_id", "route")
+    deliveries = _deliveries(spark, sf)
+    for delivery in deliveries:
+        _land(delivery, root)
+    stream = live.route_stream(live.read_mail_stream(spark, f"{root}/in", schema=deliveries[0].schema)).select("mail_id", "route")
     stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start(
         f"{root}/out"
     ).awaitTermination()
@@ -33,12 +37,17 @@ def t7(spark, sf):
 
 
 def _streamed(spark, sf):
-    """The store that the stream leaves behind."""
+    """The store that the stream leaves behind.
+
+    The stream runs once for each delivery and takes it as one micro-batch, into however many files it was written: a batch of one
+    file would be thousands of batches of larger mail, and would cut a delivery across its order of arrival.
+    """
     root = scratch(spark)
-    schema = _landed(spark, sf, root)
     live.seed_state(fx.coord_events(spark, sf), f"{root}/state")
-    stream = live.read_mail_stream(spark, f"{root}/in", schema=schema, files_per_batch=1)
-    live.start_ingest(stream, f"{root}/state", fx.DOMAIN).awaitTermination()
+    for delivery in _deliveries(spark, sf):
+        _land(delivery, root)
+        stream = live.read_mail_stream(spark, f"{root}/in", schema=delivery.schema)
+        live.start_ingest(stream, f"{root}/state", fx.DOMAIN).awaitTermination()
     return live.open_store(spark, f"{root}/state")
 
 
