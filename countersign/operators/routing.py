@@ -29,7 +29,12 @@ def from_address(block: Column | str) -> Column:
 
     Quoted display names and comments go first: an address inside them is text that the sender chose.
     """
-    value = F.regexp_replace(headers.raw_header(block, "From"), r'"(?:[^"\\]|\\.)*"|\([^()]*\)', " ")
+    return address_in(headers.raw_header(block, "From"))
+
+
+def address_in(header: Column) -> Column:
+    """The address that a From header names."""
+    value = F.regexp_replace(header, r'"(?:[^"\\]|\\.)*"|\([^()]*\)', " ")
     return F.coalesce(
         headers._group(value, r"<\s*([^<>\s]+@[^<>\s]+)\s*>"), headers._group(value, r"([^\s<>,;\"]+@[^\s<>,;\"]+)")
     )
@@ -40,11 +45,11 @@ def prefilter(block: Column | str, sender: Column | str) -> Column:
     return _screening(_screened_headers(headers._col(block)), headers._col(sender))
 
 
-def _screened_headers(block: Column) -> dict[str, Column]:
-    listed = F.coalesce(*[headers.raw_header(block, name) for name in LIST_HEADERS], F.lit(""))
+def _screened_headers(block: Column, lowered: Column | None = None) -> dict[str, Column]:
+    listed = F.coalesce(*[headers.raw_header(block, name, lowered) for name in LIST_HEADERS], F.lit(""))
     return {
-        "auto_submitted": headers.raw_header(block, "Auto-Submitted"),
-        "precedence": F.lower(headers.raw_header(block, "Precedence")),
+        "auto_submitted": headers.raw_header(block, "Auto-Submitted", lowered),
+        "precedence": F.lower(headers.raw_header(block, "Precedence", lowered)),
         "listed": listed != "",
     }
 
@@ -70,21 +75,23 @@ def screen(mail: DataFrame) -> DataFrame:
     df = evaluated_once(
         mail, _block=headers.header_block("raw"), **{f"_env_{n}": e[n] for n in ENVELOPE_FIELDS}
     )
-    block = F.col("_block")
+    df = evaluated_once(df, _lowered=F.lower("_block"))
+    block, lowered = F.col("_block"), F.col("_lowered")
     df = evaluated_once(
         df,
-        from_address=from_address(block),
-        is_bounce=headers.is_delivery_status_report(block),
-        message_id=headers.raw_header(block, "Message-ID"),
+        _from=headers.raw_header(block, "From", lowered),
+        is_bounce=headers.is_delivery_status_report(block, lowered),
+        message_id=headers.raw_header(block, "Message-ID", lowered),
         raw_size=F.octet_length("raw").cast("bigint"),
-        **_screened_headers(block),
-    )
+        **_screened_headers(block, lowered),
+    ).drop("_block", "_lowered")
+    df = evaluated_once(df, from_address=address_in(F.col("_from"))).drop("_from")
     read = {name: F.col(name) for name in ("auto_submitted", "precedence", "listed")}
     df = evaluated_once(
         df,
         reject_reason=_screening(read, F.col("from_address"))["reason"],
         sender=addresses.resolve_sender("_env_sender", "from_address"),
-    ).drop("_block", "envelope", *read)
+    ).drop("envelope", *read)
     # Only mail that goes on is hashed.
     return df.withColumn("raw_sha256", F.when(F.col("reject_reason").isNull() | F.col("is_bounce"), hash_document("raw")))
 
@@ -98,7 +105,7 @@ def route(mail: DataFrame, keep_raw: bool = False) -> DataFrame:
 
     Order: bounce, machine mail, initiator command, verify, reverify, event, attest, no tag.
     """
-    df = evaluated_once(screen(mail), **any_tag(F.col("_env_recipient")))
+    df = with_tag(screen(mail), F.col("_env_recipient"))
     bounce, rejected = F.col("is_bounce"), F.col("reject_reason").isNotNull()
     kind = F.coalesce("tag_kind", F.lit("no_event_tag"))
     is_reply_tag = kind.isin("event", "attest")
@@ -127,23 +134,45 @@ def any_tag(recipient: Column) -> dict[str, Column]:
 
     A tag's kind is the address's kind, so one grammar applies at most.
     """
-    text = headers._strip(recipient)
-    kind = F.lower(headers._group(text, addresses.ADDRESS, 1))
-    ext = headers._group(text, addresses.ADDRESS, 2)
+    kind, ext = _kind_and_extension(headers._strip(recipient))
+    sequence = _named_sequence(kind, ext)
+    return _tag(kind, ext, sequence, _named_event(kind, ext, sequence))
+
+
+def with_tag(df: DataFrame, recipient: Column) -> DataFrame:
+    """`any_tag` as columns of `df`: each of its expressions is computed once a row, though the next ones read it several times."""
+    df = evaluated_once(df, _address=headers._strip(recipient))
+    kind, ext = _kind_and_extension(F.col("_address"))
+    df = evaluated_once(df, _kind=kind, _ext=ext)
+    kind, ext = F.col("_kind"), F.col("_ext")
+    df = evaluated_once(df, _sequence=_named_sequence(kind, ext))
+    sequence = F.col("_sequence")
+    df = evaluated_once(df, _event_id=_named_event(kind, ext, sequence))
+    tag = _tag(kind, ext, sequence, F.col("_event_id"))
+    return evaluated_once(df, **tag).drop("_address", "_kind", "_ext", "_sequence", "_event_id")
+
+
+def _kind_and_extension(address: Column) -> tuple[Column, Column]:
+    return F.lower(headers._group(address, addresses.ADDRESS, 1)), headers._group(address, addresses.ADDRESS, 2)
+
+
+def _named_sequence(kind: Column, ext: Column) -> Column:
+    found = headers._group(ext, r"^[a-zA-Z0-9]+-(\d+)$").try_cast("bigint")
+    return F.when((kind == "reverify") & (found > 0), found)
+
+
+def _named_event(kind: Column, ext: Column, sequence: Column) -> Column:
     plain = kind.isin(*addresses.INITIATOR_COMMANDS, "verify", "attest")
-    sequence = headers._group(ext, r"^[a-zA-Z0-9]+-(\d+)$").try_cast("bigint")
-    event_id = (
+    return (
         F.when(plain, headers._group(ext, r"^([a-zA-Z0-9]+)$"))
         .when(kind == "event", headers._group(ext, r"^([a-zA-Z0-9]+)(?:-.*)?$"))
-        .when((kind == "reverify") & (sequence > 0), headers._group(ext, r"^([a-zA-Z0-9]+)-\d+$"))
+        .when(sequence.isNotNull(), headers._group(ext, r"^([a-zA-Z0-9]+)-\d+$"))
     )
-    values = (
-        F.when(event_id.isNotNull(), kind),
-        event_id,
-        F.when((kind == "event") & event_id.isNotNull() & ext.contains("-"), F.regexp_extract(ext, r"^[a-zA-Z0-9]+-(.*)$", 1)),
-        F.when((kind == "reverify") & (sequence > 0), sequence),
-    )
-    return dict(zip(TAG_COLUMNS, values))
+
+
+def _tag(kind: Column, ext: Column, sequence: Column, event_id: Column) -> dict[str, Column]:
+    step_id = F.when((kind == "event") & event_id.isNotNull() & ext.contains("-"), F.regexp_extract(ext, r"^[a-zA-Z0-9]+-(.*)$", 1))
+    return dict(zip(TAG_COLUMNS, (F.when(event_id.isNotNull(), kind), event_id, step_id, sequence)))
 
 
 def route_bounces(mail: DataFrame) -> DataFrame:
@@ -152,7 +181,7 @@ def route_bounces(mail: DataFrame) -> DataFrame:
     The cheap test comes first, so no other header of other mail is looked at.
     """
     df = mail.filter(headers.is_delivery_status_report(headers.header_block("raw")))
-    df = evaluated_once(df, **any_tag(normalise_envelope("envelope")["recipient"]))
+    df = with_tag(df, normalise_envelope("envelope")["recipient"])
     event_id = F.when(F.col("tag_kind").isin("event", "attest"), F.col("tag_event_id"))
     return df.withColumns(
         {
