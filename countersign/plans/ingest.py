@@ -98,6 +98,8 @@ def ingest_batch(
     """
     spark = mail.sparkSession
     hold = checkpointed if cut else (lambda df: df)
+    # Records are joined a dozen times; written once, their size is known and the mail need not be shuffled to learn it.
+    events = hold(events)
     routed = hold(routed_mail(tagged if tagged is not None else tagged_mail(mail), events))
     if heads is None and ledger is not None:
         heads = LG.heads(ledger, reverify_log)
@@ -134,13 +136,15 @@ def ingest_batch(
     )
     no_verdicts = spark.createDataFrame([], "raw_sha256 string, domain string, selector string, ok boolean, reason string")
     given = verdicts if verdicts is not None else no_verdicts
+    # Decoded once for both kinds, whatever reads them.
+    candidates = hold(extract_candidates(requests))
     # Requests see the entries that came before them, of this batch or an earlier one.
-    verified = V.verify_candidates(extract_candidates(requests.filter("route = 'verify'")), whole, events, given, as_of=True)
+    verified = V.verify_candidates(candidates.filter("route = 'verify'"), whole, events, given, as_of=True)
     reverified = V.reverify(
-        extract_candidates(requests.filter("route = 'reverify'")).filter("cand_pos = 0"), whole, events, given,
+        candidates.filter("route = 'reverify' and cand_pos = 0"), whole, events, given,
         None if heads is None else heads.select("event_id", F.col("reverify_last").alias("reverify_sequence")), as_of=True,
     )
-    inquiries = requests.select("request_id", "received_at", "sender").dropDuplicates(["request_id"])
+    inquiries = candidates.select("request_id", "received_at", "sender").dropDuplicates(["request_id"])
     tallies = hold(LG.heads_after(heads, entries, reverified))
     notices = R.dispatch_results(
         N.transition_notices(rows, locks, after, tallies.select("event_id", F.col("receipts").alias("counted_commits"))),

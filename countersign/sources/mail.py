@@ -14,10 +14,11 @@ from email import policy
 from email.message import EmailMessage
 from email.parser import BytesHeaderParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from countersign import schemas
 
@@ -79,8 +80,12 @@ def _decoded(part: EmailMessage, body: bytes) -> bytes:
 
 def _attachment_parts(raw: bytes) -> list[tuple[str | None, bytes]]:
     """Name and bytes of every attachment: parts that say so, have a file name or are no text, the root included."""
-    found = []
-    for part, body in _parts(bytes(raw)):
+    raw, found = bytes(raw), []
+    cut = _BLANK_LINE.search(raw)
+    # Without a header of that kind the message is plain text that no one called an attachment.
+    if b"content-" not in (raw[: cut.end()] if cut else raw).lower():
+        return found
+    for part, body in _parts(raw):
         name = part.get_filename()
         if part.get_content_disposition() == "attachment" or name or part.get_content_maintype() not in ("text", "multipart"):
             found.append((name, _decoded(part, body)))
@@ -98,30 +103,34 @@ def parse_attachments(mail: DataFrame) -> DataFrame:
         + [T.StructField("attachments", T.ArrayType(schemas.ATTACHMENT))]
     )
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    kind = to_arrow_type(out["attachments"].dataType)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             found = [
-                [{"filename": n, "size": len(c), "sha256": _fingerprint(c)} for n, c in _attachment_parts(raw)]
-                for raw in pdf["raw"]
+                [{"filename": n, "size": len(c), "sha256": _fingerprint(c)} for n, c in _attachment_parts(raw.as_py())]
+                for raw in b.column("raw")
             ]
-            pdf = pdf.drop(columns="raw")
-            pdf["attachments"] = found
-            yield pdf
+            # The other columns go through as they came.
+            yield b.drop_columns(["raw"]).append_column("attachments", pa.array(found, kind))
 
-    return mail.mapInPandas(decode, out)
+    return mail.mapInArrow(decode, out)
 
 
 def parse_mail(mail: DataFrame) -> DataFrame:
     """C11. `parsed_mail` rows: From, Message-ID, attachment fingerprints, hash and size."""
     from countersign.functions import headers as H
     from countersign.functions.hashing import hash_document
-    from countersign.operators.routing import from_address
+    from countersign.operators.routing import address_in
+    from countersign.session import evaluated_once
 
-    block = H.header_block("raw")
-    name = F.nullif(F.regexp_replace(F.regexp_extract(H.raw_header(block, "From"), r"^(.*?)<", 1), r'^[\s"]+|[\s"]+$', ""), F.lit(""))
+    mail = evaluated_once(mail.select("mail_id", "raw"), _block=H.header_block("raw"))
+    mail = evaluated_once(mail, _from=H.raw_header("_block", "From"))
+    block, sender = F.col("_block"), F.col("_from")
+    name = F.nullif(F.regexp_replace(F.regexp_extract(sender, r"^(.*?)<", 1), r'^[\s"]+|[\s"]+$', ""), F.lit(""))
     df = mail.select(
         F.col("mail_id").cast("string").alias("mail_id"),
-        from_address(block).alias("from_address"),
+        address_in(sender).alias("from_address"),
         name.alias("from_name"),
         H.raw_header(block, "Message-ID").alias("message_id"),
         hash_document("raw").alias("raw_sha256"),
@@ -144,14 +153,18 @@ def extract_candidates(mail: DataFrame) -> DataFrame:
             T.StructField("raw_size", T.LongType()),
         ]
     )
-    keep = [f.name for f in out.fields[:-3]]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for head, raw in zip(pdf[keep].itertuples(index=False, name=None), pdf["raw"]):
+            for at, value in enumerate(b.column("raw")):
+                raw = value.as_py()
                 contents = [c for _, c in _attachment_parts(raw) if c] + [bytes(raw)]
-                rows += [(*head, i, _fingerprint(c), len(c)) for i, c in enumerate(contents)]
-            yield pd.DataFrame(rows, columns=out.fieldNames())
-
-    return mail.mapInPandas(decode, out)
+                rows += [(at, i, _fingerprint(c), len(c)) for i, c in enumerate(contents)]
+            at, position, digest, size = ([r[k] for r in rows] for k in range(4))
+            heads = b.drop_columns(["raw"]).take(pa.array(at, pa.int64()))
+            for name, values in (("cand_pos", pa.array(position, pa.int32())), ("raw_sha256", pa.array(digest, pa.string())), ("raw_size", pa.array(size, pa.int64()))):
+                heads = heads.append_column(name, values)
+            yield heads
+
+    return mail.mapInArrow(decode, out)
