@@ -2,7 +2,9 @@
 
 P(token | context) = P(class | context) * P(token | class). A token's class is its ending's (eight of them) and whether it is among the
 frequent tokens. The class has a softmax over hashed features of the context: the word before, the word before that (a skip), and the
-classes of the three words before. The inner factor has only a bias for each token, so its optimum is the smoothed count.
+classes of the three words before. The inner factor is a softmax over the class's tokens: a token's bias is the logarithm of its smoothed
+count, and hashed n-gram and skip features pair its cell (one of CELLS, by its hash) with the word before and with the word before that.
+Tokens of one cell share these weights, so the sum under the fraction needs the mass of each cell, not the vocabulary.
 
 Training makes a few distributed updates. The gradient of a weight is how often its feature and class were seen less how often the
 model means them to be: every task sums both over its share of the texts, Spark adds the sums up in two levels, and the weights move by
@@ -36,6 +38,8 @@ CHUNK = 1 << 16  # tokens that are scored at once
 COUNTED = 1 << 20  # tokens that are counted at once
 BLOCKS, FAN_IN = 32, 64
 ROWS = 2 * BUCKETS + TRIPLES
+CELLS, WORDS, SKIPS = 512, 512, 32  # of the inner factor: cells of tokens, rows for the word before and for the one before that
+INNER_CALM = 2.0
 LOG10 = np.log(10.0)
 
 
@@ -80,16 +84,66 @@ def classes(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (tokens & (ENDINGS - 1)) + ENDINGS * (place >= 0)
 
 
+def _back(values: np.ndarray, n: int, none: int, at: np.ndarray) -> np.ndarray:
+    out = np.full(len(values), none, np.int64)
+    out[n:] = values[:-n] if n < len(values) else out[n:]
+    out[at < n] = none
+    return out
+
+
+def _positions(sizes: list[int]) -> np.ndarray:
+    """The place of each token in its text."""
+    return np.arange(sum(sizes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def cells(tokens: np.ndarray) -> np.ndarray:
+    """Hash bits that the class does not use."""
+    return tokens >> 3 & (CELLS - 1)
+
+
+def inner_contexts(tokens: np.ndarray, place: np.ndarray, cls: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the inner factor's two features: the word before and the word before that, rare ones by their class."""
+    at, hashed = _positions(sizes), mixed(tokens.view(np.uint64)) >> np.uint64(20)
+
+    def row(n: int, rows: int) -> np.ndarray:
+        own = CLASSES + 1 + (hashed % np.uint64(rows - CLASSES - 1)).astype(np.int64)
+        return _back(np.where(place >= 0, own, cls), n, NONE, at)
+
+    return row(1, WORDS), row(2, SKIPS)
+
+
+class Inner:
+    """Weights of the inner factor and the logarithm of its sums, for the mass of each class's cells."""
+
+    def __init__(self, mass: np.ndarray):
+        self.mass, self.word, self.skip = mass, np.zeros((WORDS, CELLS)), np.zeros((SKIPS, CELLS))
+
+    def sums(self) -> np.ndarray:
+        """Of each class under each pair of rows: the features' exponentials multiply, so it is a product of matrices."""
+        return np.stack([np.exp(self.word) @ (m * np.exp(self.skip)).T for m in self.mass])
+
+    def learn(self, seen_word: np.ndarray, seen_skip: np.ndarray, met: np.ndarray) -> None:
+        """One update by iterative scaling; `met` counts class and rows of each position, all that the expectations need."""
+        by_word, by_skip = np.exp(self.word), np.exp(self.skip)
+        meant_word, meant_skip = np.zeros_like(by_word), np.zeros_like(by_skip)
+        for m, share in zip(self.mass, met / self.sums()):
+            meant_word += by_word * (share @ (m * by_skip))
+            meant_skip += by_skip * m * (share.T @ by_word)
+        # Two features are active at a time.
+        self.word += np.log((seen_word + INNER_CALM) / (meant_word + INNER_CALM)) / 2
+        self.skip += np.log((seen_skip + INNER_CALM) / (meant_skip + INNER_CALM)) / 2
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both features' weights and the sums, all as log10."""
+        return tuple(x.astype(np.float32) for x in (self.word / LOG10, self.skip / LOG10, np.log10(self.sums())))
+
+
 def contexts(tokens: np.ndarray, place: np.ndarray, cls: np.ndarray, sizes: list[int]) -> np.ndarray:
     """Three weight rows of each position of the texts that stand one behind another."""
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.arange(len(tokens)) - starts
+    at = _positions(sizes)
 
     def back(values: np.ndarray, n: int, none: int) -> np.ndarray:
-        out = np.full(len(values), none, np.int64)
-        out[n:] = values[:-n] if n < len(values) else out[n:]
-        out[at < n] = none
-        return out
+        return _back(values, n, none, at)
 
     own = CLASSES + 1 + (mixed(tokens.view(np.uint64)) % np.uint64(BUCKETS - CLASSES - 1)).astype(np.int64)
     word = np.where(place >= 0, own, cls)
@@ -171,9 +225,25 @@ def class_totals(counts: DataFrame, frequent: Frequent) -> tuple[np.ndarray, np.
     return n, v
 
 
-def train(rows: DataFrame, frequent, bias: np.ndarray) -> np.ndarray:
-    """Weights after ROUNDS updates; round r sees the rows of `text, part` whose part is r."""
+def cell_mass(counts: DataFrame, frequent: Frequent) -> np.ndarray:
+    """Smoothed training tokens of each class's cells. The mass of the class's one unknown token, which may fall in any, is spread over them."""
+    ending, cell = F.col("token").bitwiseAND(ENDINGS - 1), F.shiftright("token", 3).bitwiseAND(CELLS - 1)
+    mass = np.full((CLASSES, CELLS), SMOOTHING / CELLS)
+    for r in counts.groupBy(ending.alias("e"), cell.alias("cell")).agg(F.sum(F.col("c") + F.lit(SMOOTHING)).alias("n")).collect():  # ENDINGS x CELLS rows at most
+        mass[r["e"], r["cell"]] += r["n"]
+    at = (frequent.numbers & (ENDINGS - 1)) * CELLS + cells(frequent.numbers)
+    common = np.bincount(at, frequent.counts + SMOOTHING, ENDINGS * CELLS).reshape(ENDINGS, CELLS)
+    mass[ENDINGS:] += common
+    mass[:ENDINGS] = np.maximum(mass[:ENDINGS] - common, SMOOTHING / CELLS)
+    return mass
+
+
+def train(rows: DataFrame, frequent, bias: np.ndarray, inner: Inner) -> np.ndarray:
+    """Weights after ROUNDS updates, of `inner` too; round r sees the rows of `text, part` whose part is r."""
     spark = rows.sparkSession
+    shapes = ((WORDS, CELLS), (SKIPS, CELLS), (CLASSES, WORDS, SKIPS))
+    ends = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
+    step = -(-int(ends[-1]) // BLOCKS)
     weights = np.zeros((ROWS, CLASSES), np.float32)
     size, calm = -(-ROWS // BLOCKS), CALM * np.exp(bias)
     for r in range(ROUNDS):
@@ -182,7 +252,7 @@ def train(rows: DataFrame, frequent, bias: np.ndarray) -> np.ndarray:
         def sums(batches: Iterator[dict], sent=sent) -> Iterator[dict]:
             tokens, known, now = Tokens(), frequent.value, sent.value
             seen, meant = np.zeros(ROWS * CLASSES), np.zeros(ROWS * CLASSES)
-            every = np.arange(CLASSES)
+            every, met = np.arange(CLASSES), np.zeros(step * BLOCKS)
             for b in batches:
                 for found, sizes, _ in chunks(b["text"], tokens):
                     place = known.find(found)
@@ -193,24 +263,31 @@ def train(rows: DataFrame, frequent, bias: np.ndarray) -> np.ndarray:
                         first = rows_ * CLASSES
                         seen += np.bincount(first + cls, minlength=len(seen))
                         meant += np.bincount((first[:, None] + every).reshape(-1), p, len(meant))
+                    cell, (word, skip) = cells(found), inner_contexts(found, place, cls, sizes)
+                    for k, index in enumerate((word * CELLS + cell, skip * CELLS + cell, (cls * WORDS + word) * SKIPS + skip)):
+                        met[ends[k] : ends[k + 1]] += np.bincount(index, minlength=ends[k + 1] - ends[k])
             for k in range(BLOCKS):
                 part = slice(k * size * CLASSES, (k + 1) * size * CLASSES)
-                yield {"block": [k], "task": [TaskContext.get().partitionId() // FAN_IN], "seen": [seen[part].astype(np.float32).tobytes()], "meant": [meant[part].astype(np.float32).tobytes()]}
+                yield {"block": [k], "task": [TaskContext.get().partitionId() // FAN_IN], "seen": [seen[part].astype(np.float32).tobytes()], "meant": [meant[part].astype(np.float32).tobytes()], "met": [met[k * step : (k + 1) * step].astype(np.float32).tobytes()]}
 
-        partial = mapped(rows.where(F.col("part") == r).select("text"), sums, "block int, task int, seen binary, meant binary")
-        added = partial.groupBy("block", "task").applyInArrow(_added, "block int, task int, seen binary, meant binary").groupBy("block").applyInArrow(_added, "block int, task int, seen binary, meant binary")
+        form = "block int, task int, seen binary, meant binary, met binary"
+        partial = mapped(rows.where(F.col("part") == r).select("text"), sums, form)
+        added = partial.groupBy("block", "task").applyInArrow(_added, form).groupBy("block").applyInArrow(_added, form)
+        counted = np.zeros(step * BLOCKS)
         for x in added.collect():  # BLOCKS rows
             part = slice(x["block"] * size, min(ROWS, (x["block"] + 1) * size))
             seen, meant = (np.frombuffer(x[c], np.float32).reshape(-1, CLASSES) for c in ("seen", "meant"))
             weights[part] += np.log((seen + calm) / (meant + calm)) / 3  # three features are active at a time
+            counted[x["block"] * step : (x["block"] + 1) * step] = np.frombuffer(x["met"], np.float32)
+        inner.learn(*(counted[ends[k] : ends[k + 1]].reshape(shape) for k, shape in enumerate(shapes)))
         sent.unpersist()
     return weights
 
 
 def _added(group: pa.Table) -> pa.Table:
     """Sum of a group's arrays: of at most FAN_IN tasks, or of as many such sums as there are."""
-    out = {c: sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in group[c]).astype(np.float32).tobytes() for c in ("seen", "meant")}
-    return pa.table({"block": pa.array([group["block"][0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "seen": pa.array([out["seen"]], pa.binary()), "meant": pa.array([out["meant"]], pa.binary())})
+    out = {c: sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in group[c]).astype(np.float32).tobytes() for c in ("seen", "meant", "met")}
+    return pa.table({"block": pa.array([group["block"][0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in out.items()}})
 
 
 def score_texts(docs: DataFrame, *, learn_where: Column | None = None, part: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,22 +306,24 @@ def score_texts(docs: DataFrame, *, learn_where: Column | None = None, part: Col
     counts = checkpointed(count_tokens(learned))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = most_frequent(counts)
-    class_n, class_v = class_totals(counts, frequent)
+    class_n, _ = class_totals(counts, frequent)
     bias = np.log((class_n + 1) / (class_n.sum() + CLASSES)).astype(np.float32)
-    inner = np.log10(class_n + SMOOTHING * (class_v + 1))
+    inner = Inner(cell_mass(counts, frequent))
     few = spark.sparkContext.broadcast(frequent)
-    weights = spark.sparkContext.broadcast(train(learned, few, bias))
+    weights = spark.sparkContext.broadcast(train(learned, few, bias, inner))
+    tables = spark.sparkContext.broadcast(inner.tables())
 
     def score(batches: Iterator[dict]) -> Iterator[dict]:
         tokens, known = Tokens(), few.value
-        logs = np.log10(known.counts + SMOOTHING)
+        logs, (by_word, by_skip, under) = np.log10(known.counts + SMOOTHING), tables.value
         for b in batches:
             out: dict[str, list] = {"doc_id": b["doc_id"], "n_tokens": [], "common": [], "common_log": [], "outer_log": [], "rare": [], "times": []}
             for found, sizes, _ in chunks(b["text"], tokens):
                 place = known.find(found)
                 cls = classes(found, place)
                 p = probabilities(weights.value, bias, contexts(found, place, cls, sizes))[np.arange(len(cls)), cls]
-                outer = np.log10(np.maximum(p, 1e-30)) - inner[cls]
+                cell, (word, skip) = cells(found), inner_contexts(found, place, cls, sizes)
+                outer = np.log10(np.maximum(p, 1e-30)) + by_word[word, cell] + by_skip[skip, cell] - under[cls, word, skip]
                 common = np.where(place >= 0, logs[place], 0.0) if len(logs) else np.zeros(len(place))
                 start = 0
                 for size in sizes:
