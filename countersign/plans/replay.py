@@ -74,6 +74,8 @@ def replay(
     `last(event_id, last)` continues the numbering of an earlier ledger.
     """
     spark = events.sparkSession
+    # Every epoch joins them again; what they come from is read once.
+    events, actions = checkpointed(events), checkpointed(actions)
     known = events.select(F.col("id").alias("event_id"))
     rows, calls = epochs(replies.join(known, "event_id", "left_semi"), actions.join(known, "event_id", "left_semi"))
     rows, calls = checkpointed(rows), checkpointed(calls)
