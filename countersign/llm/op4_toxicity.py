@@ -8,9 +8,10 @@ exact. Terms that many examples hold have a value for every place of a block, so
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -79,16 +80,23 @@ def learn_terms(examples: DataFrame) -> list[str]:
     return terms[:MAX_TERMS]
 
 
-class Beginnings(dict):
-    """Numbers of the strong beginnings of each word, remembered up to a bound."""
+class Words(dict):
+    """A number of its own for each word, and with it the word's place in a vocabulary (or -1) and its strong beginnings."""
 
-    def __init__(self, at: dict[str, int]):
-        self.strong = at
+    def __init__(self, at: dict[str, int], strong: dict[str, int]):
+        self.at, self.strong, self.heads = at, strong, {w[: BEGINNINGS[0]] for w in strong}
+        self.forget()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        value = self[word] = tuple(self.strong[word[:n]] for n in BEGINNINGS if n < len(word) and word[:n] in self.strong)
+    def forget(self) -> None:
+        self.clear()
+        self.term, self.begun, self.begin = array("q"), array("q"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self)
+        self.term.append(self.at.get(word, -1))
+        if word[: BEGINNINGS[0]] in self.heads:
+            self.begun.extend([self.strong[word[:n]] for n in BEGINNINGS if n < len(word) and word[:n] in self.strong])
+        self.begin.append(len(self.begun))
         return value
 
 
@@ -98,40 +106,61 @@ class Terms:
     def __init__(self, words: list[str], strong: list[str]):
         self.names = [*dict.fromkeys([*strong, *words])]
         self.at = {t: i for i, t in enumerate(self.names)}
-        self.beginnings = Beginnings({t[:-1]: self.at[t] for t in strong if t.endswith("*")})
-
-    def of(self, words: set[str]) -> np.ndarray:
-        """Numbers of different words, of the vocabulary or -1, and of their beginnings, each once."""
-        found = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        return np.concatenate([found, np.fromiter(set(flat(map(self.beginnings.__getitem__, words))), np.int64)])
-
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers and counts of a text's terms, and counts of its words that the vocabulary lacks."""
-        words = Counter(words_of(text))
-        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        n = np.fromiter(words.values(), np.int64, len(words))
-        begun: Counter = Counter()
-        for ids, times in [x for x in zip(map(self.beginnings.__getitem__, words), words.values()) if x[0]]:
-            for i in ids:
-                begun[i] += times
-        known = at >= 0
-        ids = np.concatenate([at[known], np.fromiter(begun, np.int64, len(begun))])
-        counts = np.concatenate([n[known], np.fromiter(begun.values(), np.int64, len(begun))])
-        order = np.argsort(ids)
-        return ids[order], counts[order], np.sort(n[~known])
+        self.strong = {t[:-1]: self.at[t] for t in strong if t.endswith("*")}
+        self.words = Words(self.at, self.strong)
+
+    def _found(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the different words of each text and of their beginnings: which text, the number (-1: not of the vocabulary), the count."""
+        if len(self.words) >= KEPT_WORDS:
+            self.words.forget()
+        size: list[int] = []
+
+        def words() -> Iterator[list[str]]:
+            for text in texts:
+                found = words_of(text)
+                size.append(len(found))
+                yield found
+
+        own = np.fromiter(map(self.words.__getitem__, flat(words())), np.int64)
+        kinds, names = max(1, len(self.words)), max(1, len(self.names))
+        own, n = np.unique(np.repeat(np.arange(len(texts)) * kinds, size) + own, return_counts=True)
+        text, own = np.divmod(own, kinds)
+        term, begun, begin = (np.array(x, np.int64) for x in (self.words.term, self.words.begun, self.words.begin))
+        pick, times = spans(begin[own], begin[own + 1])
+        begun, at = np.unique(np.repeat(text * names, times) + begun[pick], return_inverse=True)
+        text_of, begun = np.divmod(begun, names)
+        n_begun = np.bincount(at, np.repeat(n, times), len(begun)).astype(np.int64)
+        return np.concatenate([text, text_of]), np.concatenate([term[own], begun]), np.concatenate([n, n_begun])
+
+    def of(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Numbers of the different words of each text, of the vocabulary or -1, and of their beginnings, each once a text."""
+        return self._found(texts)[1]
+
+    def count(self, texts: Sequence[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text the numbers and counts of its terms, and counts of its words that the vocabulary lacks."""
+        text, ids, n = self._found(texts)
+        known = ids >= 0
+        most, names, at = int(n.max(initial=0)) + 1, max(1, len(self.names)), np.arange(len(texts) + 1)
+        key = text[known] * names + ids[known]
+        order = np.argsort(key)
+        key, counts = key[order], n[known][order]
+        others = np.sort(text[~known] * most + n[~known])
+        own, rest = np.searchsorted(key, at * names), np.searchsorted(others, at * most)
+        ids, others = key % names, others % most
+        return [(ids[a:b], counts[a:b], others[c:d]) for a, b, c, d in zip(own, own[1:], rest, rest[1:])]
 
 
 def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
     """Documents in all, and those that hold each term: a task adds up its own and gives one row a term."""
-    names, strong = terms.names, [f"{t}*" for t in sorted(terms.beginnings.strong)]
+    names, strong = terms.names, [f"{t}*" for t in sorted(terms.strong)]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         own, sums, all_ = Terms(names, strong), np.zeros(len(names) + 1, np.int64), 0
         for b in batches:
-            for text in b["text"]:
-                sums[own.of(set(words_of(text)))] += 1  # -1 is the last place
-                all_ += 1
-        sums[-1] = all_
+            for begin in range(0, len(b["text"]), TOGETHER):
+                sums += np.bincount(own.of(b["text"][begin : begin + TOGETHER]) + 1, minlength=len(sums))
+            all_ += len(b["text"])
+        sums = np.append(sums[1:], all_)  # words that the vocabulary lacks came first
         some = np.flatnonzero(sums)
         yield {"term": some, "n": sums[some]}
 
@@ -173,6 +202,7 @@ class Index:
             toxic[e] += int(rows[r][4])
         self.number, self.toxic = np.array(number, float), np.array(toxic, float)
         self.blocks = -(-len(kept) // BLOCK)
+        self.places = np.arange(self.blocks * BLOCK).reshape(self.blocks, BLOCK)
         size = [len(vectors[r][0]) for r in kept]
         entry = np.repeat(np.arange(len(kept)), size)
         term = np.concatenate([vectors[r][0] for r in kept]) if kept else np.empty(0, np.int64)
@@ -185,7 +215,7 @@ class Index:
         common = np.flatnonzero(held * COMMON > max(len(kept), COMMON))
         self.strip_of = np.full(len(weights), -1, np.int32)
         self.strip_of[common] = np.arange(len(common))
-        self.strips = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.strips = np.zeros((len(common), self.blocks * BLOCK), np.float32, order="F")
         mine = self.strip_of[term] >= 0
         self.strips[self.strip_of[term[mine]], entry[mine]] = value[mine]
         entry, term, value = entry[~mine], term[~mine], value[~mine]
@@ -213,16 +243,13 @@ class Index:
         return of @ self.strips
 
     def _scored(self, cells: np.ndarray, q: np.ndarray, common: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of some blocks and their cosines, from the postings of the query's cells and the shares of common terms."""
-        wanted = np.zeros(self.blocks, bool)
-        wanted[blocks] = True
-        some = wanted[self.cell_block[cells]]
-        cells, q = cells[some], q[some]
+        """Entries of some blocks and their cosines, from the query's cells in them and the shares of common terms."""
         pick, size = spans(self.cell_begin[cells], self.cell_begin[cells + 1])
-        scores = np.bincount(self.entries[pick], self.values[pick] * np.repeat(q, size), self.blocks * BLOCK) + common
-        ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-        ids = ids[ids < len(self.number)]
-        return ids, scores[ids]
+        found = np.bincount(self.entries[pick], self.values[pick] * np.repeat(q, size), self.blocks * BLOCK)
+        ids = self.places[blocks].reshape(-1)
+        if (blocks == self.blocks - 1).any():  # the last one may be filled in part
+            ids = ids[ids < len(self.number)]
+        return ids, found[ids] + common[ids]
 
     def _ranked(self, entries: np.ndarray, scores: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Entries that can be among the nearest, best first, ties by entry; how many examples each is, and the place where NEIGHBOURS are reached."""
@@ -243,16 +270,23 @@ class Index:
         cells, size = spans(self.term_begin[at], self.term_begin[at + 1])
         q = np.repeat(q, size)
         # A block's bound: the best share of common terms that it holds, and the maxima of its other terms.
-        bounds = np.bincount(self.cell_block[cells], self.cell_max[cells] * q, self.blocks) + common.reshape(self.blocks, BLOCK).max(axis=1)
+        block_of = self.cell_block[cells]
+        bounds = np.bincount(block_of, self.cell_max[cells] * q, self.blocks) + common.reshape(self.blocks, BLOCK).max(axis=1)
         order = np.argsort(-bounds, kind="stable")
-        ids, found = self._scored(cells, q, common, order[:FIRST])
+        wanted = np.zeros(self.blocks, bool)
+        wanted[order[:FIRST]] = True
+        first = wanted[block_of]
+        ids, found = self._scored(cells[first], q[first], common, order[:FIRST])
         entries, scores, number, reach = self._ranked(ids, found, without)
         # Blocks whose bound does not reach the last neighbour so far hold no nearer example.
         least = scores[reach] - 1e-5 if reach < len(entries) else -1.0
         rest = order[FIRST:]
         rest = rest[bounds[rest] >= least]
         if len(rest):
-            more, found = self._scored(cells, q, common, rest)
+            wanted[:] = False
+            wanted[rest] = True
+            second = wanted[block_of]
+            more, found = self._scored(cells[second], q[second], common, rest)
             some = found >= least
             entries, scores, number, reach = self._ranked(np.concatenate([entries, more[some]]), np.concatenate([scores, found[some]]), without)
         reach = min(int(np.searchsorted(np.cumsum(number), NEIGHBOURS)) + 1, len(entries))
@@ -325,7 +359,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, learn_where: Column |
     total, df = document_frequencies(rows.select("text"), terms)
     idf = np.log((total + 1) / (df + 1)) + 1
     weights = idf * np.array([1.0 if i < len(strong) else WEAK for i in range(len(idf))])
-    known = [(i, *terms.count(text), toxic) for i, (text, toxic) in texts.items()]
+    counted = flat(terms.count([t for t, _ in part]) for part in batched(texts.values(), TOGETHER))
+    known = [(i, *c, toxic) for (i, (_, toxic)), c in zip(texts.items(), counted)]
     index = Index(weights, WEAK * (math.log((total + 1) / 2) + 1), known) if known else None
     if index:
         index.calibrate(known)
@@ -336,7 +371,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, learn_where: Column |
         names, strong, index = shared.value
         own = Terms(names, strong)
         for b in batches:
-            found = [(0.0, [], [])] * len(b["text"]) if index is None else index.score([own.count(t) for t in b["text"]])
+            found = [(0.0, [], [])] * len(b["text"]) if index is None else [*flat(index.score(own.count(part)) for part in batched(b["text"], TOGETHER))]
             yield {"doc_id": b["doc_id"], "score": [s for s, _, _ in found], "evidence": [e for _, e, _ in found], "similarity": [s for _, _, s in found]}
 
     scored = mapped(rows, run, "doc_id long, score double, evidence array<long>, similarity array<double>")

@@ -1,5 +1,6 @@
 """Each operator against a plain version, an exact round trip or held-out accuracy, over whole small tables."""
 import collections
+import cProfile
 import heapq
 import math
 import os
@@ -219,6 +220,32 @@ def test_nearest_examples_are_exact():
         assert math.isclose(number.sum(), op4_toxicity.NEIGHBOURS)
 
 
+def test_toxicity_counts_words_of_many_texts_at_once(monkeypatch):
+    """The same counts as of each text for itself, and a few calls a text: numbers of words are looked up for all texts together."""
+    monkeypatch.setattr(op4_toxicity, "KEPT_WORDS", 40)
+    strong, words = ["plan*", "planned*", "bad"], [f"w{i}" for i in range(30)]
+    terms, rng = op4_toxicity.Terms(words, strong), random.Random(5)
+    pool = [*words, "bad", "planned", "planners", "PLANNING", "plannedly", "planned-ahead", "\u00e9t\u00e9", "a\u3000b", "\ud800"]
+    texts = [None, "", " \u00a0 ", *[" ".join(rng.choices([*pool, *(f"x{k}{i}" for i in range(20))], k=k)) for k in range(1, 61)], "plan"]
+    for begin in range(0, len(texts), 16):
+        some = texts[begin : begin + 16]
+        for text, (ids, n, others) in zip(some, terms.count(some), strict=True):
+            plain, rest = {}, []
+            for word, times in collections.Counter(op4_toxicity.words_of(text)).items():
+                for t in op4_toxicity.terms_of(word):
+                    if t in terms.at:
+                        plain[terms.at[t]] = plain.get(terms.at[t], 0) + times
+                if word not in terms.at:
+                    rest.append(times)
+            assert (dict(zip(ids, n)), list(ids), list(others)) == (plain, sorted(plain), sorted(rest))
+        assert sorted(terms.of(some)) == sorted([i for ids, _, _ in terms.count(some) for i in ids] + [-1] * sum(len(o) for _, _, o in terms.count(some)))
+    monkeypatch.undo()
+    terms.count(texts)
+    profile = cProfile.Profile()
+    profile.runcall(terms.count, texts)
+    assert sum(e.callcount for e in profile.getstats()) < 15 * len(texts)
+
+
 def test_toxicity_cosines_are_those_of_whole_vectors(spark, result):
     """The query's neighbours against TF-IDF vectors of all words, plainly: every document with every example."""
     docs, labels = dict(read("documents", "doc_id, text")), dict(read("labels", "doc_id, toxic"))
