@@ -11,6 +11,7 @@ import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from hashlib import sha256
 from itertools import batched
 
 import numpy as np
@@ -146,7 +147,8 @@ class Terms:
         key, counts = key[order], n[known][order]
         others = np.sort(text[~known] * most + n[~known])
         own, rest = np.searchsorted(key, at * names), np.searchsorted(others, at * most)
-        ids, others = key % names, others % most
+        # Four bytes each: the driver keeps the terms of all examples at once.
+        ids, counts, others = (x.astype(np.int32) for x in (key % names, counts, others % most))
         return [(ids[a:b], counts[a:b], others[c:d]) for a, b, c, d in zip(own, own[1:], rest, rest[1:])]
 
 
@@ -164,9 +166,11 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray
         some = np.flatnonzero(sums)
         yield {"term": some, "n": sums[some]}
 
-    rows = mapped(docs, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
-    return found.get(len(names), 0), np.array([found.get(i, 0) for i in range(len(names))], np.int64)
+    # As Arrow: rows of a whole vocabulary would take the driver a hundred times the room of their numbers.
+    found = mapped(docs, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(len(names) + 1, np.int64)
+    sums[found["term"].to_numpy()] = found["n"].to_numpy()
+    return int(sums[-1]), sums[:-1]
 
 
 def spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,12 +189,12 @@ class Index:
         # Examples with the same strongest term stand in the same blocks.
         top = [int(at[np.argmax(q)]) if len(at) else -1 for at, q in vectors]
         order = sorted(range(len(rows)), key=lambda r: (top[r], len(vectors[r][0]), r))
-        merged: dict[tuple[bytes, bytes], int] = {}
+        merged: dict[bytes, int] = {}
         self.entry_of = np.zeros(len(rows), np.int64)
         kept, self.ids, number, toxic = [], [], [], []
         for r in order:
             at, q = vectors[r]
-            e = merged.setdefault((at.tobytes(), np.round(q, 6).tobytes()), len(merged))
+            e = merged.setdefault(sha256(at.tobytes() + np.round(q, 6).tobytes()).digest(), len(merged))
             if e == len(kept):
                 kept.append(r)
                 self.ids.append(rows[r][0])
@@ -204,11 +208,12 @@ class Index:
         self.blocks = -(-len(kept) // BLOCK)
         self.places = np.arange(self.blocks * BLOCK).reshape(self.blocks, BLOCK)
         size = [len(vectors[r][0]) for r in kept]
-        entry = np.repeat(np.arange(len(kept)), size)
-        term = np.concatenate([vectors[r][0] for r in kept]) if kept else np.empty(0, np.int64)
-        value = np.concatenate([vectors[r][1] for r in kept]) if kept else np.empty(0)
+        entry = np.repeat(np.arange(len(kept), dtype=np.int32), size)
+        term = np.concatenate([vectors[r][0] for r in kept]) if kept else np.empty(0, np.int32)
+        value = np.concatenate([vectors[r][1] for r in kept], dtype=np.float32, casting="same_kind") if kept else np.empty(0, np.float32)
+        del vectors
         # Postings stand by term and block. Only cells that have some are kept: their block, their maximum, and where their postings begin.
-        by = np.lexsort((entry, entry // BLOCK, term))
+        by = np.argsort(term, kind="stable")
         entry, term, value = entry[by], term[by], value[by]
         # Common terms: a strip of values over all places.
         held = np.bincount(term, minlength=len(weights))
@@ -219,7 +224,7 @@ class Index:
         mine = self.strip_of[term] >= 0
         self.strips[self.strip_of[term[mine]], entry[mine]] = value[mine]
         entry, term, value = entry[~mine], term[~mine], value[~mine]
-        self.entries, self.values = entry.astype(np.int32), value.astype(np.float32)
+        self.entries, self.values = entry, value
         block = entry // BLOCK
         fresh = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
         self.cell_block = block[fresh].astype(np.int32)
@@ -229,7 +234,7 @@ class Index:
         self.calibration = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def query(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(terms, np.int64)
+        at = np.asarray(terms, np.int32)
         q = (1 + np.log(np.array(counts, float))) * self.weights[at]
         rest = (1 + np.log(np.array(others, float))) * self.strange
         return at, q / math.sqrt(float(q @ q + rest @ rest) or 1.0)
@@ -354,17 +359,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, learn_where: Column |
     few = checkpointed(few)
     strong = learn_terms(few.select("text", "toxic"))
     texts = {r["doc_id"]: (r["text"], r["toxic"]) for r in few.orderBy("doc_id").toLocalIterator()}
-    words = sorted(set(flat(words_of(t) for t, _ in texts.values())))
-    terms = Terms(words, strong)
+    terms = Terms(sorted(set(flat(words_of(t) for t, _ in texts.values()))), strong)
     total, df = document_frequencies(rows.select("text"), terms)
     idf = np.log((total + 1) / (df + 1)) + 1
     weights = idf * np.array([1.0 if i < len(strong) else WEAK for i in range(len(idf))])
     counted = flat(terms.count([t for t, _ in part]) for part in batched(texts.values(), TOGETHER))
     known = [(i, *c, toxic) for (i, (_, toxic)), c in zip(texts.items(), counted)]
+    names = terms.names
+    del texts, terms, counted
     index = Index(weights, WEAK * (math.log((total + 1) / 2) + 1), known) if known else None
     if index:
         index.calibrate(known)
-    names = terms.names
     shared = docs.sparkSession.sparkContext.broadcast((names, strong, index))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
